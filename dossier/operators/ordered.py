@@ -8,6 +8,8 @@ level. No group ever holds more than ``2**bits`` rows, however the rows are dist
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,27 +90,28 @@ def apply_clamp(weight: Column, d: Column, lo: Column, hi: Column) -> Column:
 
 # -- Order statistic --------------------------------------------------------
 
-def value_at_rank(df: DataFrame, value: str, rank: Column, block: int = 1000) -> DataFrame:
-    """The value at 0-based ``rank`` (an expression over the row count ``n``) of a sorted whole-number column.
+def value_at_rank(df: DataFrame, value: str, rank: Callable[[Column], Column], block: int = 1000) -> DataFrame:
+    """One row: the value at 0-based ``rank(row count)`` of a sorted whole-number column.
 
     Values are counted first; the block of values holding the rank is found from block
     totals, and only that block is ordered, so no task sorts the rows themselves.
     """
-    counts = df.groupBy(F.col(value).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    blocks = counts.groupBy(F.floor(F.col("v") / block).alias("b")).agg(F.sum("c").alias("c"))
+    counts = (
+        df.groupBy(F.col(value).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("b", F.floor(F.col("v") / block))
+    )
+    blocks = counts.groupBy("b").agg(F.sum("c").alias("c"))
+    wanted = rank(blocks.agg(F.sum("c")).scalar())
     order = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    total = blocks.agg(F.sum("c").alias("n")).withColumn("rank_", rank.cast("long"))
     placed = (
-        blocks.withColumn("upto", F.sum("c").over(order))
-        .join(F.broadcast(total), F.lit(True))
-        .where((F.col("upto") > F.col("rank_")) & (F.col("upto") - F.col("c") <= F.col("rank_")))
-        .select("b", (F.col("upto") - F.col("c")).alias("before"), "rank_")
+        blocks.select("b", F.sum("c").over(order).alias("upto"), "c", wanted.alias("wanted"))
+        .where((F.col("upto") > F.col("wanted")) & (F.col("upto") - F.col("c") <= F.col("wanted")))
+        .select("b", (F.col("upto") - F.col("c")).alias("before"), "wanted")
     )
-    within = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        counts.withColumn("b", F.floor(F.col("v") / block))
-        .join(F.broadcast(placed), "b")
+        counts.join(F.broadcast(placed), "b")
         .withColumn("upto", F.col("before") + F.sum("c").over(within))
-        .where(F.col("upto") > F.col("rank_"))
+        .where(F.col("upto") > F.col("wanted"))
         .agg(F.min("v").alias(value))
     )
