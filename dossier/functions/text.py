@@ -142,6 +142,11 @@ def signal_rows(values: Column, kind: str, lower_text: Column, source_file: Colu
     )
 
 
+def bare_signals(values: Column, kind: str) -> Column:
+    """Bare signals of one kind, enough for classification."""
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("signal_type"), v.alias("value")))
+
+
 def build_signals(text: Column, source_file: Column, weight: Column, patterns: dict[str, str] | None = None) -> Column:
     patterns = patterns or {"aws_service": AWS_SERVICE, "technology": TECHNOLOGY, "pattern": PATTERN}
     return let(

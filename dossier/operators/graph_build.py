@@ -38,7 +38,7 @@ def _props(**values: Column) -> Column:
 def signal_table(docs: DataFrame) -> DataFrame:
     """One row per usable signal, with its document's ids and its place within the document."""
     rows = docs.select(
-        "source_key", "source_file", "repo_id", "person_id", F.posexplode("expertise_signals").alias("pos", "s")
+        "source_key", "source_file", "repo_id", "person_id", F.posexplode_outer("expertise_signals").alias("pos", "s")
     )
     return rows.select(
         "source_key", "source_file", "repo_id", "person_id", "pos",
