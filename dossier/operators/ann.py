@@ -7,7 +7,7 @@ could still hold a better vector, by the triangle inequality on angles; nothing
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -68,22 +68,23 @@ def build_index(chunks: DataFrame, lists: int = 100, chunk_id: str = "chunk_id",
     return ListIndex(centres, assigned, chunk_id, vec)
 
 
-def _probe(questions: DataFrame, index: ListIndex, qid: str, qvec: str, choose, extra: list[str]) -> DataFrame:
+def _probe(questions: DataFrame, centres: np.ndarray, qid: str, qvec: str, choose: Callable,
+           worst: str | None = None) -> DataFrame:
+    """One row per question and list that ``choose(angles to the centres, worst kept score)`` names."""
     kind = S.ArrayType(S.IntegerType())
 
-    def lists(vectors: pd.Series, *more: pd.Series) -> pd.Series:
-        angles = _angles(vectors, index.centres)
-        return pd.Series([choose(a, *[m.iloc[i] for m in more]) for i, a in enumerate(angles)])
+    def by_angle(vectors: pd.Series) -> pd.Series:
+        return pd.Series([choose(a) for a in _angles(vectors, centres)])
 
-    ids = F.pandas_udf(lists, kind)(qvec, *extra) if len(extra) else F.pandas_udf(_one(lists), kind)(qvec)
-    return questions.select(qid, qvec, F.explode(ids).alias("list_id"))
+    def by_angle_and_score(vectors: pd.Series, scores: pd.Series) -> pd.Series:
+        return pd.Series([choose(a, s) for a, s in zip(_angles(vectors, centres), scores)])
 
-
-def _one(fn):
-    def single(vectors: pd.Series) -> pd.Series:
-        return fn(vectors)
-
-    return single
+    if worst is None:
+        ids = F.pandas_udf(by_angle, kind)(qvec)
+    else:
+        ids = F.pandas_udf(by_angle_and_score, kind)(qvec, worst)
+    rows = questions.select(qid, qvec, F.explode_outer(ids).alias("list_id"))
+    return rows.where(F.col("list_id").isNotNull())
 
 
 def _score_lists(probes: DataFrame, index: ListIndex, k: int, qid: str, qvec: str, width: int) -> DataFrame:
@@ -101,7 +102,7 @@ def _score_lists(probes: DataFrame, index: ListIndex, k: int, qid: str, qvec: st
     return N.score_pairs(tiles.join(grouped, ["list_id", "salt"]), k, qid, index.chunk_id)
 
 
-def search(questions: DataFrame, index: ListIndex, k: int, nprobe: int = 1, exact: bool = False,
+def search(questions: DataFrame, index: ListIndex, k: int, nprobe: int = 1, exact: bool = True,
            qid: str = "qid", qvec: str = "question_embedding") -> DataFrame:
     """The best ``k`` per question among the probed lists; among all vectors if ``exact``."""
     width = shuffle_width(questions.sparkSession)
@@ -109,13 +110,13 @@ def search(questions: DataFrame, index: ListIndex, k: int, nprobe: int = 1, exac
     def nearest(angles: np.ndarray) -> list[int]:
         return np.argsort(angles)[:nprobe].astype("int32").tolist()
 
-    first = _probe(questions, index, qid, qvec, nearest, [])
+    first = _probe(questions, index.centres, qid, qvec, nearest)
     hits = N.keep_top(_score_lists(first, index, k, qid, qvec, width), k, qid, index.chunk_id)
     if not exact:
         return hits
     radius = np.array([index.radius().get(i, -np.inf) for i in range(len(index.centres))])
 
-    def could_hold(angles: np.ndarray, worst: float) -> list[int]:
+    def could_hold(angles: np.ndarray, worst: float | None) -> list[int]:
         limit = np.pi if worst is None or np.isnan(worst) else np.arccos(np.clip(worst, -1.0, 1.0))
         probed = set(np.argsort(angles)[:nprobe].tolist())
         reach = np.nonzero((angles - radius <= limit + 1e-9) & np.isfinite(radius))[0]
@@ -124,6 +125,6 @@ def search(questions: DataFrame, index: ListIndex, k: int, nprobe: int = 1, exac
     worst = hits.groupBy(qid).agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("worst")
     )
-    more = _probe(questions.join(worst, qid, "left"), index, qid, qvec, could_hold, ["worst"])
+    more = _probe(questions.join(worst, qid, "left"), index.centres, qid, qvec, could_hold, "worst")
     both = hits.drop("rank").unionByName(_score_lists(more, index, k, qid, qvec, width))
     return N.keep_top(both, k, qid, index.chunk_id)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.functions import text as T
+
 LABEL_LIMIT = 10
 
 
@@ -37,9 +39,12 @@ def linked(edges: DataFrame, relationships: list[str], source: str, target: str)
     )
 
 
-def wanted(nodes: DataFrame, kind: str, labels: list[str], prefix: str) -> DataFrame:
-    low = [x.lower() for x in labels[:LABEL_LIMIT]]
-    return named(nodes.where(F.lower("label").isin(low)), prefix, kind)
+def wanted(nodes: DataFrame, kind: str, labels: list[str] | DataFrame, prefix: str) -> DataFrame:
+    """Nodes by label, ignoring case: one question's short list, or a ``label`` column for many questions."""
+    if isinstance(labels, DataFrame):
+        low = labels.select(F.lower("label").alias("low")).distinct()
+        return named(nodes.join(low, F.lower(nodes["label"]) == low["low"], "left_semi"), prefix, kind)
+    return named(nodes.where(F.lower("label").isin([x.lower() for x in labels[:LABEL_LIMIT]])), prefix, kind)
 
 
 def _empty(name: str) -> Column:
@@ -57,7 +62,7 @@ def person_technologies(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame
     return first_labels(rows, ["person_id"], "tech_label", k, "techs")
 
 
-def skill_neighbourhood(nodes: DataFrame, edges: DataFrame, labels: list[str], limit: int | None = 20) -> DataFrame:
+def skill_neighbourhood(nodes: DataFrame, edges: DataFrame, labels: list[str] | DataFrame, limit: int | None = 20) -> DataFrame:
     skills = wanted(nodes, "Skill", labels, "skill")
     shown = (
         linked(edges, ["DEMONSTRATES_SKILL"], "person", "skill").join(skills, "skill_id")
@@ -80,7 +85,7 @@ def skill_neighbourhood(nodes: DataFrame, edges: DataFrame, labels: list[str], l
     return out if limit is None else out.limit(limit)
 
 
-def pattern_evidence(nodes: DataFrame, edges: DataFrame, labels: list[str], limit: int | None = 30) -> DataFrame:
+def pattern_evidence(nodes: DataFrame, edges: DataFrame, labels: list[str] | DataFrame, limit: int | None = 30) -> DataFrame:
     patterns = wanted(nodes, "Pattern", labels, "pattern")
     who = nodes.select(
         F.col("node_id").alias("entity_id"), F.col("node_type").alias("entity_type"),
@@ -109,7 +114,7 @@ def pattern_evidence(nodes: DataFrame, edges: DataFrame, labels: list[str], limi
     return out if limit is None else out.limit(limit)
 
 
-def aws_service_context(nodes: DataFrame, edges: DataFrame, labels: list[str], limit: int | None = 30) -> DataFrame:
+def aws_service_context(nodes: DataFrame, edges: DataFrame, labels: list[str] | DataFrame, limit: int | None = 30) -> DataFrame:
     services = wanted(nodes, "AWSService", labels, "svc")
     repos = named(nodes, "repo", "Repository")
     uses = linked(edges, ["USES_AWS_SERVICE"], "repo", "svc")
@@ -268,8 +273,6 @@ def repeated_repository_patterns(nodes: DataFrame, edges: DataFrame, at_least: i
 
 def entity_ids(snippets: DataFrame, text_col: str = "content", key: str = "qid", limit: int = 20) -> DataFrame:
     """Graph ids of the terms found in each question's snippets, at most ``limit`` in id order."""
-    from dossier.functions import text as T
-
     text = F.col(text_col)
     ids = F.concat(*[
         F.transform(finder(text), lambda v, kind=kind: T.slug(F.concat(F.lit(kind + "_"), v)))

@@ -232,3 +232,11 @@ def _state_rows(kind: str, state: ReplayState) -> pd.DataFrame:
         "question_type": kind, "strategy": K.STRATEGY_PRIORITY,
         "weight": [w / 100 for w in state.weights], "feedback_count": state.counts,
     })
+
+
+def most_reinforced(weights: DataFrame, limit: int = 20) -> DataFrame:
+    return (
+        weights.where(F.col("feedback_count") > 0)
+        .select("strategy", "question_type", "weight", F.col("feedback_count").alias("total_feedback"))
+        .orderBy(F.desc("total_feedback"), "strategy", "question_type").limit(limit)
+    )

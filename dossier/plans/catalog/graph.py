@@ -11,6 +11,7 @@ from dossier.functions import text as T
 from dossier.operators import graph_build as B
 from dossier.operators import graph_query as G
 from dossier.plans.catalog.base import plain, portable, query
+from dossier.session import materialize
 from dossier.sources import store
 
 # -- Signals of orders ------------------------------------------------------
@@ -344,6 +345,12 @@ def graph(spark, sf_dir):
     return nodes, portable(spark, sf_dir, EDGES)
 
 
+def stored_graph(spark, sf_dir):
+    """The same graph as stored tables, edges by relationship, for queries that read it many times."""
+    nodes, edges = graph(spark, sf_dir)
+    return materialize(nodes, ["node_type"]), materialize(edges, ["relationship"])
+
+
 def joined(rows, *arrays):
     return rows.select(*[F.array_join(c, ",").alias(c) if c in arrays else c for c in rows.columns])
 
@@ -458,7 +465,7 @@ UNION ALL SELECT 'repeated_pattern', pattern FROM pe30 GROUP BY pattern HAVING c
 UNION ALL SELECT 'entity', e FROM (SELECT skill AS e FROM sk UNION SELECT pattern FROM pe30 UNION SELECT aws_service FROM ac30)
 """)
 def expansion(spark, sf_dir):
-    x = G.expansion(*graph(spark, sf_dir), SKILLS, PATTERNS, SERVICES)
+    x = G.expansion(*stored_graph(spark, sf_dir), SKILLS, PATTERNS, SERVICES)
     parts = [("inferred_skill", x["inferred_skills"]), ("repeated_pattern", x["repeated_patterns"]),
              ("entity", x["graph_entities_used"])]
     frames = [df.select(F.lit(name).alias("part"), F.col(df.columns[0]).alias("value")) for name, df in parts]

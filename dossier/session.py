@@ -46,3 +46,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def materialize(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Write rows as a parquet table in the shared folder and read them back.
+
+    For rows several branches of a plan read: the work is done once, later reads prune
+    columns and partitions, and a lost executor costs one file read.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
