@@ -274,11 +274,14 @@ def repeated_repository_patterns(nodes: DataFrame, edges: DataFrame, at_least: i
 def entity_ids(snippets: DataFrame, text_col: str = "content", key: str = "qid", limit: int = 20) -> DataFrame:
     """Graph ids of the terms found in each question's snippets, at most ``limit`` in id order."""
     text = F.col(text_col)
-    ids = F.concat(*[
-        F.transform(finder(text), lambda v, kind=kind: T.slug(F.concat(F.lit(kind + "_"), v)))
-        for kind, finder in [("aws_service", T.find_aws_services), ("technology", T.find_technologies),
-                             ("pattern", T.find_patterns)]
-    ])
+
+    def ids_of(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda v: T.slug(F.concat(F.lit(f"{kind}_"), v)))
+
+    ids = F.concat(
+        ids_of("aws_service", T.find_aws_services(text)), ids_of("technology", T.find_technologies(text)),
+        ids_of("pattern", T.find_patterns(text)),
+    )
     rows = snippets.select(key, F.explode(F.array_distinct(ids)).alias("entity_id")).distinct()
     order = Window.partitionBy(key).orderBy("entity_id")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")

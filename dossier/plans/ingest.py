@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -97,7 +98,7 @@ def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str =
     signals = materialize(B.aggregate_signals(B.signal_table(docs)))
     base = "derived/" + repo_prefix.removeprefix("raw/").strip("/")
     store.write_json(derived_artifact(docs, bucket), f"{base}/artifacts", ["repo_prefix"])
-    extracted_text(docs).select("value").write.mode("overwrite").text(f"{store.root}/{base}/extracted")
+    store.write_json(extracted_text(docs), f"{base}/extracted_text")
     store.write_json(nodes, f"{base}/graph_entities")
     store.write_json(edges, f"{base}/graph_edges")
     store.write_json(signals.orderBy(F.desc("strength"), "first_seen").drop("first_seen"), f"{base}/expertise_signals")
@@ -117,8 +118,6 @@ def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str =
 
 
 def _json(report: IngestReport) -> str:
-    import json
-
     return json.dumps(report.to_dict(), indent=2)
 
 

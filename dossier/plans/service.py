@@ -126,9 +126,9 @@ def _since(start: float) -> int:
 def init_tables(store: Store) -> dict:
     """Create missing tables; existing ones stay as they are."""
     for name in TABLES:
-        if store._version(name) is None:
+        if not store.has(name):
             store.replace(name, store.read(name))
-    if not store.exists(store._chunks_path):
+    if not store.exists(store.chunks_path):
         store.truncate_chunks()
     return {"status": "success", "tables": [*TABLES, "chunks"]}
 

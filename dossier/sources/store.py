@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import constants as K
+from dossier.functions import documents as D
 from dossier.operators.cache import CACHE_TYPE
 from dossier.operators.routing import WEIGHTS_TYPE
 from dossier.session import cut_lineage
@@ -50,65 +51,80 @@ class Store:
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/_current"
 
-    def _version(self, name: str) -> str | None:
+    def _current(self, name: str) -> tuple[str | None, str]:
+        """Version and tag the pointer names."""
         if not self.exists(self._pointer(name)):
-            return None
+            return None, ""
         fs, target = self._fs(self._pointer(name))
         stream = fs.open(target)
         try:
-            return stream.readUTF()
+            version, tag = stream.readUTF().split("|", 1)
         finally:
             stream.close()
+        return version, tag
+
+    def tag(self, name: str) -> str:
+        return self._current(name)[1]
+
+    def has(self, name: str) -> bool:
+        return self._current(name)[0] is not None
 
     def read(self, name: str) -> DataFrame:
-        version = self._version(name)
+        version = self._current(name)[0]
         if version is None:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}")
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
+    def replace(self, name: str, rows: DataFrame, tag: str | None = None) -> None:
+        """Make ``rows`` the current version; a tag is stored with the pointer, else the old tag stays.
+
+        The version before the current one is kept for readers still on it; older ones go.
+        """
+        version, (previous, old_tag) = uuid.uuid4().hex, self._current(name)
         columns = self.spark.createDataFrame([], TABLES[name]).columns
         rows.select(*columns).write.parquet(f"{self.root}/{name}/{version}")
         fs, target = self._fs(self._pointer(name))
         stream = fs.create(target, True)
         try:
-            stream.writeUTF(version)
+            stream.writeUTF(f"{version}|{old_tag if tag is None else tag}")
         finally:
             stream.close()
+        for status in self._fs(f"{self.root}/{name}")[0].listStatus(self._fs(f"{self.root}/{name}")[1]):
+            if status.isDirectory() and status.getPath().getName() not in (version, previous):
+                self.delete(f"{name}/{status.getPath().getName()}")
 
     # -- chunks -------------------------------------------------------------
 
     @property
-    def _chunks_path(self) -> str:
+    def chunks_path(self) -> str:
         return f"{self.root}/chunks"
 
     def chunks(self) -> DataFrame:
-        if not self.exists(self._chunks_path):
+        if not self.exists(self.chunks_path):
             return self.spark.createDataFrame([], CHUNKS_TYPE)
-        return self.spark.read.schema(f"{CHUNKS_TYPE}, bucket int").parquet(self._chunks_path).drop("bucket")
+        return self.spark.read.schema(f"{CHUNKS_TYPE}, bucket int").parquet(self.chunks_path).drop("bucket")
 
     def write_chunks(self, new: DataFrame) -> None:
         """Replace the chunks of every document present in ``new``; other documents stay."""
         columns = self.spark.createDataFrame([], CHUNKS_TYPE).columns
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.chunk_buckets)).cast("int")
         fresh = cut_lineage(new.select(*columns).withColumn("bucket", bucket))
-        if self.exists(self._chunks_path):
+        if self.exists(self.chunks_path):
             touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
             if not touched:
                 return
-            stored = self.spark.read.schema(f"{CHUNKS_TYPE}, bucket int").parquet(self._chunks_path)
+            stored = self.spark.read.schema(f"{CHUNKS_TYPE}, bucket int").parquet(self.chunks_path)
             stored = stored.where(F.col("bucket").isin(touched))
             fresh = cut_lineage(upsert_chunks(stored, fresh))
         (
             fresh.repartition(self.chunk_buckets, "bucket").write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._chunks_path)
+            .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.chunks_path)
         )
 
     def truncate_chunks(self) -> None:
         self.spark.createDataFrame([], f"{CHUNKS_TYPE}, bucket int").write.mode("overwrite").option(
             "partitionOverwriteMode", "static"
-        ).partitionBy("bucket").parquet(self._chunks_path)
+        ).partitionBy("bucket").parquet(self.chunks_path)
 
     # -- artifacts ----------------------------------------------------------
 
@@ -133,8 +149,9 @@ def upsert_chunks(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def extracted_text(docs: DataFrame) -> DataFrame:
-    """The text file written per document: summary, blank line, extracted text."""
-    return docs.select("source_key", F.concat("summary", F.lit("\n\n"), "extracted_text").alias("value"))
+    """The text record of each document under its derived key: summary, blank line, extracted text."""
+    key = D.derived_key(F.col("repo_prefix"), F.col("source_key"), ".extracted.txt")
+    return docs.select(key.alias("text_key"), F.concat("summary", F.lit("\n\n"), "extracted_text").alias("value"))
 
 
 def derived_artifact(docs: DataFrame, bucket: str = "") -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,35 +17,18 @@ from dossier.sources.store import Store
 def feedback_stream(store: Store, answers: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Fold each micro-batch of ``strategy, question_type, confidence, seq`` into the stored weights.
 
-    The batch fold is the one used on tables. The number of the last batch applied is kept
-    in a marker table replaced together with the weights, so a replayed batch is skipped.
+    The batch fold is the one used on tables. The number of the last batch applied is the
+    tag of the weights' version, written in one step with it, so a replayed batch is skipped.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        weights = store.read("routing_weights")
-        if _applied(store) >= batch_id:
-            return
-        store.replace("routing_weights", W.apply_feedback(weights, rows))
-        _mark(store, batch_id)
+        if int(store.tag("routing_weights") or -1) < batch_id:
+            store.replace("routing_weights", W.apply_feedback(store.read("routing_weights"), rows), tag=str(batch_id))
 
     writer = answers.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _marker(store: Store) -> str:
-    return f"{store.root}/routing_weights/_batch"
-
-
-def _applied(store: Store) -> int:
-    if not store.exists(_marker(store)):
-        return -1
-    return store.spark.read.parquet(_marker(store)).agg(F.max("batch_id")).first()[0]
-
-
-def _mark(store: Store, batch_id: int) -> None:
-    store.spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(_marker(store))
-
-
 # -- Replay on state --------------------------------------------------------
 
 REPLAY_OUT = "question_type string, seq long, strategy string, weight double"
