@@ -111,7 +111,7 @@ def text_stats(text: Column) -> Column:
         return F.length(F.array_join(ls, "")) / F.greatest(F.size(ls), F.lit(1))
 
     return F.struct(
-        F.size(F.filter(lines, lambda x: x.rlike(r"(?U)^#{1,6}[\s\x1c-\x1f]"))).alias("heading_count"),
+        F.size(F.filter(lines, lambda x: x.rlike("(?U)^#{1,6}" + T.SPACE))).alias("heading_count"),
         F.size(blocks).alias("code_block_count"),
         F.bround(block_chars / F.greatest(F.length(body), F.lit(1)), 3).alias("code_char_ratio"),
         F.bround(prose_words / F.greatest(sentences, F.lit(1)), 1).alias("avg_sentence_len"),

@@ -9,12 +9,36 @@ from pyspark.sql import functions as F
 
 from dossier import constants as K
 
-NON_SPACE = r"(?U)[^\s\x1c-\x1f]+"
+# Python's white space: the Unicode property and the four separator controls.
+SPACE = r"[\s\x1c-\x1f]"
+NON_SPACE = r"(?U)[\S&&[^\x1c-\x1f]]++"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
-AWS_SERVICE = rf"(?iU)\b(Amazon|AWS)\s+({K.AWS_SERVICE_TERMS})\b"
-TECHNOLOGY = rf"(?iU)\b({K.TECHNOLOGY_TERMS})\b"
-PATTERN = rf"(?iU)\b({K.PATTERN_TERMS})\b"
+
+def any_term(terms: str) -> tuple[str, str]:
+    """A term list as a pattern that tries only terms sharing the next letter, and those letters.
+
+    Terms keep their order within a letter, and terms with other letters cannot match at the
+    same place, so the pattern finds what the plain list finds.
+    """
+    groups: dict[str, list[str]] = {}
+    for term in terms.split("|"):
+        groups.setdefault(term[:1].lower(), []).append(term[1:])
+    if "(" in terms or not all(letter.isalpha() for letter in groups):
+        return terms, ""
+    letters = "".join(groups)
+    return "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in groups.items()), f"[{letters}{letters.upper()}]"
+
+
+def term_pattern(terms: str) -> str:
+    """A finder for a list of terms (alternatives separated by ``|``), whole words, any case."""
+    body, letters = any_term(terms)
+    return rf"(?U)\b(?={letters})(?i:({body}))\b" if letters else rf"(?iU)\b({body})\b"
+
+
+AWS_SERVICE = rf"(?U)\b(?=[aA])(?i:(Amazon|AWS)\s+({any_term(K.AWS_SERVICE_TERMS)[0]}))\b"
+TECHNOLOGY = term_pattern(K.TECHNOLOGY_TERMS)
+PATTERN = term_pattern(K.PATTERN_TERMS)
 
 SIGNAL_TYPE = "struct<signal_type:string,value:string,source_file:string,weight:double,frequency:int>"
 
@@ -75,7 +99,7 @@ def shorten(line: Column, width: int = 300) -> Column:
 
     A word may also break after a hyphen between letters or around a run of dashes.
     """
-    one_space = strip(F.regexp_replace(line, r"(?U)[\s\x1c-\x1f]+", " "))
+    one_space = strip(F.regexp_replace(line, f"(?U){SPACE}+", " "))
     letter, punct = r"[^\d\W]", r"[\w!\"'&.,?]"
     breaks = (
         rf"(?= )|(?<={letter}{letter}-|{letter}-{letter}-)(?={letter}-?{letter})"
@@ -117,11 +141,6 @@ def find_patterns(text: Column) -> Column:
     return found(text, PATTERN)
 
 
-def term_pattern(terms: str) -> str:
-    """The finder for a caller's own term list (alternatives separated by ``|``)."""
-    return rf"(?iU)\b({terms})\b"
-
-
 def occurrences(lower_text: Column, value: Column) -> Column:
     """Non-overlapping substring count, ignoring case."""
     low = F.lower(value)

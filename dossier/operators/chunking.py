@@ -56,7 +56,7 @@ def hierarchical_chunks(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.split(text, r"(?U)(?<=[.!?])[\s\x1c-\x1f]+(?=[A-Z])")
+    parts = F.split(text, f"(?U)(?<=[.!?]){T.SPACE}+(?=[A-Z])")
     cut = F.transform(
         parts,
         lambda s: F.when(F.length(s) > K.SENTENCE_LINE_SPLIT_CHARS, F.split(s, T.LINE_BREAK)).otherwise(F.array(s)),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text as T
 
-NO_PROPS = "map<string,string>"
+NODE_COLUMNS = ["node_id", "node_type", "label", "source_file", "confidence"]
 
 # What one signal of each kind turns into.
 SIGNAL_RULES = {
@@ -60,16 +60,9 @@ def signal_facts(signals: DataFrame) -> DataFrame:
 
 
 def signal_nodes(facts: DataFrame) -> DataFrame:
-    kind, freq = F.col("signal_type"), F.col("frequency")
-    props = (
-        F.when(kind == "skill", _props(category=F.lit("skill"), frequency=freq))
-        .when(kind == "technology", _props(frequency=freq))
-        .when(kind == "aws_service", _props(service_name=F.col("value"), frequency=freq))
-        .otherwise(_props(pattern_name=F.col("value"), frequency=freq))
-    )
     return facts.select(
-        "node_id", "node_type", F.col("value").alias("label"), "source_file",
-        F.col("effective").alias("confidence"), props.alias("properties"), _seq(1, F.col("pos")).alias("seq"),
+        "node_id", "node_type", F.col("value").alias("label"), "source_file", F.col("effective").alias("confidence"),
+        "frequency", _seq(1, F.col("pos")).alias("seq"),
     )
 
 
@@ -197,21 +190,44 @@ def routing_edges(docs: DataFrame) -> DataFrame:
     )
 
 
-def fold_nodes(sightings: DataFrame) -> DataFrame:
-    """First label, source and type; confidence grows by 0.05 per further sighting; last properties win."""
-    first = F.min_by(F.struct("node_type", "label", "source_file", "confidence"), F.col("seq"))
-    folded = sightings.groupBy("node_id").agg(
-        first.alias("f"), F.count(F.lit(1)).alias("n"), F.max_by("properties", "seq").alias("properties"),
-        F.max_by(F.col("properties")["text_hash"], F.when(F.col("properties")["text_hash"].isNotNull(), F.col("seq")))
-        .alias("hash"),
+def _folded(rows: DataFrame, last: list[str]) -> DataFrame:
+    """First type, label and source; confidence grows by 0.05 per further sighting; ``last`` columns as last seen."""
+    folded = rows.groupBy("node_id").agg(
+        F.min_by(F.struct("node_type", "label", "source_file", "confidence"), F.col("seq")).alias("f"),
+        F.max_by(F.struct(*last), F.col("seq")).alias("l"), F.count(F.lit(1)).alias("n"),
     )
-    kept = F.map_filter(F.create_map(F.lit("text_hash"), F.col("hash")), lambda k, v: v.isNotNull())
-    rest = F.map_filter("properties", lambda k, v: k != "text_hash")
     return folded.select(
-        "node_id", "f.node_type", "f.label", "f.source_file",
-        F.least(F.lit(1.0), F.col("f.confidence") + 0.05 * (F.col("n") - 1)).alias("confidence"),
-        F.map_concat(rest, kept).alias("properties"),
+        "node_id", "f.node_type", F.col("f.label").alias("label"), "f.source_file",
+        F.least(F.lit(1.0), F.col("f.confidence") + 0.05 * (F.col("n") - 1)).alias("confidence"), F.col("l").alias("last"),
+    )
+
+
+def fold_signal_nodes(rows: DataFrame) -> DataFrame:
+    """One row per signal node; the property map is built once per node, not per sighting."""
+    kind, value, freq = F.col("node_type"), F.col("last.label"), F.col("last.frequency")
+    props = (
+        F.when(kind == "Skill", _props(category=F.lit("skill"), frequency=freq))
+        .when(kind == "Technology", _props(frequency=freq))
+        .when(kind == "AWSService", _props(service_name=value, frequency=freq))
+        .otherwise(_props(pattern_name=value, frequency=freq))
+    )
+    return _folded(rows, ["label", "frequency"]).select(*NODE_COLUMNS, props.alias("properties"))
+
+
+def fold_nodes(rows: DataFrame) -> DataFrame:
+    """One row per node whose sightings carry whole property maps (documents, types, strategies).
+
+    The last map wins; a text hash stays when the last sighting has none.
+    """
+    seen_hash = F.col("properties")["text_hash"]
+    hashes = F.max_by(seen_hash, F.when(seen_hash.isNotNull(), F.col("seq")))
+    kept = rows.groupBy("node_id").agg(hashes.alias("hash")).where(F.col("hash").isNotNull())
+    folded = _folded(rows, ["properties"]).join(kept, "node_id", "left")
+    last = F.map_filter("last.properties", lambda k, v: k != "text_hash")
+    props = F.when(F.col("hash").isNull(), last).otherwise(
+        F.map_concat(last, F.create_map(F.lit("text_hash"), F.col("hash")))
     )
+    return folded.select(*NODE_COLUMNS, props.alias("properties"))
 
 
 def fold_edges(sightings: DataFrame) -> DataFrame:
@@ -237,12 +253,12 @@ def with_owners(docs: DataFrame, person: Column, repo: Column) -> DataFrame:
 def build_graph(docs: DataFrame, signals: DataFrame | None = None, routing: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of documents carrying ``person, person_id, repo_id`` (see :func:`with_owners`)."""
     facts = signal_facts(signal_table(docs) if signals is None else signals)
-    node_rows = document_nodes(docs).unionByName(signal_nodes(facts))
+    nodes = owner_nodes(docs).unionByName(fold_nodes(document_nodes(docs))).unionByName(fold_signal_nodes(signal_nodes(facts)))
     edge_rows = owner_edges(docs).unionByName(signal_edges(facts)).unionByName(strengthens_edges(facts))
     if routing:
-        node_rows = node_rows.unionByName(routing_nodes(docs))
+        nodes = nodes.unionByName(fold_nodes(routing_nodes(docs)))
         edge_rows = edge_rows.unionByName(routing_edges(docs))
-    return owner_nodes(docs).unionByName(fold_nodes(node_rows)), fold_edges(edge_rows)
+    return nodes, fold_edges(edge_rows)
 
 
 # -- Aggregated signals -----------------------------------------------------

@@ -139,7 +139,7 @@ def effective_weight(spark, sf_dir):
 
 @query("o57_node_dedup", f"WITH {FACTS_CTE}, {NODE_ROWS} {fold_nodes_sql('(SELECT * FROM nrows WHERE step = 1) x')}")
 def node_dedup(spark, sf_dir):
-    return node_view(B.fold_nodes(B.signal_nodes(facts(spark, sf_dir))))
+    return node_view(B.fold_signal_nodes(B.signal_nodes(facts(spark, sf_dir))))
 
 
 @query("o58_edge_dedup", f"WITH {FACTS_CTE}, {EDGE_ROWS} {fold_edges_sql('fan')}")
