@@ -25,13 +25,13 @@ SELECT o_orderkey, 'raw/' || c_mktsegment || '/order_' || CAST(o_orderkey AS STR
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 """
 SIGNALS = """
-SELECT source_key, source_file, repo, signal_type, trim(value) AS value, weight, frequency,
-  CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS pos
-FROM (SELECT d.*, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+SELECT source_key, source_file, repo, signal_type, trim(value) AS value, weight, frequency, pos
+FROM {docs} d JOIN (SELECT l_orderkey,
     CASE p_partkey % 5 WHEN 0 THEN 'skill' WHEN 1 THEN 'technology' WHEN 2 THEN 'aws_service' WHEN 3 THEN 'pattern' ELSE 'other' END
       AS signal_type,
-    CASE WHEN p_partkey % 50 = 3 THEN '  ' ELSE p_name END AS value, CAST(l_quantity AS INT) AS frequency
-  FROM {docs} d JOIN {lineitem} l ON d.o_orderkey = l.l_orderkey JOIN {part} p ON l.l_partkey = p.p_partkey) s
+    CASE WHEN p_partkey % 50 = 3 THEN '  ' ELSE p_name END AS value, CAST(l_quantity AS INT) AS frequency,
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS pos
+  FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey) s ON d.o_orderkey = s.l_orderkey
 WHERE trim(value) <> ''
 """
 FACTS_CTE = f"""docs AS ({plain(DOCS)}), sig AS ({plain(SIGNALS)}),
