@@ -7,12 +7,14 @@ by SQL that both Spark and the checking engine read, so both sides start from th
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier import constants as K
+from dossier.session import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -24,7 +26,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
     def register(run: Runner) -> Runner:
-        QUERIES[name] = run
+        @functools.wraps(run)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return run(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if sql is not None:
             ORACLES[name] = sql
         return run

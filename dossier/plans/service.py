@@ -91,7 +91,7 @@ class Service:
         nodes, edges = (store.read("nodes"), store.read("edges")) if self.use_graph else (None, None)
         weights = store.read("routing_weights")
         responses = materialize(P.answer_batch(
-            question, store.chunks(), nodes, edges, weights, self.embedder, self.model, request.top_k,
+            question, store.chunks().withColumnRenamed("id", "chunk_id"), nodes, edges, weights, self.embedder, self.model, request.top_k,
             request.min_confidence, request.include_graph_expansion,
         ))
         row = responses.select(P.response_json().alias("body"), P.response_json(False).alias("stored"), "confidence",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,26 @@ def build_session(app: str = "dossier", master: str | None = None, **conf: str)
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship(session)
+    return session
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so Python tasks can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="dossier-")) / "dossier_package.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for path in sorted(package.rglob("*.py")):
+            target.write(path, Path(package.name) / path.relative_to(package))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

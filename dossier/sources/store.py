@@ -17,7 +17,7 @@ from dossier import constants as K
 from dossier.functions import documents as D
 from dossier.operators.cache import CACHE_TYPE
 from dossier.operators.routing import WEIGHTS_TYPE
-from dossier.session import cut_lineage
+from dossier.session import cut_lineage, ship
 
 CHUNKS_TYPE = (
     "id string, doc_id string, source_file string, doc_type string, strategy string, chunk_index int, content string, "
@@ -35,6 +35,7 @@ CHUNK_BUCKETS = 256
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, chunk_buckets: int = CHUNK_BUCKETS):
+        ship(spark)
         self.spark, self.root, self.chunk_buckets = spark, root.rstrip("/"), chunk_buckets
 
     # -- versioned tables ---------------------------------------------------
