@@ -8,6 +8,8 @@ could still hold a better vector, by the triangle inequality on angles; nothing
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,22 +20,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from dossier.operators import similarity as N
-from dossier.session import shuffle_width
 
 
+ROWS_PER_SALT = 1 << 20
+
+
+@dataclass
 class ListIndex:
     """Centres (a small array: lists x dimensions), and the vectors with ``list_id, angle``."""
 
-    def __init__(self, centres: np.ndarray, vectors: DataFrame, chunk_id: str, vec: str):
-        self.centres, self.vectors, self.chunk_id, self.vec = centres, vectors, chunk_id, vec
-        self._radius: dict[int, float] | None = None
+    centres: np.ndarray
+    vectors: DataFrame
+    chunk_id: str
+    vec: str
+
+    @cached_property
+    def stats(self) -> dict[int, tuple[int, float]]:
+        """Per list (one small row each): its vectors, and the widest angle from its centre to one."""
+        rows = self.vectors.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a")).collect()
+        return {r["list_id"]: (r["n"], r["a"]) for r in rows}
 
-    def radius(self) -> dict[int, float]:
-        """Widest angle from each centre to a vector of its list (one number per list)."""
-        if self._radius is None:
-            rows = self.vectors.groupBy("list_id").agg(F.max("angle").alias("a")).collect()
-            self._radius = {r["list_id"]: r["a"] for r in rows}
-        return self._radius
+    def salts(self, list_id: Column) -> Column:
+        """Over how many tasks a list is spread; one, unless it is large."""
+        large = {i: -(-n // ROWS_PER_SALT) for i, (n, _) in self.stats.items() if n > ROWS_PER_SALT}
+        if not large:
+            return F.lit(1)
+        table = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])
+        return F.coalesce(table[list_id], F.lit(1))
 
 
 def _angles(vectors: pd.Series, centres: np.ndarray) -> np.ndarray:
@@ -65,7 +78,8 @@ def build_index(chunks: DataFrame, lists: int = 100, chunk_id: str = "chunk_id",
     assigned = rows.withColumn("a", nearest_list(F.col(vec), centres)).select(
         *rows.columns, F.col("a.list_id").alias("list_id"), F.col("a.angle").alias("angle")
     )
-    return ListIndex(centres, assigned, chunk_id, vec)
+    # Neighbouring rows of one list pack into full tiles.
+    return ListIndex(centres, assigned.sortWithinPartitions("list_id"), chunk_id, vec)
 
 
 def _probe(questions: DataFrame, centres: np.ndarray, qid: str, qvec: str, choose: Callable,
@@ -87,17 +101,24 @@ def _probe(questions: DataFrame, centres: np.ndarray, qid: str, qvec: str, choos
     return rows.where(F.col("list_id").isNotNull())
 
 
-def _score_lists(probes: DataFrame, index: ListIndex, k: int, qid: str, qvec: str, width: int) -> DataFrame:
-    """Score probed (question, list) pairs; a list's tiles are salted so a large list is many tasks."""
+def _score_lists(probes: DataFrame, index: ListIndex, k: int, qid: str, qvec: str) -> DataFrame:
+    """Score probed (question, list) pairs.
+
+    The tiles of a large list are dealt out over salts, and its questions copied to each. The
+    questions of a list are cut into tiles of bounded size by the list's own question count.
+    """
+    salts = index.salts(F.col("list_id"))
     tiles = N.pack_tiles(index.vectors, index.chunk_id, index.vec, keep=["list_id"]).withColumn(
-        "salt", F.pmod(F.xxhash64("mat"), F.lit(width)).cast("int")
+        "salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")
     )
-    part = F.pmod(F.xxhash64(qid), F.lit(width)).cast("int")
+    asked = probes.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / N.QUESTIONS_PER_TILE).alias("parts"))
+    row = F.struct(F.col(qid).alias("q"), F.col(qvec).cast("array<float>").alias("v"))
     grouped = (
-        probes.select("list_id", part.alias("part"), F.struct(F.col(qid).alias("q"), F.col(qvec).cast("array<float>").alias("v")).alias("r"))
+        probes.join(asked, "list_id")
+        .select("list_id", F.pmod(F.xxhash64(qid), F.col("parts")).alias("part"), row.alias("r"))
         .groupBy("list_id", "part").agg(F.collect_list("r").alias("r"))
         .select("list_id", F.col("r.q").alias("qids"), F.flatten("r.v").alias("qflat"),
-                F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("salt"))
+                F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     )
     return N.score_pairs(tiles.join(grouped, ["list_id", "salt"]), k, qid, index.chunk_id)
 
@@ -105,16 +126,14 @@ def _score_lists(probes: DataFrame, index: ListIndex, k: int, qid: str, qvec: st
 def search(questions: DataFrame, index: ListIndex, k: int, nprobe: int = 1, exact: bool = True,
            qid: str = "qid", qvec: str = "question_embedding") -> DataFrame:
     """The best ``k`` per question among the probed lists; among all vectors if ``exact``."""
-    width = shuffle_width(questions.sparkSession)
-
     def nearest(angles: np.ndarray) -> list[int]:
         return np.argsort(angles)[:nprobe].astype("int32").tolist()
 
     first = _probe(questions, index.centres, qid, qvec, nearest)
-    hits = N.keep_top(_score_lists(first, index, k, qid, qvec, width), k, qid, index.chunk_id)
+    hits = N.keep_top(_score_lists(first, index, k, qid, qvec), k, qid, index.chunk_id)
     if not exact:
         return hits
-    radius = np.array([index.radius().get(i, -np.inf) for i in range(len(index.centres))])
+    radius = np.array([index.stats.get(i, (0, -np.inf))[1] for i in range(len(index.centres))])
 
     def could_hold(angles: np.ndarray, worst: float | None) -> list[int]:
         limit = np.pi if worst is None or np.isnan(worst) else np.arccos(np.clip(worst, -1.0, 1.0))
@@ -126,5 +145,5 @@ def search(questions: DataFrame, index: ListIndex, k: int, nprobe: int = 1, exac
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("worst")
     )
     more = _probe(questions.join(worst, qid, "left"), index.centres, qid, qvec, could_hold, "worst")
-    both = hits.drop("rank").unionByName(_score_lists(more, index, k, qid, qvec, width))
+    both = hits.drop("rank").unionByName(_score_lists(more, index, k, qid, qvec))
     return N.keep_top(both, k, qid, index.chunk_id)

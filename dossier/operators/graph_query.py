@@ -85,40 +85,48 @@ def skill_neighbourhood(nodes: DataFrame, edges: DataFrame, labels: list[str] |
     return out if limit is None else out.limit(limit)
 
 
+def _first_rows(rows: DataFrame, label: str, order: list[str], labels: list[str] | DataFrame, limit: int | None) -> DataFrame:
+    """The first rows in order: of all, or, for many questions, of each label."""
+    if limit is None:
+        return rows
+    if not isinstance(labels, DataFrame):
+        return rows.orderBy(*order).limit(limit)
+    place = F.row_number().over(Window.partitionBy(F.lower(label)).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+
+
 def pattern_evidence(nodes: DataFrame, edges: DataFrame, labels: list[str] | DataFrame, limit: int | None = 30) -> DataFrame:
+    """Who shows a pattern, with a few neighbours; rows are cut before neighbours are looked up."""
     patterns = wanted(nodes, "Pattern", labels, "pattern")
     who = nodes.select(
         F.col("node_id").alias("entity_id"), F.col("node_type").alias("entity_type"),
-        F.col("label").alias("entity_label"), "source_file",
+        F.col("label").alias("entity_label"), F.coalesce("source_file", F.lit("")).alias("source_file"),
     )
+    keys = ["pattern", "entity_type", "entity_label", "source_file"]
     shown = linked(edges, ["DEMONSTRATES_PATTERN"], "entity", "pattern").join(patterns, "pattern_id")
+    rows = shown.join(who, "entity_id").withColumnRenamed("pattern_label", "pattern")
+    kept = _first_rows(rows.select(*keys).distinct(), "pattern", keys, labels, limit)
+    if limit is not None:
+        rows = rows.join(kept, keys, "left_semi")
     around = (
         linked(edges, ["CONTAINS", "INDICATES_SKILL"], "entity", "related")
-        .join(shown.select("entity_id").distinct(), "entity_id", "left_semi")
+        .join(rows.select("entity_id").distinct(), "entity_id", "left_semi")
         .join(named(nodes, "related"), "related_id")
     )
-    keys = ["pattern", "entity_type", "entity_label", "source_file"]
-    rows = shown.join(who, "entity_id").withColumnRenamed("pattern_label", "pattern")
     nearby = first_labels(around, ["entity_id"], "related_label", 5, "near")
     # Entities alike in all shown columns share one row, so their first labels are cut again.
     merged = first_labels(
         rows.join(nearby, "entity_id").select(*keys, F.explode("near").alias("related_label")),
         keys, "related_label", 5, "related",
     )
-    shown_rows = rows.select(*keys).distinct()
-    match = [shown_rows[k].eqNullSafe(merged[k]) for k in keys]
-    out = (
-        shown_rows.join(merged, match, "left").select(*[shown_rows[k] for k in keys], _empty("related"))
-        .orderBy(*keys)
-    )
-    return out if limit is None else out.limit(limit)
+    return kept.join(merged, keys, "left").select(*keys, _empty("related")).orderBy(*keys)
 
 
 def aws_service_context(nodes: DataFrame, edges: DataFrame, labels: list[str] | DataFrame, limit: int | None = 30) -> DataFrame:
     services = wanted(nodes, "AWSService", labels, "svc")
-    repos = named(nodes, "repo", "Repository")
     uses = linked(edges, ["USES_AWS_SERVICE"], "repo", "svc")
-    shown = uses.join(services, "svc_id").join(repos, "repo_id")
+    shown = uses.join(services, "svc_id").join(named(nodes, "repo", "Repository"), "repo_id")
+    shown = _first_rows(shown, "svc_label", ["svc_label", "repo_label", "repo_id"], labels, limit)
     mine = shown.select("repo_id").distinct()
     # One label more than shown: without the row's own service five are left.
     others = first_labels(
@@ -130,7 +138,7 @@ def aws_service_context(nodes: DataFrame, edges: DataFrame, labels: list[str] |
         .join(named(nodes, "tech", "Technology"), "tech_id"),
         ["repo_id"], "tech_label", 5, "co_technologies",
     )
-    out = (
+    return (
         shown.join(others, "repo_id", "left").join(techs, "repo_id", "left")
         .select(
             F.col("svc_label").alias("aws_service"), F.col("repo_label").alias("repository"),
@@ -139,7 +147,6 @@ def aws_service_context(nodes: DataFrame, edges: DataFrame, labels: list[str] |
         )
         .orderBy("aws_service", "repository")
     )
-    return out if limit is None else out.limit(limit)
 
 
 def person_summary(nodes: DataFrame, edges: DataFrame, limit: int | None = 1) -> DataFrame:

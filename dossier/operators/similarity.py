@@ -2,9 +2,9 @@
 
 Both sides are packed into tiles (a block of ids and one float32 matrix). Tiles meet in an
 equi-join, one matrix product scores them, and only the best ``k`` per question leave a
-tile, so pairs are never written out. Question tiles are broadcast only while their
-measured size is small; beyond that they are salted and shuffled, which spreads the work
-of each question tile over many tasks.
+pair of tiles, so single pairs are never written out. Question tiles are broadcast only
+while their measured size is small; beyond that they are copied once per salt and
+shuffled, while each chunk tile is shuffled once.
 """
 
 from __future__ import annotations
@@ -135,14 +135,15 @@ def keep_top(scored: DataFrame, k: int, qid: str, chunk_id: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def join_tiles(qtiles: DataFrame, ctiles: DataFrame, tiles: int, small: bool, width: int) -> DataFrame:
-    """Every question tile with every chunk tile, as an equi-join on the tile number."""
-    spread = ctiles.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    if small:
-        return spread.join(F.broadcast(qtiles), "tile")
-    salted = spread.withColumn("salt", F.pmod(F.xxhash64("mat"), F.lit(width)).cast("int"))
-    copies = qtiles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    return salted.join(copies, ["tile", "salt"])
+def join_tiles(qtiles: DataFrame, ctiles: DataFrame, salts: int) -> DataFrame:
+    """Every question tile with every chunk tile, as an equi-join on a salt.
+
+    Chunk tiles are dealt out over the salts and never copied; question tiles, the smaller
+    side, have one copy per salt. One salt means the question tiles are broadcast.
+    """
+    dealt = ctiles.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = qtiles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(F.broadcast(copies) if salts == 1 else copies, "salt")
 
 
 def top_k(questions: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", qvec: str = "question_embedding",
@@ -153,10 +154,8 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", qve
     ).first()
     tiles = max(1, -(-size["n"] // QUESTIONS_PER_TILE))
     small = size["n"] * (size["dim"] or 0) * 4 <= BROADCAST_BYTES
-    pairs = join_tiles(
-        question_tiles(questions, qid, qvec, tiles), pack_tiles(chunks, chunk_id, vec), tiles, small,
-        shuffle_width(chunks.sparkSession),
-    )
+    salts = 1 if small else shuffle_width(chunks.sparkSession)
+    pairs = join_tiles(question_tiles(questions, qid, qvec, tiles), pack_tiles(chunks, chunk_id, vec), salts)
     return keep_top(score_pairs(pairs, k, qid, chunk_id, min_score), k, qid, chunk_id)
 
 

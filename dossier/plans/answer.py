@@ -34,7 +34,7 @@ def prepare(questions: DataFrame, weights: DataFrame, embedder: V.Embedder) -> D
         V.embed(F.col("question"), embedder).alias("question_embedding"),
     )
     chosen = W.select_strategy(W.strategy_weights(asked, weights))
-    return asked.join(F.broadcast(chosen), "question_type")
+    return asked.join(chosen, "question_type")
 
 
 # -- Graph context ----------------------------------------------------------
@@ -53,7 +53,10 @@ def mentioned(results: DataFrame) -> DataFrame:
 
 
 def _for_questions(terms: DataFrame, kind: str, rows: DataFrame, label: str, order: list[str], limit: int) -> DataFrame:
-    """Query rows of all labels handed to the questions naming them, the first ``limit`` each."""
+    """Query rows handed to the questions naming their label, the first ``limit`` each.
+
+    The rows are already cut to as many per label, so a label on very many rows stays small.
+    """
     asked = terms.where(F.col("kind") == kind).select("qid", F.lower("label").alias("low")).distinct()
     joined = asked.join(rows.withColumn("low", F.lower(label)), "low").drop("low")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
@@ -72,11 +75,11 @@ def graph_context(results: DataFrame, questions: DataFrame, nodes: DataFrame, ed
         terms, "Skill", G.skill_neighbourhood(nodes, edges, labels("Skill"), None).select("skill"), "skill", ["skill"], 20
     ).select("qid", F.col("skill").alias("label"))
     patterns = _for_questions(
-        terms, "Pattern", G.pattern_evidence(nodes, edges, labels("Pattern"), None), "pattern",
+        terms, "Pattern", G.pattern_evidence(nodes, edges, labels("Pattern"), 30), "pattern",
         ["pattern", "entity_type", "entity_label", "source_file"], 30,
     ).select("qid", F.col("pattern").alias("label"))
     services = _for_questions(
-        terms, "AWSService", G.aws_service_context(nodes, edges, labels("AWSService"), None), "aws_service",
+        terms, "AWSService", G.aws_service_context(nodes, edges, labels("AWSService"), 30), "aws_service",
         ["aws_service", "repository"], 30,
     ).select("qid", F.col("aws_service").alias("label"))
     repeated = patterns.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)

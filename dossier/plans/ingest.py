@@ -37,6 +37,7 @@ class IngestReport:
         return asdict(self)
 
 
+# The report lists this many errors; the errors table holds all.
 ERRORS_SHOWN = 1000
 
 
@@ -102,9 +103,11 @@ def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str =
     store.write_json(nodes, f"{base}/graph_entities")
     store.write_json(edges, f"{base}/graph_edges")
     store.write_json(signals.orderBy(F.desc("strength"), "first_seen").drop("first_seen"), f"{base}/expertise_signals")
+    failed = texts.where(F.col("error").isNotNull()).select("source_key", "error")
+    store.write_json(failed, f"{base}/errors")
     problems = [
         f"Failed to process {r['source_key']}: {r['error']}"
-        for r in texts.where(F.col("error").isNotNull()).select("source_key", "error").limit(ERRORS_SHOWN).collect()
+        for r in failed.limit(ERRORS_SHOWN).collect()
     ]
     done = docs.count()
     report = IngestReport(

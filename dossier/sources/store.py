@@ -117,8 +117,9 @@ class Store:
             stored = self.spark.read.schema(f"{CHUNKS_TYPE}, bucket int").parquet(self.chunks_path)
             stored = stored.where(F.col("bucket").isin(touched))
             fresh = cut_lineage(upsert_chunks(stored, fresh))
+        # Rebalancing gives a large bucket several tasks and files, and small ones one each.
         (
-            fresh.repartition(self.chunk_buckets, "bucket").write.mode("overwrite")
+            fresh.hint("rebalance", F.col("bucket")).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.chunks_path)
         )
 
