@@ -7,6 +7,8 @@ holds at most 50 + 25 rows, so its folds run over a bounded array.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from dossier import constants as K
 from dossier.functions import documents as D
 from dossier.functions import questions as Q
 from dossier.operators import similarity as S
+from dossier.session import materialize
 
 RESULT = ["qid", "chunk_id", "content", "score", "source_file", "source_uri", "source_weight",
           "effective_score", "metadata", "rank"]
@@ -97,6 +100,7 @@ def _entries(rows: DataFrame, name: str) -> DataFrame:
 
 def deduplicate(results: DataFrame, threshold: float = K.DEDUP_THRESHOLD) -> DataFrame:
     """Drop rows whose opening words match those of a better-ranked kept row."""
+    results = materialize(results)  # read twice; the search behind it should run once
     kept = _entries(results, "all").select("qid", F.explode(_greedy(F.col("all"), threshold)).alias("e"))
     keys = kept.select("qid", F.col("e.rank").alias("rank"))
     out = results.join(keys, ["qid", "rank"], "left_semi")
@@ -110,6 +114,7 @@ def merge(primary: DataFrame, secondary: DataFrame, max_total: int, threshold: f
     The final order is by effective score, so a keyword rerank before it only settles ties;
     ``preserve_boost`` ranks by the boosted score where there is one.
     """
+    primary, secondary = materialize(primary), materialize(secondary)
     both = _entries(primary, "first").join(_entries(secondary, "second"), "qid", "full_outer")
     none = F.slice(F.coalesce("first", "second"), 1, 0)
     first, second = F.coalesce("first", none), F.coalesce("second", none)
@@ -133,23 +138,27 @@ def retrieve_with_strategy(questions: DataFrame, chunks: DataFrame, top_k: int =
     """Retrieve for ``(qid, question, question_embedding, strategy)`` rows, each by its strategy.
 
     One search serves all strategies; the rerank and the second pass then touch only the
-    questions whose strategy asks for them.
+    questions whose strategy asks for them, if there are any.
     """
-    n = questions.count()
-    primary = retrieve(questions, chunks, top_k, min_score, questions_at_most=n)
-    plain = questions.where(~F.col("strategy").isin("keyword_boosted", "hybrid"))
-    boosted = questions.where(F.col("strategy") == "keyword_boosted")
-    hybrid = questions.where(F.col("strategy") == "hybrid")
-
-    def of(group: DataFrame) -> DataFrame:
-        return primary.join(group.select("qid"), "qid", "left_semi")
-
-    reranked = keyword_rerank(of(boosted), boosted).select(*RESULT)
-    merged = merge(
-        keyword_rerank(of(hybrid), hybrid), retrieve_secondary(hybrid, chunks, top_k // 2, n), top_k,
-        preserve_boost=preserve_boost,
-    ) if top_k >= 2 else keyword_rerank(of(hybrid), hybrid).select(*RESULT)
-    return of(plain).unionByName(reranked).unionByName(merged)
+    asked = {r["strategy"]: r["n"] for r in questions.groupBy("strategy").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(asked.values())
+    primary = materialize(retrieve(questions, chunks, top_k, min_score, questions_at_most=n))
+
+    def of(*names: str) -> tuple[DataFrame, DataFrame]:
+        group = questions.where(F.col("strategy").isin(*names))
+        return primary.join(group.select("qid"), "qid", "left_semi"), group
+
+    parts = [of(*[s for s in asked if s not in ("keyword_boosted", "hybrid")] or [""])[0]]
+    if "keyword_boosted" in asked:
+        parts.append(keyword_rerank(*of("keyword_boosted")).select(*RESULT))
+    if "hybrid" in asked:
+        rows, group = of("hybrid")
+        reranked = keyword_rerank(rows, group)
+        if top_k >= 2:
+            second = retrieve_secondary(group, chunks, top_k // 2, n)
+            reranked = merge(reranked, second, top_k, preserve_boost=preserve_boost)
+        parts.append(reranked.select(*RESULT))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def retrieval_report(hits: DataFrame, top_k: int = K.DEFAULT_TOP_K) -> DataFrame:

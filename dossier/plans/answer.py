@@ -88,15 +88,16 @@ def graph_context(results: DataFrame, questions: DataFrame, nodes: DataFrame, ed
         return rows.groupBy("qid").agg(F.array_sort(F.collect_set("label")).alias(name))
 
     none = F.array().cast(LABELS)
-    own = person.select("skills", "patterns", "aws_services", F.lit(True).alias("has_person"), F.lit(1).alias("one"))
+    own = person.select(F.struct("skills", "patterns", "aws_services")).scalar()
     joined = (
-        questions.select("qid", F.lit(1).alias("one")).join(F.broadcast(own), "one", "left")
+        questions.select("qid", own.alias("own"))
+        .select("qid", "own.*", F.col("own").isNotNull().alias("has_person"))
         .join(collected(skills, "near_skills"), "qid", "left").join(collected(repeated, "repeated_patterns"), "qid", "left")
         .join(collected(skills.union(patterns).union(services), "graph_entities_used"), "qid", "left")
     )
     found = F.array_union(F.coalesce("near_skills", none), F.coalesce("skills", none))
     return joined.select(
-        "qid", F.coalesce("has_person", F.lit(False)).alias("has_person"),
+        "qid", "has_person",
         *[F.coalesce(c, none).alias(c) for c in ("skills", "patterns", "aws_services", "repeated_patterns", "graph_entities_used")],
         F.slice(F.array_sort(found), 1, 15).alias("inferred_skills"),
     )
