@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier import constants as K
@@ -48,6 +48,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def explode_rows(df: DataFrame, keep: list[str], items: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per item. The outer form stops the optimizer from computing the items twice,
+    once only to test that there are any."""
+    if position is None:
+        rows = df.select(*keep, F.explode_outer(items).alias(name))
+    else:
+        rows = df.select(*keep, F.posexplode_outer(items).alias(position, name))
+    return rows.where(F.col(name).isNotNull())
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(K.WHITESPACE))
 

@@ -138,9 +138,7 @@ def chunk_array(text: Column, strategy: Column) -> Column:
 
 
 def explode_chunks(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
-    # The outer form keeps the optimizer from computing the chunks once more to test for none.
-    rows = df.select(*keep, F.posexplode_outer(chunks).alias("chunk_index", "c"))
-    return rows.where(F.col("c").isNotNull()).select(
+    return T.explode_rows(df, keep, chunks, "c", "chunk_index").select(
         *keep, "chunk_index", "c.content", "c.parent_content", "c.is_child"
     )
 

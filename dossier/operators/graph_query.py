@@ -289,7 +289,7 @@ def entity_ids(snippets: DataFrame, text_col: str = "content", key: str = "qid",
         ids_of("aws_service", T.find_aws_services(text)), ids_of("technology", T.find_technologies(text)),
         ids_of("pattern", T.find_patterns(text)),
     )
-    rows = snippets.select(key, F.explode(F.array_distinct(ids)).alias("entity_id")).distinct()
+    rows = T.explode_rows(snippets, [key], F.array_distinct(ids), "entity_id").distinct()
     order = Window.partitionBy(key).orderBy("entity_id")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")
 

@@ -118,8 +118,8 @@ SELECT doc_id, CAST(pos AS BIGINT) AS pos, content FROM c
 """)
 def word_windows(spark, sf_dir):
     cut = C.windows(T.words(F.col("text")), 100, 20)
-    rows = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode_outer(cut).alias("pos", "content"))
-    return rows.where(F.col("content").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))
+    rows = T.explode_rows(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"], cut, "content", "pos")
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def fixed_query(name, strategy):
@@ -177,10 +177,9 @@ sent_out AS (SELECT w.doc_id, w.chunk_index, string_agg(p.sentence, ' ' ORDER BY
 WITH {sentences_cte('documents', 'text')} SELECT doc_id, CAST(i AS BIGINT) AS i, sentence FROM sent
 """)
 def sentences(spark, sf_dir):
-    rows = documents(spark, sf_dir, "doc_id", "text").select(
-        "doc_id", F.posexplode_outer(C.sentences(F.col("text"))).alias("i", "sentence")
-    )
-    return rows.where(F.col("sentence").isNotNull()).withColumn("i", F.col("i").cast("bigint"))
+    cut = C.sentences(F.col("text"))
+    rows = T.explode_rows(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"], cut, "sentence", "i")
+    return rows.withColumn("i", F.col("i").cast("bigint"))
 
 
 @query("o52_sentence_windows", f"""

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from dossier import constants as K
 from dossier.functions import questions as Q
-from dossier.operators import ordered as O
 from dossier.operators import routing as R
 from dossier.plans.catalog.base import case_list, literal, plain, portable, query
 

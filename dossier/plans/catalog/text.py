@@ -70,7 +70,7 @@ def markdown_clean(spark, sf_dir):
 WITH {MD_CTE} SELECT doc_id, unnest(regexp_extract_all(content, '(?m)^#{{1,4}}\\s+(.+)$', 1)) AS heading FROM md
 """)
 def headings(spark, sf_dir):
-    return markdown(spark, sf_dir).select("doc_id", F.explode(T.headings(F.col("content"))).alias("heading"))
+    return T.explode_rows(markdown(spark, sf_dir), ["doc_id"], T.headings(F.col("content")), "heading")
 
 
 FENCE = "(?s)```([\\pL\\pN_]*)\\n(.*?)```"
@@ -84,7 +84,7 @@ SELECT doc_id, CASE WHEN lang = '' THEN 'text' ELSE lower(lang) END AS lang, {sq
 FROM b WHERE {sql_strip('code')} <> ''
 """)
 def code_blocks(spark, sf_dir):
-    rows = markdown(spark, sf_dir).select("doc_id", F.explode(T.code_blocks(F.col("content"))).alias("b"))
+    rows = T.explode_rows(markdown(spark, sf_dir), ["doc_id"], T.code_blocks(F.col("content")), "b")
     return rows.select("doc_id", "b.lang", "b.code")
 
 
@@ -125,7 +125,7 @@ PAT_RX = rf"(?i)\b({K.PATTERN_TERMS})\b"
 def finder_query(name, pattern, finder):
     @query(name, f"WITH {CORPUS_CTE} SELECT doc_id, unnest({sql_found('content', pattern)}) AS value FROM corpus")
     def run(spark, sf_dir):
-        return corpus(spark, sf_dir).select("doc_id", F.explode(finder(F.col("content"))).alias("value"))
+        return T.explode_rows(corpus(spark, sf_dir), ["doc_id"], finder(F.col("content")), "value")
 
 
 finder_query("o28_aws_services", AWS_RX, T.find_aws_services)
@@ -148,9 +148,8 @@ def sql_signals(source: str, text: str) -> str:
 
 @query("o31_build_signals", f"WITH {CORPUS_CTE} {sql_signals('corpus', 'content')}")
 def build_signals(spark, sf_dir):
-    rows = corpus(spark, sf_dir).select(
-        "doc_id", F.explode(T.build_signals(F.col("content"), F.col("source_file"), F.lit(1.0))).alias("s")
-    )
+    signals = T.build_signals(F.col("content"), F.col("source_file"), F.lit(1.0))
+    rows = T.explode_rows(corpus(spark, sf_dir), ["doc_id"], signals, "s")
     return rows.select("doc_id", "s.signal_type", "s.value", F.col("s.frequency").cast("bigint").alias("frequency"))
 
 
@@ -164,7 +163,7 @@ FROM documents
 """)
 def custom_terms(spark, sf_dir):
     found = T.found(F.col("text"), T.term_pattern(COMMON_TERMS))
-    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(found).alias("value"))
+    return T.explode_rows(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"], found, "value")
 
 
 # -- YAML: structure comes from a parser, so rows only ----------------------
@@ -178,8 +177,7 @@ def manifests(spark, sf_dir):
 
 @query("o32_yaml_flatten")
 def yaml_flatten(spark, sf_dir):
-    lines = manifests(spark, sf_dir).select("doc_id", F.posexplode_outer(F.split("extracted_text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").isNotNull())
+    return T.explode_rows(manifests(spark, sf_dir), ["doc_id"], F.split("extracted_text", "\n"), "line", "line_no")
 
 
 YAML_TERMS = f"""
@@ -196,8 +194,8 @@ SELECT doc_id, signal_type, value, frequency FROM s
 
 @query("o33_yaml_signals", YAML_TERMS)
 def yaml_signals(spark, sf_dir):
-    rows = manifests(spark, sf_dir).select("doc_id", F.explode_outer("expertise_signals").alias("s"))
-    return rows.where(F.col("s").isNotNull()).select("doc_id", "s.signal_type", "s.value", F.col("s.frequency").cast("bigint").alias("frequency"))
+    rows = T.explode_rows(manifests(spark, sf_dir), ["doc_id"], F.col("expertise_signals"), "s")
+    return rows.select("doc_id", "s.signal_type", "s.value", F.col("s.frequency").cast("bigint").alias("frequency"))
 
 
 @query("o34_yaml_metadata", f"""
@@ -258,11 +256,12 @@ def plantuml_parts(spark, sf_dir):
     content, zero = F.col("content"), F.lit(0).cast("bigint").alias("pos")
     rows = diagrams(spark, sf_dir)
     listed = [
-        rows.select("doc_id", F.lit(part).alias("part"), F.posexplode(values).alias("pos", "value"))
-        .withColumn("pos", F.col("pos").cast("bigint"))
+        T.explode_rows(rows, ["doc_id"], values, "value", "pos")
+        .select("doc_id", F.lit(part).alias("part"), F.col("pos").cast("bigint").alias("pos"), "value")
         for part, values in [("component", X.diagram_components(content)), ("relation", X.diagram_relations(content))]
     ]
-    services = rows.select("doc_id", F.lit("service").alias("part"), zero, F.explode(X.diagram_services(content)).alias("value"))
+    found = T.explode_rows(rows, ["doc_id"], X.diagram_services(content), "value")
+    services = found.select("doc_id", F.lit("service").alias("part"), zero, "value")
     kinds = rows.select("doc_id", F.lit("type").alias("part"), zero, X.diagram_type(content).alias("value"))
     return listed[0].unionByName(listed[1]).unionByName(services).unionByName(kinds)
 
