@@ -36,11 +36,12 @@ def test_finders(spark):
 def test_grouped_terms_find_what_the_list_finds(spark):
     rng = random.Random(3)
     terms = [t.replace("\\", "") for t in (K.TECHNOLOGY_TERMS + "|" + K.PATTERN_TERMS).split("|")]
-    for _ in range(30):
-        text = " ".join(rng.choice(terms + ["é", "x_Go", "go", "Javax", "REST-ful", "nodeXjs"]) for _ in range(40))
-        for pattern, listed in ((T.TECHNOLOGY, K.TECHNOLOGY_TERMS), (T.PATTERN, K.PATTERN_TERMS)):
-            want = [m.group(0) for m in re.finditer(rf"\b({listed})\b", text, re.IGNORECASE)]
-            assert one(spark, text, lambda c, p=pattern: T.find_all(c, p)) == want
+    pool = terms + ["é", "x_Go", "go", "Javax", "REST-ful", "nodeXjs"]
+    texts = [" ".join(rng.choice(pool) for _ in range(40)) for _ in range(400)]
+    found = [T.find_all(F.col("t"), p).alias(n) for n, p in (("a", T.TECHNOLOGY), ("b", T.PATTERN))]
+    for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", *found).collect():
+        for got, listed in ((r.a, K.TECHNOLOGY_TERMS), (r.b, K.PATTERN_TERMS)):
+            assert got == [m.group(0) for m in re.finditer(rf"\b({listed})\b", texts[r.i], re.IGNORECASE)]
 
 
 def test_substring_frequency(spark):
@@ -126,18 +127,22 @@ def test_unknown_strategy_is_fixed_512_and_blank_has_no_chunks(spark):
 ARROW = re.compile(X.ARROW, re.MULTILINE)
 
 
+def plain_relations(text):
+    out = []
+    for m in ARROW.finditer(text):
+        a, b = (m.group(g).strip().strip('"') for g in (1, 2))
+        if len(a) > 1 and len(b) > 1:
+            label = (m.group(3) or "").strip()
+            out.append(f"{a} → {b}" + (f" [{label}]" if label else ""))
+    return out
+
+
 def test_relations_match_plain_search(spark):
     rng = random.Random(5)
     pieces = ["User", '"Web App"', "<x>", "-->", "->", "..", "--", "<-", " : asks", "\n", "\n\n", " ", "a-b", ":", '"', "long text here"]
-    for _ in range(120):
-        text = "".join(rng.choice(pieces) for _ in range(25))
-        want = []
-        for m in ARROW.finditer(text):
-            a, b = (m.group(g).strip().strip('"') for g in (1, 2))
-            if len(a) > 1 and len(b) > 1:
-                label = (m.group(3) or "").strip()
-                want.append(f"{a} → {b}" + (f" [{label}]" if label else ""))
-        assert one(spark, text, X.diagram_relations) == want, text
+    texts = ["".join(rng.choice(pieces) for _ in range(25)) for _ in range(2000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.diagram_relations(F.col("t")).alias("r"))
+    assert all(r.r == plain_relations(texts[r.i]) for r in rows.collect())
 
 
 def test_questions(spark):
