@@ -144,3 +144,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def unit_hash(*columns: Column) -> Column:
     """A number in [0, 1) that depends on the columns' values alone."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+#: Bytes of words: ASCII letters and digits, and all that is not ASCII.
+WORD_BYTE = np.zeros(256, bool)
+WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and hash of every word of some rows, in order; ASCII upper case counts as lower case."""
+    base = offsets[0]
+    data, offsets = LOWER[data[base:offsets[-1]]], offsets - base
+    starts, ends = word_spans(WORD_BYTE[data], offsets[:-1])
+    return np.searchsorted(offsets, starts, "right") - 1, span_hashes(data, starts, ends)

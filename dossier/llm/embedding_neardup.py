@@ -24,6 +24,8 @@ MIN_COSINE = 0.98
 PIVOTS = 16
 #: Vectors in one side of a tile.
 TILE_ROWS = 1024
+#: The most frequent vector sizes get pivots; vectors of any other size make one cell per size and label.
+SIZES_WITH_PIVOTS = 16
 
 
 def _unit(vectors: pd.Series | list) -> np.ndarray:
@@ -38,6 +40,9 @@ def _cells(pivots: dict[int, np.ndarray], radius: float):
         for rows in batches:
             sizes = rows["vector"].map(len)
             for size, part in rows.groupby(sizes):
+                if size not in pivots:
+                    yield part.assign(cell=0, own=True)[["rep", "label", "n", "vector", "cell", "own"]]
+                    continue
                 centre = pivots[size]
                 apart = np.sqrt(np.maximum(0, 2 - 2 * centre @ centre.T))
                 near = _unit(part["vector"]) @ centre.T
@@ -98,7 +103,8 @@ def near_duplicates(
     # -0.0 and 0.0 are one value
     valid = valid.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0).cast("float")).cast("array<double>"))
     classes = materialize(valid.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    sizes = [r[0] for r in classes.select(F.size("vector")).distinct().limit(1000).collect()]
+    common = classes.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(SIZES_WITH_PIVOTS)
+    sizes = [r["size"] for r in common.collect()]
     sampled = {
         s: [r[0] for r in classes.where(F.size("vector") == s).orderBy(F.xxhash64("rep")).limit(pivots).select("vector").collect()]
         for s in sizes
