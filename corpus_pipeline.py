@@ -7,17 +7,44 @@ as the next one's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dossier.llm import simhash_neardup
+from dossier.llm import decontamination, language_id, mixing, sharding, simhash_neardup
 from dossier.llm.common import table
 from dossier.session import materialize
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is accepted stay; models are learned from all documents of the table."""
+    found = language_id.identify_documents(docs, table(spark, sf_dir, "documents"))
+    rejected = found.where(~F.col("accepted")).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group stays."""
     return simhash_neardup.one_of_each(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay by their rates; clean documents have a rate of one or more."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's shard and place in it."""
+    return sharding.assign(docs)
+
+
+STAGES = [
+    ("language", known_language), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks),
+    ("mixture", mixture), ("shards", shards),
+]
 
 #: The stages learn models and follow links over many rounds, which SQL cannot state.
 ORACLE_SQL = None
