@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import powers, slices, span_hashes, text_bytes
 
-#: A chunk ends after a byte on which these gear bits are zero: 16 bytes on average.
-CUT_BITS = 0b1111 << 16
+#: A chunk ends after a byte on which these gear bits are zero: 16 bytes on average, told by the last ten.
+CUT_BITS = 0b1111 << 6
 #: Chunks that one digest covers.
 CHUNKS_IN_PIECE = 3
 #: A chunk is cut after this many bytes even without a content cut.
@@ -68,13 +68,11 @@ def pieces(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> dict[str,
     base = offsets[row]
     return {
         "digest": span_hashes(data, start, end).view(np.int64), "doc_id": ids[row],
-        "start": start - base, "end": end - base, "first_word": words[start] - words[base], "last_word": words[end] - words[base],
+        # Two numbers in one, for shuffles that carry a row per piece.
+        "place": (words[start] - words[base]) << 32 | start - base, "extent": (words[end] - words[start]) << 16 | end - start,
     }
 
 
-_PIECE = "digest long, doc_id long, start long, end long, first_word long, last_word long"
-
-
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -85,41 +83,36 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests alone, those of one slice of the table counted before they leave it."""
+    """Digests with their numbers of places and of documents, those of one slice of the table counted before they leave it."""
     for batch in _piece_rows(batches):
-        digest = batch.column(0).to_numpy()
-        place = batch.column(1).to_numpy() << 24 | np.minimum(batch.column(2).to_numpy(), (1 << 24) - 1)
-        order = np.lexsort((place, digest))
-        digest, place = digest[order], place[order]
+        digest, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        order = np.lexsort((ids, digest))
+        digest, ids = digest[order], ids[order]
         head = np.flatnonzero(np.diff(digest, prepend=digest[:1] - 1))
+        new = np.ones(len(digest), np.int64)
+        new[1:] = (digest[1:] != digest[:-1]) | (ids[1:] != ids[:-1])
         n = np.diff(np.append(head, len(digest)))
-        tail = np.append(head[1:], len(digest)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest[head], n, place[head], place[tail])], ["digest", "n", "first", "last"])
+        docs = np.add.reduceat(new, head) if len(head) else n
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest[head], n << 32 | docs, ids[head])], ["digest", "n", "first"])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages that more than one document holds: doc_id, start, end (bytes), n_words, is_first, holders.
 
-    One row per passage and place. `is_first` says that all its pieces occur here for the first time (by doc_id, then
-    by place), so a dedup that cuts the other rows keeps one copy; `holders` is the largest number of
+    One row per passage and place. `is_first` says that no document with a smaller id has one of its pieces, so a dedup that cuts the other rows keeps one copy; `holders` is the largest number of
     places of one piece. Null and empty texts have no passages; texts are taken whole; a
     passage that only one text repeats is not reported. Rows with a null id are left out, repeated rows are copies, an empty table gives an
-    empty result, and extra columns are ignored. doc_id must be below 2**38.
+    empty result, and extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    counted = rows.mapInArrow(_digest_rows, "digest long, n long, first long, last long")
-    repeated = counted.groupBy("digest").agg(F.sum("n").alias("holders"), F.min("first").alias("first"), F.max("last").alias("last"))
-    repeated = repeated.where("shiftright(first, 24) <> shiftright(last, 24)").drop("last")
-    places = rows.mapInArrow(_piece_rows, _PIECE)
-    shared = places.join(repeated, "digest").select(
-        "doc_id", F.struct(
-            "start", "end", "first_word", "last_word", "holders",
-            (F.shiftleft("doc_id", 24).bitwiseOR(F.least("start", F.lit((1 << 24) - 1))) == F.col("first")).alias("new"),
-        ).alias("piece"),
-    )
-    return shared.groupBy("doc_id").agg(F.array_sort(F.collect_list("piece")).alias("pieces")).mapInArrow(
-        _merged(min_words), "doc_id long, start long, end long, n_words long, is_first boolean, holders long",
-    )
+    counted = rows.mapInArrow(_digest_rows, "digest long, n long, first long")
+    # A document is within one slice, so the slices' numbers of documents add up.
+    repeated = counted.groupBy("digest").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    repeated = repeated.where("n & 4294967295 > 1").select("digest", F.shiftright("n", 32).alias("holders"), "first")
+    places = rows.mapInArrow(_piece_rows, "digest long, doc_id long, place long, extent long")
+    piece = F.struct("place", "extent", "holders", (F.col("doc_id") == F.col("first")).alias("new"))
+    shared = places.join(repeated, "digest").groupBy("doc_id").agg(F.collect_list(piece).alias("pieces"))
+    return shared.mapInArrow(_merged(min_words), "doc_id long, start long, end long, n_words long, is_first boolean, holders long")
 
 
 def _merged(min_words: int):
@@ -130,7 +123,11 @@ def _merged(min_words: int):
             lists = batch.column(1)
             flat = lists.flatten()
             row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            start, end, first, last, holders, new = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+            place, extent, holders, new = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            start, first = place & 0xFFFFFFFF, place >> 32
+            order = np.lexsort((start, row))
+            row, start, first, extent, holders, new = (x[order] for x in (row, start, first, extent, holders, new))
+            end, last = start + (extent & 0xFFFF), first + (extent >> 16)
             head = np.ones(len(row), bool)
             head[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
             head = np.flatnonzero(head)
