@@ -16,16 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.common import powers, slices, span_hashes, text_bytes
+from dossier.session import materialize
 
-#: A chunk ends after a byte on which these gear bits are zero: 16 bytes on average, told by the last ten.
-CUT_BITS = 0b1111 << 6
+#: A chunk ends after a byte on which eight gear bits, told by the last twelve bytes, are below this: 20 bytes on average.
+CUT_BELOW = 13
 #: Chunks that one digest covers.
 CHUNKS_IN_PIECE = 3
 #: A chunk is cut after this many bytes even without a content cut.
 MAX_CHUNK = 96
 #: Words that neighbouring repeated pieces must cover together to count as a passage. The parts of
 #: chunks at a passage's two ends are not covered, so this is well below the length looked for.
-MIN_WORDS = 30
+MIN_WORDS = 26
 
 #: One number per byte value, from a fixed rule.
 GEAR = (powers(0x9E3779B97F4A7C15, 257)[1:] >> np.uint64(32)).astype(np.uint32)
@@ -36,7 +37,7 @@ def chunk_ends(data: np.ndarray, row_ends: np.ndarray) -> np.ndarray:
     h = GEAR[data]
     for width in (1, 2, 4, 8, 16):  # after the last step h holds the sum over 32 bytes, each shifted by its age
         h[width:] += h[:-width] << np.uint32(width)
-    cuts = np.flatnonzero((h & np.uint32(CUT_BITS)) == 0) + 1
+    cuts = np.flatnonzero((h >> np.uint32(4) & np.uint32(255)) < CUT_BELOW) + 1
     ends = np.union1d(cuts, row_ends[row_ends > 0])
     gaps = np.diff(ends, prepend=0)
     long = np.flatnonzero(gaps > MAX_CHUNK)
@@ -108,7 +109,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     counted = rows.mapInArrow(_digest_rows, "digest long, n long, first long")
     # A document is within one slice, so the slices' numbers of documents add up.
     repeated = counted.groupBy("digest").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    repeated = repeated.where("n & 4294967295 > 1").select("digest", F.shiftright("n", 32).alias("holders"), "first")
+    # Written once, so that the join below has two shuffles of its own and can split a digest that very many places share.
+    repeated = materialize(repeated.where("n & 4294967295 > 1").select("digest", F.shiftright("n", 32).alias("holders"), "first"))
     places = rows.mapInArrow(_piece_rows, "digest long, doc_id long, place long, extent long")
     piece = F.struct("place", "extent", "holders", (F.col("doc_id") == F.col("first")).alias("new"))
     shared = places.join(repeated, "digest").groupBy("doc_id").agg(F.collect_list(piece).alias("pieces"))
