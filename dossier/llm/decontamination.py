@@ -23,7 +23,7 @@ from dossier.session import materialize
 #: Buckets of word hashes.
 BUCKETS = 1 << 16
 #: Dimensions of the latent space, extra ones for the range finder, and rounds of power iteration.
-RANK = 96
+RANK = 48
 OVERSAMPLE = 16
 POWER_ROUNDS = 2
 #: Words in a block; a window is two neighbouring blocks.
@@ -47,8 +47,9 @@ def _df_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs += len(offsets) - 1
         for a, b in slices(offsets):
             row, word = hashed_words(data, offsets[a:b + 1])
-            seen = np.unique(row << 16 | (word & np.uint64(BUCKETS - 1)).astype(np.int64))
-            counts[:BUCKETS] += np.bincount(seen & (BUCKETS - 1), minlength=BUCKETS)
+            kind = np.uint32 if b - a < 1 << 16 else np.int64  # short numbers sort faster
+            seen = np.sort(row.astype(kind) << 16 | (word & np.uint64(BUCKETS - 1)).astype(kind))
+            counts[:BUCKETS] += np.bincount(seen[np.diff(seen, prepend=seen[:1] + 1) != 0] & (BUCKETS - 1), minlength=BUCKETS)
     counts[BUCKETS] = docs
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
@@ -157,11 +158,14 @@ class Index:
         within = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = first[of] + within * BLOCK_WORDS
         slots = self.slot[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
-        window = np.empty((len(start), self.vectors.shape[1]), np.float32)
-        for at in range(0, len(start), 2048):  # keeps the words' vectors of few blocks in memory
-            stop = min(at + 2048, len(start))
-            end = start[stop] if stop < len(start) else len(words)
-            window[at:stop] = np.add.reduceat(self.vectors[slots[start[at]:end]], start[at:stop] - start[at], axis=0)
+        # Only the passages' own words have a place in the latent space.
+        known = np.flatnonzero(slots < len(self.vectors) - 1)
+        block = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(words))))[known]
+        window = np.zeros((len(start), self.vectors.shape[1]), np.float32)
+        for at in range(0, len(known), 1 << 15):  # keeps few words' vectors in memory
+            some = slice(at, at + (1 << 15))
+            head = np.flatnonzero(np.diff(block[some], prepend=-1))
+            window[block[some][head]] += np.add.reduceat(self.vectors[slots[known[some]]], head, axis=0)
         same = of[1:] == of[:-1]
         window[:-1][same] += window[1:][same]
         norm = np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)

@@ -54,7 +54,8 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     code = ((code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(19)).astype(np.int64)
     ends = offsets[1:] - offsets[0]
     plain = LETTER_BYTE[own]
-    inside = plain[:-2] & plain[1:-1] & plain[2:]
+    letter = plain & (own != 32)
+    inside = plain[:-2] & plain[1:-1] & plain[2:] & (letter[:-2] | letter[1:-1] | letter[2:])
     for back in (1, 2):  # a trigram must not reach into the next row
         cross = ends - back
         inside[cross[(cross >= 0) & (cross < len(code))]] = False
