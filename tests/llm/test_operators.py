@@ -1,0 +1,271 @@
+"""Each operator against a brute-force version and on the cases that its docstring defines."""
+
+import itertools
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from dossier.llm import (
+    common, decontamination, embedding_neardup, language_id, license_scan, mixing, pii_surrogates, quality, sharding, simhash_neardup,
+    substring_dedup,
+)
+from dossier.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, label int, key string, rep long, shard int, part int"
+ODD = ["", None, " \n\t ", "a", "Word " * 30_000, "x" * 40_000, "ÀÉ ñ ß 漢字", "same text here now", "same text here now"]
+
+
+def docs_of(spark, texts, first=0):
+    rows = [(first + i, t, "en", "Src.A", None, 1, "k", 5, 2, 3) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def closure(n, linked):
+    label = list(range(n))
+    for _ in range(n):
+        new = [min([label[i], *(label[j] for j in range(n) if linked(i, j))]) for i in range(n)]
+        if new == label:
+            break
+        label = new
+    return label
+
+
+def prose(seed, n=120):
+    draw = np.random.default_rng(seed)
+    return " ".join("".join(draw.choice(list("abcdefghij"), 5)) for _ in range(n))
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 9)] + [(7, 7), (None, 3), (201, 200), (200, 201)]
+    got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(9)}, 200: 200, 201: 200}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_embedding_links_equal_brute_force(spark):
+    draw = np.random.default_rng(3)
+    centres = draw.standard_normal((6, 8))
+    vectors = [(centres[i % 6] + 0.12 * draw.standard_normal(8)).astype(np.float32).tolist() for i in range(150)]
+    rows = [(i, v, i % 2, "x") for i, v in enumerate(vectors)] + [(200 + i, vectors[0], 0, "x") for i in range(5)]
+    rows += [(300, None, 0, "x"), (301, [0.0] * 8, 0, "x"), (302, [float("nan")] * 8, 0, "x"), (303, vectors[0], None, "x"), (304, [None] * 8, 0, "x"), (305, [1.0, 2.0], 0, "x"), (306, [], 1, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep string")
+    unit = {r[0]: np.array(r[1], float) / np.linalg.norm(r[1]) for r in rows if r[0] < 300}
+    ids = [r[0] for r in rows]
+    label = {r[0]: r[2] for r in rows}
+    linked = lambda a, b: a != b and a < 300 and b < 300 and label[a] == label[b] and unit[a] @ unit[b] >= 0.98
+    root = closure(len(ids), lambda i, j: linked(ids[i], ids[j]))
+    for tile in (1024, 16):
+        got = {r["vec_id"]: r for r in embedding_neardup.near_duplicates(df, tile_rows=tile).collect()}
+        for i, a in enumerate(ids):
+            assert (got[a]["n_links"], got[a]["component_id"]) == (sum(linked(a, b) for b in ids), ids[root[i]])
+            assert got[a]["kept"] == (a == ids[root[i]])
+    assert embedding_neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_golay_code_is_perfect_and_keys_meet():
+    index = simhash_neardup.codeword_index()
+    assert np.bincount(index, minlength=4096).tolist() == [2048] * 4096
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        a = int(draw.integers(0, 1 << 63, dtype=np.uint64)) * 2 + int(draw.integers(2))
+        bits = draw.choice(64, int(draw.integers(0, 5)), replace=False)
+        b = a
+        for bit in bits:
+            b ^= 1 << int(bit)
+        keys = [set(simhash_neardup.keys_of(np.array([x], np.uint64))[1].tolist()) for x in (a, b)]
+        assert keys[0] & keys[1]
+
+
+def fingerprint(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_simhash_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash_neardup, "BLOCK", block)
+    base = prose(1, 400)
+    near = [base.replace(base[6 * i:6 * i + 5], "changed", 1) for i in range(25)]
+    texts = ODD[:4] + ODD[5:] + near + [base, base] + [prose(i) for i in range(10, 20)]
+    got = {r["doc_id"]: r for r in simhash_neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    marks = [fingerprint(t) for t in texts]
+    root = closure(len(texts), lambda i, j: (marks[i] ^ marks[j]).bit_count() <= 4)
+    assert [(got[i]["fingerprint"], got[i]["component_id"]) for i in range(len(texts))] == [(f"{m:016x}", r) for m, r in zip(marks, root)]
+    kept = simhash_neardup.one_of_each(docs_of(spark, texts))
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(set(root)) and len(kept.columns) == 10
+    assert simhash_neardup.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_language_from_text_host_and_markup(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = language_id.identify_documents(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert len(got) == docs.count()
+    assert np.mean([r["language"] == r["lang"] for r in got if len(r["text"]) > 60]) > 0.97
+    odd = {r["doc_id"]: r for r in language_id.identify_documents(docs_of(spark, ODD), docs).collect()}
+    assert len(odd) == len(ODD) and not odd[0]["accepted"] and not odd[1]["accepted"]
+    page = "<html lang='fr'><body><script>x</script><p></p></body></html>"
+    rows = [(1, "http://a.b.fr/x", page), (2, None, None), (3, "ftp://x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in language_id.identify_pages(pages, docs).collect()}
+    assert found[1]["language"] == "fr" and not found[1]["accepted"] and len(found) == 3
+    assert language_id.identify_documents(docs.limit(0), docs).count() == 0
+
+
+def test_quality_on_held_out_labels_and_odd_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.95
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    odd = quality.score(docs_of(spark, ODD), labels).collect()
+    assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in odd)
+    assert quality.score(docs.limit(0), labels.limit(0)).count() == 0
+    assert quality.score(docs_of(spark, ODD), labels.limit(0)).count() == len(ODD)
+
+
+def test_repeated_passages_are_found_after_insertions(spark):
+    shared = prose(9, 70)
+    texts = [prose(1) + " " + shared + " " + prose(2), "An insertion. " + shared + prose(3), prose(4), prose(5), *ODD, shared]
+    got = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    last = len(texts) - 1
+    assert {0, 1, last} <= {r["doc_id"] for r in got} and not {2, 3} & {r["doc_id"] for r in got}
+    for r in got:
+        if r["doc_id"] in (0, 1):
+            assert texts[r["doc_id"]].encode()[r["start"]:r["end"]].decode().strip() in f"  {shared} " and r["is_first"] == (r["doc_id"] == 0)
+    assert substring_dedup.repeated_passages(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_mix_meets_targets_and_keeps_clean_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = mixing.mix(docs, labels).collect()
+    assert len(rows) == docs.count() and all(r["rate"] >= 0 and abs(sum(r[f"p_{d}"] for d in mixing.DOMAINS) - 1) < 1e-9 for r in rows)
+    mass = {d: sum(r["n_tokens"] * r["rate"] * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS}
+    # The same least squares by numpy, to the end.
+    n, p = np.array([r["n_tokens"] for r in rows], float), np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows])
+    have = n @ p
+    goal = have[0] / mixing.TARGETS["clean"] * np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    loss = lambda r: (((n * r) @ p - goal) ** 2 / goal).sum() / 2 + mixing.PULL * (n * (r - 1) ** 2).sum() / 2
+    best, step = np.ones(len(n)), 1 / ((have / goal).max() + mixing.PULL)
+    for _ in range(3000):
+        best = np.maximum(0, best - step * (p @ (((n * best) @ p - goal) / goal) + mixing.PULL * (best - 1)))
+    assert loss(np.array([r["rate"] for r in rows])) <= loss(best) + 0.1 * (loss(np.ones(len(n))) - loss(best))
+    assert mass["toxic"] < have[2]
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["n_tokens"] == len(text[r["doc_id"]].split()) for r in rows if text[r["doc_id"]].isascii())
+    kept = {r["doc_id"] for r in mixing.mixed(docs, labels).select("doc_id").collect()}
+    clean = [r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()]
+    assert np.mean([i in kept for i in clean]) > 0.99
+    assert mixing.mix(docs_of(spark, ODD), labels.limit(0)).count() == len(ODD)
+    assert mixing.mix(docs.limit(0), labels).count() == 0 and mixing.mixed(docs.limit(0), labels).count() == 0
+
+
+def test_surrogates_keep_format_distinctness_and_coreference(spark):
+    texts = ["Mail an.na@mail.example.com or +1 (017) 555-7713, card 4095 2935 9002 5305.", "an.na@mail.example.com; 10.0.0.7 and 10.0.0.8",
+             'token = "04dbebab91ab85687d33"', "Frau Berta Klein met Mr. Ada, Frau Berta Klein", "Г-жа Анна Иванова", "v1.2.3.4.5 and 2024", *ODD]
+    got = {r["doc_id"]: r for r in pii_surrogates.replace_entities(docs_of(spark, texts)).collect()}
+    assert len(got) == len(texts) and got[5]["text"] == texts[5] and got[7]["text"] is None
+    mail = re.search(r"\S+@\S+\.example\.com", got[0]["text"])[0]
+    assert mail in got[1]["text"] and "an.na@" not in got[0]["text"] + got[1]["text"]
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}, card \d{4} \d{4} \d{4} \d{4}\.$", got[0]["text"]) and "5557713" not in got[0]["text"]
+    assert len(set(re.findall(r"(?:\d+\.){3}\d+", got[1]["text"]))) == 2 and re.fullmatch(r'token = "[0-9a-f]{20}"', got[2]["text"])
+    assert len(set(re.findall(r"Frau (\w+ \w+)", got[3]["text"]))) == 1 and "Klein" not in got[3]["text"]
+    assert re.fullmatch(r"Г-жа [А-Я][а-я]+ [А-Я][а-я]+", got[4]["text"])
+    crowd = docs_of(spark, [f"+1 (017) 555-{i:04d}" for i in range(3000)])
+    new = [r["text"] for r in pii_surrogates.replace_entities(crowd).collect()]
+    assert len(set(new)) == 3000 and not set(new) & {f"+1 (017) 555-{i:04d}" for i in range(3000)}
+    assert pii_surrogates.replace_entities(crowd.limit(0)).count() == 0
+
+
+def test_license_places_equal_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    texts = [t for _, t in rows] + ODD + ["MIT License mit  license; CC-BY cc by", "gnu general public gnu general public license", "licence mit"]
+    got = {r["doc_id"]: r for r in license_scan.digest(license_scan.scan(docs_of(spark, texts))).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(license_scan.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places = [(k, name) for name, p in license_scan.BASE_PHRASES.items() for k in range(len(words)) if words[k:k + len(p.split())] == p.split()]
+        starts = [k for k, _ in places]
+        assert (got[i]["n_words"], got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["base_labels"]) == (
+            len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({n for _, n in places})))
+        assert set(filter(None, got[i]["base_labels"].split(","))) <= set(got[i]["labels"].split(",")) and 0 <= got[i]["score"] <= 1
+    assert license_scan.scan(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *itertools.accumulate(range(1, len(b) + 1), lambda left, j: max(left, row[j], row[j - 1] + (x == b[j - 1])), initial=0)][1:]
+    return row[-1]
+
+
+def test_leaks_are_found_and_clean_documents_are_not(spark):
+    draw = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = draw.integers(0, 6, 20), draw.integers(0, 6, 30)
+        assert decontamination.common_words(a, b) == common_subsequence(a.tolist(), b.tolist())
+    docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    plain = lambda t: " " + " ".join(re.findall(license_scan.WORD, t.lower())) + " "
+    items = {r["item_id"]: plain(r["text"]) for r in bench.collect()}
+    exact = {(r["doc_id"], k) for r in docs.collect() for k, x in items.items() if x in plain(r["text"])}
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()} == exact
+    item = bench.first()
+    words = item["text"].split()
+    changed = " ".join(w for i, w in enumerate(words) if i % 9 != 4)
+    texts = [prose(1) + " " + changed + " " + prose(2), prose(3), *ODD]
+    assert [(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs_of(spark, texts), bench).collect()] == [(0, item["item_id"])]
+    assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_shards_are_even_gapless_and_keep_groups(spark):
+    texts = [f"group {i % 40}" for i in range(200)] + ["hot"] * 130 + ODD
+    rows = sharding.assign(docs_of(spark, texts), shards=12).collect()
+    sizes = [sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(12)]
+    assert all(s == list(range(len(s))) for s in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1 and len(rows) == len(texts)
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 8, zlib.crc32(data), "rows", None)
+    cut = sum(len({r["shard"] for r in rows if texts[r["doc_id"]] == f"group {g}"}) > 1 for g in range(40))
+    assert cut <= 11 + 3  # one per border, and groups that no round granted
+    assert sharding.assign(docs_of(spark, texts).limit(0)).count() == 0 and sharding.assign(docs_of(spark, ["a"])).count() == 1
+
+
+def test_pipeline_equals_its_stages_and_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, before = docs.columns, {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialize(stage(spark, docs, SMALL))
+        now = {r["doc_id"] for r in out.collect()}
+        assert out.columns == columns and now <= before
+        if name == "near_duplicates":
+            rows = docs.orderBy("doc_id").collect()
+            marks = [fingerprint(r["text"]) for r in rows]
+            root = closure(len(rows), lambda i, j: (marks[i] ^ marks[j]).bit_count() <= 4)
+            assert now == {rows[i]["doc_id"] for i in set(root)}
+        docs, before = out, now
+    final = corpus_pipeline.run(spark, SMALL).collect()
+    assert {r["doc_id"] for r in final} == before and max(r["shard"] for r in final) < 24
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_run(spark, name):
+    assert QUERIES[name](spark, SMALL).count() >= 0
+
+
+def test_embedding_query_equals_its_sql(spark):
+    from dossier.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SMALL}/embeddings.parquet'")
+    want = sorted(con.sql(ORACLES["op1_embedding_neardup"]).fetchall())
+    got = QUERIES["op1_embedding_neardup"](spark, SMALL).select("vec_id", "n_links", "component_id", "kept")
+    assert sorted(tuple(r) for r in got.collect()) == want
