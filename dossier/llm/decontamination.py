@@ -23,13 +23,13 @@ from dossier.session import materialize
 #: Buckets of word hashes.
 BUCKETS = 1 << 16
 #: Dimensions of the latent space, extra ones for the range finder, and rounds of power iteration.
-RANK = 48
+RANK = 96
 OVERSAMPLE = 16
 POWER_ROUNDS = 2
 #: Words in a block; a window is two neighbouring blocks.
 BLOCK_WORDS = 16
 #: Cosine in the latent space from which a window is a candidate.
-MIN_COSINE = 0.55
+MIN_COSINE = 0.75
 #: Share of a passage's words in the longest common subsequence: alone, and with the answer found.
 MIN_COMMON = 0.8
 MIN_COMMON_WITH_ANSWER = 0.6

@@ -15,7 +15,7 @@ from dossier.llm.common import unit_hash
 from dossier.session import materialize
 
 SHARDS = 24
-ROUNDS = 4
+ROUNDS = 8
 #: Bytes that every document takes beside its text.
 OVERHEAD = 8
 
