@@ -16,6 +16,8 @@ from dossier.session import materialize
 
 SHARDS = 24
 ROUNDS = 8
+#: Quota of linked documents in a shard during the rounds, in times its final size; the final cut takes back what is too much.
+SLACK = 1.25
 #: Bytes that every document takes beside its text.
 OVERHEAD = 8
 
@@ -33,7 +35,7 @@ def _propagate(linked: DataFrame, capacity: int, shards: int, rounds: int) -> Da
             break
         # Documents that ask to leave a shard make room in it; the final cut into equal stretches evens out what is too much.
         leave = {r["shard"]: r["count"] for r in asked.where("shard <> want").groupBy("shard").count().collect()}
-        granted = {s: max(0.0, min(1.0, (capacity - loads.get(s, 0) + leave.get(s, 0)) / n)) for s, n in wants.items()}
+        granted = {s: max(0.0, min(1.0, (SLACK * capacity - loads.get(s, 0) + leave.get(s, 0)) / n)) for s, n in wants.items()}
         chance = F.element_at(F.array(*[F.lit(float(granted.get(s, 0.0))) for s in range(shards)]), F.col("want") + 1)
         # One draw for all documents of a group: groups move whole.
         moves = unit_hash(F.col("group"), F.lit(turn)) < chance
