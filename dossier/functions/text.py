@@ -113,9 +113,12 @@ def shorten(line: Column, width: int = 300) -> Column:
     letter, punct = r"[^\d\W]", r"[\w!\"'&.,?]"
     breaks = (
         rf"(?= )|(?<={letter}{letter}-|{letter}-{letter}-)(?={letter}-?{letter})"
-        rf"|(?<={punct})(?=-{{2,}}\w)|(?<={punct}-{{2,40}})(?=\w)"
+        rf"|(?<={punct})(?=-{{2,}}\w)"
     )
-    head = F.regexp_extract(one_space, rf"(?U)^(.{{1,{width - 6}}})(?:{breaks})", 1)
+    before = F.regexp_extract(one_space, rf"(?U)^(.{{1,{width - 6}}})(?:{breaks})", 1)
+    # A break after a run of dashes of any length; one more character shows what follows it.
+    after = F.regexp_extract(F.substring(one_space, 1, width - 5), rf"(?U)^(.*{punct}-{{2,}})(?=\w)", 1)
+    head = F.when(F.length(after) > F.length(before), after).otherwise(before)
     cut = F.when(head == "", F.lit("[...]")).otherwise(F.concat(head, F.lit(" [...]")))
     return F.when(F.length(one_space) <= width, one_space).otherwise(cut)
 

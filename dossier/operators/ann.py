@@ -65,14 +65,10 @@ def nearest_list(vec: Column, centres: np.ndarray) -> Column:
 
 
 def build_index(chunks: DataFrame, lists: int = 100, chunk_id: str = "chunk_id", vec: str = "embedding",
-                iterations: int = 5, seed: int = 7, train_rows: int | None = None) -> ListIndex:
-    """``train_rows`` bounds the rows used to place the centres; every vector is indexed regardless."""
+                iterations: int = 5, seed: int = 7) -> ListIndex:
+    """All vectors place the centres and all are indexed."""
     rows = chunks.where(F.col(vec).isNotNull())
     training = rows.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
-    if train_rows is not None:
-        total = rows.count()
-        if total > train_rows:
-            training = training.sample(train_rows / total, seed=seed)
     model = KMeans(k=lists, maxIter=iterations, seed=seed, distanceMeasure="cosine").fit(training)
     centres = N._unit(np.array(model.clusterCenters()))
     assigned = rows.withColumn("a", nearest_list(F.col(vec), centres)).select(

@@ -40,11 +40,14 @@ def linked(edges: DataFrame, relationships: list[str], source: str, target: str)
 
 
 def wanted(nodes: DataFrame, kind: str, labels: list[str] | DataFrame, prefix: str) -> DataFrame:
-    """Nodes by label, ignoring case: one question's short list, or a ``label`` column for many questions."""
+    """Nodes by label, ignoring case: one question's short list, or a ``label`` column for many questions.
+
+    All labels given count; callers cut a question's labels to LABEL_LIMIT.
+    """
     if isinstance(labels, DataFrame):
         low = labels.select(F.lower("label").alias("low")).distinct()
         return named(nodes.join(low, F.lower(nodes["label"]) == low["low"], "left_semi"), prefix, kind)
-    return named(nodes.where(F.lower("label").isin([x.lower() for x in labels[:LABEL_LIMIT]])), prefix, kind)
+    return named(nodes.where(F.lower("label").isin([x.lower() for x in labels])), prefix, kind)
 
 
 def _empty(name: str) -> Column:

@@ -21,7 +21,7 @@ def priors(spark: SparkSession) -> DataFrame:
     rows = [
         (strategy, kind, weight)
         for kind, weights in K.ROUTING_PRIORS.items()
-        for strategy, weight in zip(K.STRATEGY_PRIORITY, weights)
+        for strategy, weight in weights.items()
     ]
     return spark.createDataFrame(rows, "strategy string, question_type string, weight double")
 
@@ -31,7 +31,7 @@ def prior_weight(strategy: Column, question_type: Column) -> Column:
     table = F.create_map(*[
         F.lit(x)
         for kind, weights in K.ROUTING_PRIORS.items()
-        for strategy_, weight in zip(K.STRATEGY_PRIORITY, weights)
+        for strategy_, weight in weights.items()
         for x in (f"{strategy_}|{kind}", weight)
     ])
     return F.coalesce(F.element_at(table, F.concat_ws("|", strategy, question_type)), F.lit(K.UNKNOWN_PRIOR))
@@ -198,8 +198,8 @@ class ReplayState:
 
 
 def start_weights(question_type: str) -> list[int]:
-    table = K.ROUTING_PRIORS.get(question_type, [K.UNKNOWN_PRIOR] * len(K.STRATEGY_PRIORITY))
-    return [round(w * 100) for w in table]
+    known = K.ROUTING_PRIORS.get(question_type, {})
+    return [round(known.get(s, K.UNKNOWN_PRIOR) * 100) for s in K.STRATEGY_PRIORITY]
 
 
 def replay(answers: DataFrame, seq: str = "seq") -> DataFrame:

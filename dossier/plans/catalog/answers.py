@@ -120,7 +120,7 @@ def merge_reply(spark, sf_dir):
 @query("o111_extractive_answer", f"""
 WITH {BASE_CTE}, {PRIMARY},
 l AS (SELECT qid, any_value(question) AS question, string_agg(rank || '. [' || source_file || '] ' || substr(content, 1, 300) || '...', chr(10) ORDER BY rank) AS lines FROM prim WHERE rank <= 3 GROUP BY qid)
-SELECT qid, '[DEBUG MODE – set GENERATION_MODEL_ID for LLM synthesis]' || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10)
+SELECT qid, '[No generation model is set: the closest evidence follows]' || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10)
   || 'Top retrieved evidence:' || chr(10) || chr(10) || lines AS answer, 0.0::DOUBLE AS confidence FROM l
 """)
 def extractive_answer(spark, sf_dir):

@@ -1,6 +1,6 @@
 """Queries over vectors, retrieval and the answer cache.
 
-Every vector is a chunk whose text is the document of the same number; benchmark items are
+Every document is a chunk with a vector of the table, dealt in turn; benchmark items are
 the questions, each with the vector of its number.
 """
 
@@ -17,9 +17,9 @@ from dossier.operators import similarity as S
 from dossier.plans.catalog.base import NAMES, case_list, documents, plain, portable, query, sql_weight, table
 
 CHUNKS = f"""
-SELECT vec_id AS chunk_id, embedding, text AS content, {case_list('doc_id', NAMES)} AS source_file,
-  {case_list('label', ["'narrative'", "'code'", "'technical_spec'"])} AS doc_type, 'sentence' AS strategy, vec_id % 3 = 0 AS is_child
-FROM {{embeddings}} e JOIN {{documents}} d ON e.vec_id = d.doc_id
+SELECT doc_id AS chunk_id, embedding, text AS content, {case_list('doc_id', NAMES)} AS source_file,
+  {case_list('label', ["'narrative'", "'code'", "'technical_spec'"])} AS doc_type, 'sentence' AS strategy, doc_id % 3 = 0 AS is_child
+FROM (SELECT *, doc_id % (SELECT count(*) FROM {{embeddings}}) AS v FROM {{documents}}) d JOIN {{embeddings}} e ON e.vec_id = d.v
 """
 QUESTIONS = f"""
 SELECT item_id AS qid, text AS question, embedding AS question_embedding,
@@ -179,13 +179,17 @@ def sql_overlap(a: str, b: str) -> str:
 
 @query("o72_keyword_overlap", f"""
 WITH k AS (SELECT doc_id, {sql_keywords('text')} AS kw FROM documents), b AS (SELECT item_id, {sql_keywords('text')} AS kw FROM benchmark)
-SELECT item_id, round({sql_overlap('b.kw', 'k.kw')}, 6) AS overlap FROM b JOIN k ON k.doc_id = b.item_id
+SELECT doc_id, item_id, round({sql_overlap('b.kw', 'k.kw')}, 6) AS overlap
+FROM b JOIN (SELECT *, doc_id % (SELECT count(*) FROM benchmark) AS turn FROM k) k ON k.turn = b.item_id
 """)
 def keyword_overlap(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("content"))
-    pair = table(spark, sf_dir, "benchmark").join(docs, "item_id")
+    """Every document with one benchmark item, dealt in turn."""
+    items = table(spark, sf_dir, "benchmark")
+    turn = F.col("doc_id") % items.agg(F.count(F.lit(1))).scalar()
+    docs = table(spark, sf_dir, "documents").select("doc_id", turn.alias("item_id"), F.col("text").alias("content"))
+    pair = items.join(docs, "item_id")
     overlap = Q.keyword_overlap(Q.keywords(F.col("text")), Q.keywords(F.col("content")))
-    return pair.select("item_id", F.round(overlap, 6).alias("overlap"))
+    return pair.select("doc_id", "item_id", F.round(overlap, 6).alias("overlap"))
 
 
 RERANK = f"""rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY boosted DESC NULLS LAST, before) AS rank FROM (

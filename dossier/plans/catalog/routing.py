@@ -28,7 +28,7 @@ SELECT strategy, question_type, CAST(0.3 + 0.001 * (count(*) % 500) AS DOUBLE) A
 FROM {log} WHERE question_type NOT IN ('comparison', 'general') GROUP BY strategy, question_type
 """
 PRIOR_ROWS = ", ".join(
-    f"('{s}', '{t}', {w}::DOUBLE)" for t, ws in K.ROUTING_PRIORS.items() for s, w in zip(K.STRATEGY_PRIORITY, ws)
+    f"('{s}', '{t}', {w}::DOUBLE)" for t, ws in K.ROUTING_PRIORS.items() for s, w in ws.items()
 )
 LOG_CTE = f"log AS ({plain(LOG)}), stored AS ({plain(STORED)}), priors AS (SELECT * FROM (VALUES {PRIOR_ROWS}) v(strategy, question_type, weight))"
 PRIORITY = "CASE strategy " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(K.STRATEGY_PRIORITY)) + " END"
@@ -190,7 +190,7 @@ def most_reinforced(spark, sf_dir):
 
 
 REPLAY_START = " UNION ALL ".join(
-    f"SELECT '{t}' AS question_type, [{', '.join(str(round(w * 100)) for w in ws)}]::BIGINT[] AS w" for t, ws in K.ROUTING_PRIORS.items()
+    f"SELECT '{t}' AS question_type, [{', '.join(str(round(ws[s] * 100)) for s in K.STRATEGY_PRIORITY)}]::BIGINT[] AS w" for t, ws in K.ROUTING_PRIORS.items()
 )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -25,13 +24,6 @@ def scratch(spark):
     return store.Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/sinks/{uuid.uuid4().hex}")
 
 
-@query("o01_list_files")
-def list_files(spark, sf_dir):
-    """The given tables as stored objects."""
-    root, name = os.path.split(sf_dir.rstrip("/"))
-    return files.list_files(spark, root, f"{name}/", glob="*.parquet").select("source_key", "length")
-
-
 @query("o02_read_text", f"""
 WITH {CORPUS_CTE} SELECT count(*) AS records, CAST(sum(length(content)) AS BIGINT) AS chars FROM corpus
 """)

@@ -20,7 +20,10 @@ from dossier.sources.store import Store, derived_artifact, extracted_text
 
 @dataclass
 class IngestReport:
-    """Counters of one run; ``status`` is success, partial (some errors) or no_files."""
+    """Counters of one run; ``status`` is success, partial (some errors) or no_files.
+
+    The errors themselves are rows of the output ``errors``.
+    """
 
     status: str
     repo_prefix: str
@@ -31,16 +34,12 @@ class IngestReport:
     signal_count: int = 0
     chunks_written: int = 0
     routing_summary: dict[str, int] = field(default_factory=dict)
-    errors: list[str] = field(default_factory=list)
+    error_count: int = 0
 
     def to_dict(self) -> dict:
         return asdict(self)
 
 
-# The report lists this many errors; the errors table holds all.
-ERRORS_SHOWN = 1000
-
-
 def analyzed_documents(texts: DataFrame, person: str = "Developer", path_identity: bool = False,
                        repeat_services: bool = True) -> DataFrame:
     """Readable files as documents with signals, statistics, type and owners.
@@ -79,10 +78,13 @@ def chunk_rows(docs: DataFrame, embedder: V.Embedder) -> DataFrame:
 
 
 def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str = "Developer",
-        embedder: V.Embedder | None = None, path_identity: bool = False, bucket: str = "") -> IngestReport:
+        embedder: V.Embedder | None = None, path_identity: bool = False, bucket: str = "",
+        batch: int | None = None) -> IngestReport:
     """Ingest ``source_key, repo_prefix, content, error`` rows into the store.
 
-    Documents are written out once, since chunks, graph and artifacts all read them.
+    Documents are written out once, since chunks, graph and artifacts all read them. With
+    ``batch`` the files of this run stand beside those of other batches, in a folder
+    ``batch=N`` of each output; the same batch again replaces its own.
     """
     texts = materialize(texts)
     found = texts.count()
@@ -98,17 +100,15 @@ def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str =
     store.write_chunks(chunks)
     signals = materialize(B.aggregate_signals(B.signal_table(docs)))
     base = "derived/" + repo_prefix.removeprefix("raw/").strip("/")
-    store.write_json(derived_artifact(docs, bucket), f"{base}/artifacts", ["repo_prefix"])
-    store.write_json(extracted_text(docs), f"{base}/extracted_text")
-    store.write_json(nodes, f"{base}/graph_entities")
-    store.write_json(edges, f"{base}/graph_edges")
-    store.write_json(signals.orderBy(F.desc("strength"), "first_seen").drop("first_seen"), f"{base}/expertise_signals")
+    part = "" if batch is None else f"/batch={batch}"
+    store.write_json(derived_artifact(docs, bucket), f"{base}/artifacts{part}", ["repo_prefix"])
+    store.write_json(extracted_text(docs), f"{base}/extracted_text{part}")
+    store.write_json(nodes, f"{base}/graph_entities{part}")
+    store.write_json(edges, f"{base}/graph_edges{part}")
+    store.write_json(signals.orderBy(F.desc("strength"), "first_seen").drop("first_seen"), f"{base}/expertise_signals{part}")
     failed = texts.where(F.col("error").isNotNull()).select("source_key", "error")
-    store.write_json(failed, f"{base}/errors")
-    problems = [
-        f"Failed to process {r['source_key']}: {r['error']}"
-        for r in failed.limit(ERRORS_SHOWN).collect()
-    ]
+    store.write_json(failed, f"{base}/errors{part}")
+    problems = failed.count()
     done = docs.count()
     report = IngestReport(
         "partial" if problems else "success", repo_prefix, done, found - done, nodes.count(), edges.count(),
@@ -116,7 +116,7 @@ def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str =
         {r["routing_key"]: r["files"] for r in D.routing_summary(docs).collect()}, problems,
     )
     store.write_json(store.spark.createDataFrame([(report.status, _json(report))], "status string, manifest string"),
-                     f"{base}/processing_manifest")
+                     f"{base}/processing_manifest{part}")
     return report
 
 

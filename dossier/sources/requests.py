@@ -27,9 +27,13 @@ class QueryRequest:
 
     @classmethod
     def from_dict(cls, body: dict) -> QueryRequest:
+        try:
+            top_k = int(body.get("topK", body.get("top_k", K.DEFAULT_TOP_K)))
+        except (ValueError, TypeError) as problem:
+            raise BadRequest("Invalid topK") from problem
         return cls(
             question=body.get("question", ""),
-            top_k=int(body.get("topK", body.get("top_k", K.DEFAULT_TOP_K))),
+            top_k=top_k,
             include_graph_expansion=bool(body.get("includeGraphExpansion", True)),
             min_confidence=float(body.get("minConfidence", K.DEFAULT_MIN_CONFIDENCE)),
             question_type=body.get("questionType"),
@@ -48,6 +52,8 @@ def parse_event(event: dict) -> QueryRequest:
         body = json.loads(raw) if raw.strip() else {}
         question = body.get("question", "").strip()
         request = QueryRequest.from_dict(body) if question else None
+    except BadRequest:
+        raise
     except (ValueError, TypeError, AttributeError) as problem:
         raise BadRequest("Invalid request") from problem
     if request is None:

@@ -30,6 +30,8 @@ EDGES_TYPE = (
     "edge_id string, from_id string, to_id string, relationship string, weight double, source_file string"
 )
 TABLES = {"nodes": NODES_TYPE, "edges": EDGES_TYPE, "query_cache": CACHE_TYPE, "routing_weights": WEIGHTS_TYPE}
+# Graph tables are read by kind, so each kind is a partition.
+PARTITIONS = {"nodes": ["node_type"], "edges": ["relationship"]}
 CHUNK_BUCKETS = 256
 
 
@@ -74,7 +76,8 @@ class Store:
         version = self._current(name)[0]
         if version is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}")
+        columns = self.spark.createDataFrame([], TABLES[name]).columns
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}").select(*columns)
 
     def replace(self, name: str, rows: DataFrame, tag: str | None = None) -> None:
         """Make ``rows`` the current version; a tag is stored with the pointer, else the old tag stays.
@@ -83,7 +86,9 @@ class Store:
         """
         version, (previous, old_tag) = uuid.uuid4().hex, self._current(name)
         columns = self.spark.createDataFrame([], TABLES[name]).columns
-        rows.select(*columns).write.parquet(f"{self.root}/{name}/{version}")
+        by = PARTITIONS.get(name, [])
+        kept = rows.select(*columns)
+        (kept.hint("rebalance", *[F.col(c) for c in by]).write.partitionBy(*by) if by else kept.write).parquet(f"{self.root}/{name}/{version}")
         fs, target = self._fs(self._pointer(name))
         stream = fs.create(target, True)
         try:

@@ -19,7 +19,8 @@ def ingest_stream(store: Store, root: str, checkpoint: str, files_per_batch: int
     """Each micro-batch runs the batch ingest; merges are keyed, so a replayed batch changes nothing.
 
     With ``whole_repos`` the repositories a batch touches are read again in full, so that
-    their graph and artifacts describe all their files and not only the new ones.
+    their graph and artifacts describe all their files and not only the new ones. Without it
+    every batch writes its artifacts beside those of the earlier ones.
     """
     source = (
         store.spark.readStream.format("binaryFile").schema(
@@ -32,7 +33,7 @@ def ingest_stream(store: Store, root: str, checkpoint: str, files_per_batch: int
     def batch(rows: DataFrame, batch_id: int) -> None:
         arrived = files.with_keys(rows)
         if not whole_repos:
-            ingest.run(store, files.read_text(arrived), embedder=embedder, **options)
+            ingest.run(store, files.read_text(arrived), embedder=embedder, batch=batch_id, **options)
             return
         prefix = D.repo_prefix(F.col("source_key"))
         for row in arrived.select(prefix.alias("prefix")).distinct().collect():

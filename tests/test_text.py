@@ -59,6 +59,10 @@ def test_shorten_like_textwrap(spark):
     lines = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 5, 60, 90]))) for _ in range(300)]
     rows = spark.createDataFrame(list(enumerate(lines)), "i int, t string").select("i", T.shorten(F.col("t")).alias("s"))
     assert all(r.s == textwrap.shorten(lines[r.i], 300) for r in rows.collect())
+    # Runs of dashes of any length are one break.
+    lines = ["ab " * at + "cd" + "-" * n + "ef " * 200 for n in (2, 40, 41, 45, 60, 290, 400) for at in (0, 70, 80, 90, 97)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, t string").select("i", T.shorten(F.col("t")).alias("s"))
+    assert all(r.s == textwrap.shorten(lines[r.i], 300) for r in rows.collect())
 
 
 def test_markdown(spark):
@@ -93,29 +97,19 @@ def test_hierarchical(spark):
         assert all(c.parent_content == got[0].content for c in got[1:])
 
 
-def sentence_windows(text):
-    parts = [p for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text) for p in (s.splitlines() if len(s) > 600 else [s])]
-    parts = [p.strip() for p in parts if p.strip()]
-    out, i = [], 0
-    while i < len(parts):
-        j, n = i, 0
-        while j < len(parts) and n < 512:
-            n += len(parts[j]) + 1
-            j += 1
-        out.append(" ".join(parts[i:j]))
-        i += max(1, j - i - 1)
-    return out
-
-
 def test_sentence_windows(spark):
-    short, long = "A" + "b" * 48 + ".", "A" + "b" * 598 + "."
-    assert len(one(spark, " ".join([short] * 3), C.sentence_chunks)) == 2
-    assert len(one(spark, " ".join([long] * 3), C.sentence_chunks)) == 3
-    rng = random.Random(2)
-    texts = [" ".join("A" + "b" * rng.choice([1, 5, 50, 511, 512, 600, 700]) + rng.choice([".", "", "\n", "! x"])
-                      for _ in range(rng.choice([0, 1, 2, 3, 30]))) for _ in range(150)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", C.sentence_chunks(F.col("t")).alias("c"))
-    assert all([c.content for c in r.c] == sentence_windows(texts[r.i]) for r in rows.collect())
+    short, middle, long = "A" + "b" * 48 + ".", "C" + "d" * 298 + ".", "E" + "f" * 598 + "."
+    cases = {  # a window takes sentences until it has 512 characters, and the next begins with its last one
+        " ".join([short] * 3): [f"{short} {short} {short}", short],
+        " ".join([middle] * 3): [f"{middle} {middle}", f"{middle} {middle}", middle],
+        " ".join([long] * 3): [long, long, long],
+        f"{long} {short}": [long, short],
+        f"{short} {long} {short}": [f"{short} {long}", f"{long}", short],
+        "One! Two? three. Four": ["One! Two? three. Four", "Four"],
+        "": [],
+    }
+    for text, want in cases.items():
+        assert [c.content for c in one(spark, text, C.sentence_chunks)] == want
 
 
 def test_unknown_strategy_is_fixed_512_and_blank_has_no_chunks(spark):
