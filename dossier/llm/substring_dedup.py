@@ -3,7 +3,9 @@
 A gear hash rolls over the bytes of each text; a chunk ends where some of its bits are zero, so cuts
 depend on the last bytes alone and an insertion moves no cut but the nearest. The digest of a few
 neighbouring chunks names a piece of text. Pieces that occur more than once are joined back to their
-places, and neighbouring pieces make passages; those long enough are reported.
+places, and overlapping pieces make runs. A run of enough words is a passage. A shorter one may be one
+too, as the parts of chunks at its two ends are not covered; all windows of words that hold its pieces are counted, wherever the
+pieces stand, and those of more than one document are passages.
 """
 
 from __future__ import annotations
@@ -15,18 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import powers, slices, span_hashes, text_bytes
+from dossier.llm.common import powers, slices, span_hashes, text_bytes, word_spans
 from dossier.session import materialize
 
 #: A chunk ends after a byte on which eight gear bits, told by the last twelve bytes, are below this: 20 bytes on average.
 CUT_BELOW = 13
 #: Chunks that one digest covers.
 CHUNKS_IN_PIECE = 3
-#: A chunk is cut after this many bytes even without a content cut.
+#: In longer chunks the bound is doubled until they are cut, so that texts that repeat one word are cut by content too.
 MAX_CHUNK = 96
-#: Words that neighbouring repeated pieces must cover together to count as a passage. The parts of
-#: chunks at a passage's two ends are not covered, so this is well below the length looked for.
-MIN_WORDS = 26
+#: Words of a passage.
+MIN_WORDS = 50
+#: Runs that cover fewer words are no part of a passage.
+OPEN_WORDS = 20
+#: Shorter pieces are looked for in other documents only where a run has no others; common short ones would ask for every text.
+ANCHOR_WORDS = 6
+#: A gear value depends on the byte and so many before it.
+REACH = 11
 
 #: One number per byte value, from a fixed rule.
 GEAR = (powers(0x9E3779B97F4A7C15, 257)[1:] >> np.uint64(32)).astype(np.uint32)
@@ -37,13 +44,21 @@ def chunk_ends(data: np.ndarray, row_ends: np.ndarray) -> np.ndarray:
     h = GEAR[data]
     for width in (1, 2, 4, 8, 16):  # after the last step h holds the sum over 32 bytes, each shifted by its age
         h[width:] += h[:-width] << np.uint32(width)
-    cuts = np.flatnonzero((h >> np.uint32(4) & np.uint32(255)) < CUT_BELOW) + 1
-    ends = np.union1d(cuts, row_ends[row_ends > 0])
-    gaps = np.diff(ends, prepend=0)
-    long = np.flatnonzero(gaps > MAX_CHUNK)
-    if len(long):
-        extra = [np.arange(ends[i] - gaps[i] + MAX_CHUNK, ends[i], MAX_CHUNK) for i in long]
-        ends = np.union1d(ends, np.concatenate(extra))
+    value = (h >> np.uint32(4) & np.uint32(255)).astype(np.uint16)
+    starts = np.concatenate([[0], row_ends[:-1]])
+    for back in range(REACH):  # a text's first bytes have no full window of their own
+        some = starts + back
+        value[some[some < len(value)]] = 256
+    bound = CUT_BELOW
+    ends = np.union1d(np.flatnonzero(value < bound) + 1, row_ends[row_ends > 0])
+    while bound < 256:
+        gaps = np.diff(ends, prepend=0)
+        long = np.flatnonzero(gaps > MAX_CHUNK)
+        if not len(long):
+            break
+        bound *= 2
+        inside = np.concatenate([np.arange(ends[i] - gaps[i], ends[i]) for i in long])
+        ends = np.union1d(ends, inside[value[inside] < bound] + 1)
     return ends
 
 
@@ -97,45 +112,97 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest[head], n << 32 | docs, ids[head])], ["digest", "n", "first"])
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages that more than one document holds: doc_id, start, end (bytes), n_words, is_first, holders.
+def _overlapping(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of the first ranges of runs whose ranges overlap; ranges are in order of row and start."""
+    reach = np.maximum.accumulate(end + (row << 40))
+    head = np.ones(len(row), bool)
+    head[1:] = start[1:] + (row[1:] << 40) >= reach[:-1]
+    return np.flatnonzero(head)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row numbers and fields of a column of lists of structs."""
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return row, [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
 
-    One row per passage and place. `is_first` says that no document with a smaller id has one of its pieces, so a dedup that cuts the other rows keeps one copy; `holders` is the largest number of
-    places of one piece. Null and empty texts have no passages; texts are taken whole; a
-    passage that only one text repeats is not reported. Rows with a null id are left out, repeated rows are copies, an empty table gives an
-    empty result, and extra columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    counted = rows.mapInArrow(_digest_rows, "digest long, n long, first long")
-    # A document is within one slice, so the slices' numbers of documents add up.
-    repeated = counted.groupBy("digest").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    # Written once, so that the join below has two shuffles of its own and can split a digest that very many places share.
-    repeated = materialize(repeated.where("n & 4294967295 > 1").select("digest", F.shiftright("n", 32).alias("holders"), "first"))
-    places = rows.mapInArrow(_piece_rows, "digest long, doc_id long, place long, extent long")
-    piece = F.struct("place", "extent", "holders", (F.col("doc_id") == F.col("first")).alias("new"))
-    shared = places.join(repeated, "digest").groupBy("doc_id").agg(F.collect_list(piece).alias("pieces"))
-    return shared.mapInArrow(_merged(min_words), "doc_id long, start long, end long, n_words long, is_first boolean, holders long")
 
+_RANGE = "doc_id long, start long, end long, first long, last long, is_first boolean, holders long"
+_NAMES = ["doc_id", "start", "end", "first", "last", "is_first", "holders"]
 
-def _merged(min_words: int):
-    """Pieces of a document in order to passages: a piece that begins where or before the last ended goes on with it."""
+
+def _runs(min_words: int):
+    """Pieces of a document to runs of at least OPEN_WORDS words; those that may be longer than they cover name their pieces."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten()
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            place, extent, holders, new = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            row, (place, extent, holders, new, digest) = _flat(batch.column(1))
             start, first = place & 0xFFFFFFFF, place >> 32
             order = np.lexsort((start, row))
-            row, start, first, extent, holders, new = (x[order] for x in (row, start, first, extent, holders, new))
-            end, last = start + (extent & 0xFFFF), first + (extent >> 16)
-            head = np.ones(len(row), bool)
-            head[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
-            head = np.flatnonzero(head)
-            if not len(head):
+            row, start, first, extent, holders, new, digest = (x[order] for x in (row, start, first, extent, holders, new, digest))
+            if not len(row):
                 continue
-            words = np.maximum.reduceat(last, head) - first[head]
+            end, size = start + (extent & 0xFFFF), extent >> 16
+            head = _overlapping(row, start, end)
+            last = np.maximum.reduceat(first + size, head)
+            words = last - first[head]
+            keep = words >= min(OPEN_WORDS, min_words)
+            names = [np.zeros(0, np.int64)] * len(head)
+            for i in np.flatnonzero(keep & (words <= min_words)):
+                some = slice(head[i], head[i + 1] if i + 1 < len(head) else len(row))
+                long = digest[some][size[some] >= ANCHOR_WORDS]
+                names[i] = long if len(long) else digest[some]
+            out = [
+                batch.column(0).to_numpy(zero_copy_only=False)[row[head]], start[head], np.maximum.reduceat(end, head), first[head], last,
+                np.logical_and.reduceat(new, head), np.maximum.reduceat(holders, head),
+            ]
+            lists = pa.array([names[i] for i in np.flatnonzero(keep)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in out), lists], [*_NAMES, "digests"])
+
+    return merge
+
+
+def _window_rows(width: int):
+    """Every window of `width` words that holds one of a document's pieces: its hash, document and place."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = text_bytes(batch.column(1))
+            row, (place, extent) = _flat(batch.column(2))
+            bounds = np.searchsorted(row, np.arange(len(ids) + 1))
+            for i, doc_id in enumerate(ids):
+                own = data[offsets[i]:offsets[i + 1]]
+                starts, ends = word_spans(~((own == 32) | ((own >= 9) & (own <= 13))), np.zeros(1, np.int64))
+                count = len(starts) - width + 1
+                if count < 1:
+                    continue
+                some = slice(bounds[i], bounds[i + 1])
+                first = place[some] >> 32
+                low, high = np.clip(first + (extent[some] >> 16) - width, 0, count - 1), np.clip(first, 0, count - 1)
+                held = np.zeros(count + 1, np.int64)
+                np.add.at(held, np.minimum(low, high), 1)
+                np.add.at(held, high + 1, -1)
+                at = np.flatnonzero(np.cumsum(held)[:-1] > 0)
+                start, end = starts[at], ends[at + width - 1]
+                columns = [span_hashes(own, start, end).view(np.int64), np.full(len(at), doc_id), start, end, at, at + width]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["window", *_NAMES[:5]])
+
+    return windows
+
+
+def _passages(min_words: int):
+    """Ranges of a document to passages: ranges that overlap become one."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, fields = _flat(batch.column(1))
+            order = np.lexsort((fields[0], row))
+            row, start, end, first, last, new, holders = (x[order] for x in (row, *fields))
+            if not len(row):
+                continue
+            head = _overlapping(row, start, end)
+            words = np.maximum.reduceat(last, head) - np.minimum.reduceat(first, head)
             keep = words >= min_words
             out = [
                 batch.column(0).to_numpy(zero_copy_only=False)[row[head]], start[head], np.maximum.reduceat(end, head), words,
@@ -144,3 +211,35 @@ def _merged(min_words: int):
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in out], ["doc_id", "start", "end", "n_words", "is_first", "holders"])
 
     return merge
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Passages of at least `min_words` words that more than one document holds: doc_id, start, end (bytes), n_words, is_first, holders.
+
+    One row per passage and place. `is_first` says that no document with a smaller id has one of its pieces, so a dedup that cuts the other rows keeps one copy; `holders` is the largest number of
+    places of one piece. Words are separated by white space. A long passage is reported without the parts of chunks at its two ends. Null and empty texts have no passages; texts are taken whole; a
+    passage that only one text repeats is not reported. Rows with a null id are left out, repeated rows are copies, an empty table gives an
+    empty result, and extra columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    counted = rows.mapInArrow(_digest_rows, "digest long, n long, first long")
+    # A document is within one slice, so the slices' numbers of documents add up.
+    repeated = counted.groupBy("digest").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    # Written once, so that the join below has two shuffles of its own and can split a digest that very many places share.
+    repeated = materialize(repeated.where("n & 4294967295 > 1").select("digest", F.shiftright("n", 32).alias("holders"), "first"))
+    places = rows.mapInArrow(_piece_rows, "digest long, doc_id long, place long, extent long")
+    hits = materialize(places.join(repeated, "digest").withColumn("new", F.col("doc_id") == F.col("first")).drop("first"))
+    per_doc = lambda found, *columns: found.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("found"))
+    runs = materialize(per_doc(hits, "place", "extent", "holders", "new", "digest").mapInArrow(_runs(min_words), f"{_RANGE}, digests array<long>"))
+    asked = materialize(runs.select(F.explode("digests").alias("digest")).distinct())
+    near = per_doc(hits.join(asked, "digest", "left_semi"), "place", "extent")
+    windows = materialize(rows.join(materialize(near), "doc_id").mapInArrow(
+        _window_rows(min_words), "window long, doc_id long, start long, end long, first long, last long",
+    ))
+    shared = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("holders"))
+    shared = materialize(shared.where("least < most").drop("most"))
+    verified = windows.join(shared, "window").withColumn("is_first", F.col("doc_id") == F.col("least"))
+    sure = runs.where(F.col("last") - F.col("first") > min_words)
+    ranges = sure.select(*_NAMES).unionByName(verified.select(*_NAMES))
+    out = "doc_id long, start long, end long, n_words long, is_first boolean, holders long"
+    return per_doc(ranges, *_NAMES[1:]).mapInArrow(_passages(min_words), out)

@@ -145,6 +145,21 @@ def test_repeated_passages_are_found_after_insertions(spark):
     assert substring_dedup.repeated_passages(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_passages_equal_repeated_windows(spark):
+    long, edge, short = prose(21, 140), prose(22, 51), prose(23, 44)
+    around = lambda n, x: f"{prose(100 + n, 30 + n)} {x} {prose(200 + n, 35 + n)}"
+    part = " ".join(long.split()[40:92])  # within a longer passage that two others share
+    texts = [around(0, long), around(1, long), around(2, part), around(3, edge), around(4, edge), around(5, short), around(6, short)]
+    texts += ["As " * 300, "Begin here. " + "As " * 200, "\u00dfu\u00df. " * 90, "No: " + "\u00dfu\u00df. " * 80, "x" * 5000, *ODD]
+    words = [(t or "").split() for t in texts]
+    windows = [{tuple(w[i:i + 50]) for i in range(len(w) - 49)} for w in words]
+    want = {i for i, a in enumerate(windows) if any(a & b for j, b in enumerate(windows) if i != j)}
+    got = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert {r["doc_id"] for r in got} == want and not {5, 6} & want and {2, 3, 4, 7, 8, 9, 10} <= want
+    assert all(r["n_words"] >= 50 and r["holders"] >= 2 for r in got)
+    assert {r["doc_id"] for r in got if r["is_first"]} >= {0, 3}
+
+
 def test_mix_meets_targets_and_keeps_clean_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
