@@ -29,7 +29,7 @@ POWER_ROUNDS = 2
 #: Words in a block; a window is two neighbouring blocks.
 BLOCK_WORDS = 16
 #: Cosine in the latent space from which a window is a candidate.
-MIN_COSINE = 0.75
+MIN_COSINE = 0.6
 #: Share of a passage's words in the longest common subsequence: alone, and with the answer found.
 MIN_COMMON = 0.8
 MIN_COMMON_WITH_ANSWER = 0.6
