@@ -112,11 +112,17 @@ def latent_space(items: DataFrame, idf: np.ndarray, column: np.ndarray, rank: in
     return u[:, :rank]
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, with one bit per word of a."""
+def places_of(words: np.ndarray) -> dict[int, int]:
+    """For every word one bit per place where it stands."""
     masks: dict[int, int] = {}
-    for i, word in enumerate(a.tolist()):
+    for i, word in enumerate(words.tolist()):
         masks[word] = masks.get(word, 0) | 1 << i
+    return masks
+
+
+def common_words(a: np.ndarray, b: np.ndarray, masks: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, with one bit per word of a."""
+    masks = places_of(a) if masks is None else masks
     full = (1 << len(a)) - 1
     v = full
     for word in b.tolist():
@@ -139,6 +145,7 @@ class Index:
 
     def __init__(self, items: list[Item], idf: np.ndarray, column: np.ndarray, space: np.ndarray, min_cosine: float):
         self.items, self.min_cosine = items, min_cosine
+        self.places = [places_of(x.words) for x in items]
         known = np.flatnonzero(column >= 0)
         self.slot = np.full(BUCKETS, len(known), np.int32)
         self.slot[known] = np.arange(len(known))
@@ -180,7 +187,9 @@ class Index:
         out = []
         for (r, k), places in near.items():
             item, low, high = self.items[k], int(first[r]), int(first[r] + size[r])
-            margin, found = len(item.words), (0.0, False)
+            margin, found, places_in = len(item.words), (0.0, False), self.places[k]
+            # Every word of the passage that a text lacks shortens the subsequence by one at least.
+            needed = len(places_in) - int((1 - min(MIN_COMMON, MIN_COMMON_WITH_ANSWER)) * margin + 1e-9)
             spans: list[list[int]] = []
             for p in sorted(places):
                 a, b = max(low, p - margin), min(high, p + 2 * BLOCK_WORDS + margin)
@@ -193,7 +202,9 @@ class Index:
                 width = 2 * margin + 2 * BLOCK_WORDS
                 for p in range(a, max(a + 1, b - width + margin), max(1, margin)):
                     text = words[p:min(b, p + width)]
-                    share = common_words(item.words, text) / len(item.words)
+                    if len(places_in.keys() & text.tolist()) < needed:
+                        continue
+                    share = common_words(item.words, text, places_in) / len(item.words)
                     if share > found[0]:
                         answer = common_words(item.answer, text) == len(item.answer)
                         found = (share, answer)
