@@ -3,19 +3,25 @@
 Entities are found by one expression per type. Every distinct entity of the whole table gets a
 surrogate of its own format and script, drawn from a keyed hash of type and entity and of a
 round number. Entities whose surrogate is taken, or is itself an entity of the corpus, draw again, so
-that different entities stay different and equal ones equal. Only column expressions are used.
+that different entities stay different and equal ones equal. Those that are still open after the draws
+are numbered, and the number is spelt into a longer surrogate of the same type: more syllables in a
+family name, more digits elsewhere. Only column expressions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.session import materialize
 
 DEFAULT_KEY = "surrogates-1"
-#: Draws until an entity takes a surrogate that is numbered by rank, which cannot collide.
+#: Draws until a name, an address of mail or a secret, whose lengths are free, grows by its number.
 ROUNDS = 4
+#: Draws until the other types grow; their formats have 100 million values and more, so draws go on finding free ones.
+FIXED_ROUNDS = 32
+#: Entities in one task while open ones are numbered.
+NUMBERED_AT_ONCE = 100_000
 
 _LOCAL = r"[\p{L}\p{M}\p{N}._%+\-]"
 #: Entity types in order of preference where two begin at the same place. An entity starts at a
@@ -92,18 +98,45 @@ def _pick(names: tuple[str, ...], seed: Column, place: int) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), _draw(seed, F.lit(place), len(names)) + 1)
 
 
-def surrogate_of(kind: Column, entity: Column, seed: Column) -> Column:
-    """A replacement of the same type, format and script; for names of the same gender and number of parts."""
+def _spelt(names: tuple[str, ...], number: Column, width: int) -> Column:
+    """`width` family parts that spell a number; no part begins another, so different numbers give different words."""
+    base = len(names)
+    digits = [F.pmod(F.floor(number / F.lit(base**i)).cast("long"), F.lit(base)).cast("int") + 1 for i in range(width)]
+    return F.lower(F.concat(*[F.element_at(F.array(*[F.lit(n) for n in names]), d) for d in digits]))
+
+
+def _places(n: int, base: int) -> int:
+    """Digits to the base that numbers below n need."""
+    out = 1
+    while base**out < n:
+        out += 1
+    return out
+
+
+def surrogate_of(kind: Column, entity: Column, seed: Column, number: Column | None = None, numbers: int = 0, longer: int = 0) -> Column:
+    """A replacement of the same type, format and script; for names of the same gender and number of parts.
+
+    With a number below `numbers` the replacement is longer: a family name by the parts that spell the number and
+    `longer` drawn ones, all else by its digits. Different numbers give different replacements.
+    """
+    figures = F.lit("") if number is None else F.lpad(number.cast("string"), _places(numbers, 10) + longer, "0")
+
+    def family_of(names: tuple[str, ...]) -> Column:
+        drawn = F.concat(_pick(names, seed, 1), F.lower(_pick(names, seed, 2)))
+        if number is None:
+            return drawn
+        return F.concat(drawn, _spelt(names, number, _places(numbers, len(names))), *[F.lower(_pick(names, seed, 3 + i)) for i in range(longer)])
+
     label = F.regexp_extract(entity, r"^(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\x22']?", 0)
     value = F.substr(entity, F.length(label) + 1)
-    secret = F.concat(label, _scrambled(value, seed, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
+    secret = F.concat(label, _scrambled(value, seed, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), figures)
     none = F.lit(False)
     local, host = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     suffix = F.regexp_extract(host, r"\.[^.]+$", 0)
     reserved = F.regexp_extract(host, r"(?:^|\.)(example\.(?:com|org|net))$", 1)
     kept = F.when(reserved != "", F.concat(F.lit("."), reserved)).otherwise(suffix)
     name = F.substr(host, F.lit(1), F.length(host) - F.length(kept))
-    email = F.concat(_scrambled(local, seed, none), F.lit("@"), _scrambled(F.when(name == "", host).otherwise(name), F.concat(seed, F.lit("h")), none), F.when(name == "", F.lit("")).otherwise(kept))
+    email = F.concat(_scrambled(local, seed, none), figures, F.lit("@"), _scrambled(F.when(name == "", host).otherwise(name), F.concat(seed, F.lit("h")), none), F.when(name == "", F.lit("")).otherwise(kept))
     ip = F.array_join(F.transform(F.split(entity, r"\."), lambda c, i: (_draw(seed, i, 254) + 1).cast("string")), ".")
     country = F.regexp_extract(entity, r"^\+\d{1,3}", 0)
     phone = F.concat(country, _scrambled(F.substr(entity, F.length(country) + 1), seed, none))
@@ -115,35 +148,70 @@ def surrogate_of(kind: Column, entity: Column, seed: Column) -> Column:
     cyrillic = F.substr(entity, F.length(title) + 1).rlike(r"\p{IsCyrillic}")
     given = F.when(female & cyrillic, _pick(NAMES["f", "cyrillic"], seed, 0)).when(female, _pick(NAMES["f", "latin"], seed, 0)) \
         .when(cyrillic, _pick(NAMES["m", "cyrillic"], seed, 0)).otherwise(_pick(NAMES["m", "latin"], seed, 0))
-    family = F.when(cyrillic, F.concat(_pick(FAMILY["cyrillic"], seed, 1), F.lower(_pick(FAMILY["cyrillic"], seed, 2)))) \
-        .otherwise(F.concat(_pick(FAMILY["latin"], seed, 1), F.lower(_pick(FAMILY["latin"], seed, 2))))
+    family = F.when(cyrillic, family_of(FAMILY["cyrillic"])).otherwise(family_of(FAMILY["latin"]))
     person = F.concat(title, F.when(F.size(parts) > 1, F.concat(given, F.lit(" "), family)).otherwise(family))
-    return F.when(kind == "secret", secret).when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone) \
-        .when(kind == "name", person).otherwise(card)
+    return F.when(kind == "secret", secret).when(kind == "email", email).when(kind == "name", person) \
+        .otherwise(F.concat(F.when(kind == "ip", ip).when(kind == "phone", phone).otherwise(card), figures))
+
+
+def _numbered(open_: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Open entities with a number that no other entity of their class has, and a bound of the numbers.
+
+    A class has one type; for names also one title (which has the gender), number of parts and script. Large classes
+    are dealt over salts: a task counts its own entities, and the salt is the number's last digit.
+    """
+    salts = max(1, -(-open_.count() // NUMBERED_AT_ONCE))
+    person = F.col("kind") == "name"
+    rest = F.regexp_replace("entity", r"^\S+ ", "")
+    group = F.when(person, F.concat_ws("|", F.regexp_extract("entity", r"^\S+ ", 0), F.instr(rest, " ") > 0, rest.rlike(r"\p{IsCyrillic}"))).otherwise("")
+    order = F.sha2(F.concat_ws("|", F.lit(key), "kind", "entity"), 256)
+    rows = open_.withColumn("group", group).withColumn("order", order).withColumn("salt", F.pmod(F.xxhash64("order"), F.lit(salts)))
+    place = F.row_number().over(Window.partitionBy("kind", "group", "salt").orderBy("order", "entity"))
+    rows = materialize(rows.select("entity", "kind", ((place - 1) * F.lit(salts) + F.col("salt")).cast("long").alias("number")))
+    return rows, 1 + rows.agg(F.max("number")).first()[0]
+
+
+def _taken(drawn: DataFrame, known: DataFrame, done: DataFrame | None) -> DataFrame:
+    """The drawn surrogates that are no entity and not given away, each for the smallest entity that drew it."""
+    free = drawn.join(known, "surrogate", "left_anti")
+    free = free.join(done.select("surrogate"), "surrogate", "left_anti") if done is not None else free
+    first = free.groupBy("surrogate").agg(F.min(F.struct("entity", "kind")).alias("e")).select("e.entity", "e.kind", "surrogate")
+    return materialize(first)
 
 
 def surrogates(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(entity, kind) to (entity, kind, surrogate): one to one, and no surrogate is an entity of the table.
 
-    Entities without a free surrogate after all rounds get one more part, numbered within the surrogate they share.
+    Names, mail addresses and secrets without a free surrogate after the draws get longer ones of their type, numbered within
+    their class, and so do the others where their format has no free value left.
     """
     open_ = materialize(entities.select("entity", "kind").distinct())
     known = open_.select(F.col("entity").alias("surrogate"))
-    done = None
-    for round_ in range(ROUNDS):
+    free_length = F.col("kind").isin("name", "email", "secret")
+    done = grow = None
+    for round_ in range(FIXED_ROUNDS):
+        if round_ == ROUNDS:
+            grow, open_ = open_.where(free_length), open_.where(~free_length)
+        if open_.isEmpty():
+            break
         seed = F.concat_ws("|", F.lit(key), F.col("kind"), F.col("entity"), F.lit(str(round_)))
-        drawn = open_.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("entity"), seed))
-        free = drawn.join(known, "surrogate", "left_anti")
-        free = free.join(done.select("surrogate"), "surrogate", "left_anti") if done is not None else free
-        first = free.groupBy("surrogate").agg(F.min(F.struct("entity", "kind")).alias("e")).select("e.entity", "e.kind", "surrogate")
-        first = materialize(first)
+        first = _taken(open_.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("entity"), seed)), known, done)
         done = first if done is None else materialize(done.unionByName(first))
         open_ = materialize(open_.join(first, ["entity", "kind"], "left_anti"))
-        if open_.isEmpty():
-            return done
-    # Left: more entities of one format than it has values. A keyed digest cannot collide with any format.
-    rest = open_.withColumn("surrogate", F.concat(F.lit("surrogate-"), F.sha2(F.concat_ws("|", F.lit(key), "kind", "entity"), 256)))
-    return done.unionByName(rest)
+    open_ = open_ if grow is None else materialize(open_.unionByName(grow))
+    if open_.isEmpty():
+        return open_.withColumn("surrogate", F.lit("")) if done is None else done
+    # Every further round makes the surrogates longer, until they are longer than any that is taken.
+    open_, numbers = _numbered(open_, key)
+    longer = 0
+    while not open_.isEmpty():
+        seed = F.concat_ws("|", F.lit(key), F.col("kind"), F.col("entity"), F.lit(str(FIXED_ROUNDS + longer)))
+        grown = surrogate_of(F.col("kind"), F.col("entity"), seed, F.col("number"), numbers, longer)
+        first = _taken(open_.withColumn("surrogate", grown), known, done)
+        done = materialize(done.unionByName(first)) if done is not None else first
+        open_ = materialize(open_.join(first, ["entity", "kind"], "left_anti"))
+        longer += 1
+    return done
 
 
 def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

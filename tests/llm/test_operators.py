@@ -202,6 +202,24 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark):
     assert pii_surrogates.replace_entities(crowd.limit(0)).count() == 0
 
 
+def test_surrogates_outnumber_the_name_lists(spark):
+    # One-letter addresses and a script that is not scrambled have few values of their own or one.
+    spell = lambda i, letters: "".join(letters[i // len(letters)**k % len(letters)] for k in range(4)).capitalize()
+    surnames = [f"Mr {spell(i, 'abcdefgh')}" for i in range(700)]
+    texts = surnames + [f"Г-жа {spell(i, 'абвгдежз')}" for i in range(200)] + [f"Mrs Ada {spell(i, 'abcdefgh')}" for i in range(150)] + [
+        f"{a}@b.de" for a in "abcdefghijklmnopqrstuvwxyz"] + [f"{a}@{b}.de" for a in "acdef" for b in "cdefghijklmnopqrstuvwxyz"] + ["δ@β.gr"]
+    names = {r["entity"]: r for r in pii_surrogates.surrogates(
+        docs_of(spark, texts).select("text").withColumnRenamed("text", "entity").withColumn("kind", pii_surrogates.type_of(pii_surrogates.F.col("entity")))).collect()}
+    new = [names[t]["surrogate"] for t in texts]
+    assert len(set(new)) == len(set(texts)) == len(texts) and not set(new) & set(texts)
+    shapes = [r"Mr [A-Z][a-z]+"] * 700 + [r"Г-жа [А-Я][а-я]+"] * 200 + [r"Mrs [A-Z][a-z]+ [A-Z][a-z]+"] * 150 + [r"[^@\s]+@[^@\s]+\.(?:de|gr)"] * 200
+    assert [t for t, n, shape in zip(texts, new, shapes) if not re.fullmatch(shape, n)] == []
+    # The grown names of a first run are entities of the second, and are not given again.
+    again = [f"Mr {n[3:]}" for n in new[:700]] + surnames
+    out = [r["text"] for r in pii_surrogates.replace_entities(docs_of(spark, again)).collect()]
+    assert len(set(out)) == len(set(again)) and not set(out) & set(again) and all(re.fullmatch(r"Mr [A-Z][a-z]+", t) for t in out)
+
+
 def test_license_places_equal_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     texts = [t for _, t in rows] + ODD + ["MIT License mit  license; CC-BY cc by", "gnu general public gnu general public license", "licence mit"]
