@@ -24,19 +24,60 @@ FIXED_ROUNDS = 32
 NUMBERED_AT_ONCE = 100_000
 
 _LOCAL = r"[\p{L}\p{M}\p{N}._%+\-]"
-#: Entity types in order of preference where two begin at the same place. An entity starts at a
-#: word's start, and possessive runs keep the search linear in long runs of letters or digits.
-PATTERNS = {
-    "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*+[=:]\s*+[\x22']?+[\p{L}\p{N}+/_\-]{16,}+",
-    "email": rf"(?<!{_LOCAL})(?>{_LOCAL}++)@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)+",
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?+\(?\d{2,4}\)?[ .\-]?\d{3}[ .\-]\d{4}(?!\d)",
-    "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ \-]?\d{4}){3}(?![\p{L}\p{N}])",
-    "name": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Г-н|Г-жа)\.?+ \p{Lu}[\p{L}'\-]++(?: \p{Lu}[\p{L}'\-]++)?",
+_LABEL = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*+[=:]\s*+[\x22']?+"
+#: Beginnings of keys that services hand out.
+_PREFIX = (
+    r"(?:(?:AKIA|ASIA)(?=[0-9A-Z]{16})|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk-(?:proj-|ant-)?|[srp]k_(?:live|test)_|AIza|npm_|hf_|SG\.)"
+)
+_BLOCK_END = r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Entity types in order of preference where two begin at the same place, and their layouts. An entity starts at a
+#: word's start, and possessive or short bounded runs keep the search linear in long runs of letters or digits.
+LAYOUTS = {
+    "secret": (
+        rf"{_LABEL}[\p{{L}}\p{{N}}+/_\-]{{16,}}+",
+        # A private key with its end line, or its lines of base64 where the text breaks off.
+        rf"-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----(?:[^\-]*+(?:-(?!----)[^\-]*+)*+{_BLOCK_END}|(?:\s++[A-Za-z0-9+/=]{{16,}}+)++)",
+        rf"(?<![\p{{L}}\p{{N}}_\-]){_PREFIX}[A-Za-z0-9_\-.]{{15,}}+",
+        r"(?<![\p{L}\p{N}_\-])eyJ[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+",
+    ),
+    "email": (rf"(?<!{_LOCAL})(?>{_LOCAL}++)@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)+",),
+    "ip": (
+        r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
+        # Eight groups, or fewer with a gap and a figure (code has names like std::add).
+        rf"(?<![\p{{L}}\p{{N}}:.])(?:{_HEX}:){{7}}{_HEX}(?![\p{{L}}\p{{N}}:])",
+        rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]{{0,39}}\d)(?!(?:[0-9A-Fa-f]{{0,4}}:){{9}}){_HEX}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,6}})?(?![\p{{L}}\p{{N}}:]|\.\d)",
+    ),
+    "ssn": (r"(?<![\p{L}\p{N}\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\p{L}\p{N}]|-\d)",),
+    "phone": (
+        r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?+\(?\d{2,4}\)?[ .\-]?\d{3}[ .\-]\d{4}(?!\d)",
+        # Any grouping after a country code.
+        r"(?<![\p{L}\p{N}+])(?:\+|00)[1-9](?:[ .\-/]?\(?\d\)?){7,14}(?!\d)",
+        # National: three, three and four digits; then with a trunk 0.
+        r"(?<![\p{L}\p{N}+.\-])(?:1[ .\-])?(?:\(\d{3}\) ?\d{3}[ .\-]?|\d{3}[.\-]\d{3}[.\-]|\d{3} \d{3}[ \-])\d{4}(?![\p{L}\p{N}]|[ .\-]\d)",
+        r"(?<![\p{L}\p{N}+.\-])\(?0\d(?:\) ?|[ .\-])\d{2}(?:[ .\-]\d{2}){3}(?![\p{L}\p{N}]|[ .\-]\d)",
+        r"(?<![\p{L}\p{N}+.\-])\(?0\d{2,4}(?:\) ?|[ \-/])\d{3,4}[ \-]?\d{3,4}(?![\p{L}\p{N}]|[ .\-]\d)",
+    ),
+    "iban": (r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",),
+    "card": (
+        r"(?<![\p{L}\p{N}])\d{4}(?:[ \-]\d{4}){3}[ \-]\d{3}(?![\p{L}\p{N}]|[ \-]\d)",
+        r"(?<![\p{L}\p{N}])\d{4}(?:[ \-]?\d{4}){3}(?![\p{L}\p{N}])",
+        r"(?<![\p{L}\p{N}])[2-6]\d{12,18}(?![\p{L}\p{N}])",
+        r"(?<![\p{L}\p{N}\-])3\d{3}[ \-]\d{6}[ \-]\d{4,5}(?![\p{L}\p{N}]|[ \-]\d)",
+        r"(?<![\p{L}\p{N}\-])[2-6]\d{3}(?:[ \-]\d{4}){2,3}[ \-]\d{1,2}(?![\p{L}\p{N}]|[ \-]\d)",
+    ),
+    "name": (
+        r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Г-н|Г-жа)\.?+ \p{Lu}[\p{L}'\-]++(?: \p{Lu}[\p{L}'\-]++)?",
+    ),
 }
+PATTERNS = {kind: "|".join(f"(?:{p})" for p in layouts) for kind, layouts in LAYOUTS.items()}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these cannot hold an entity; the cheap test goes first.
-HINT = r"@|\d\.\d|\d{4}|\d \(|\+\d|(?i:token|secret|passw|key)|(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señora?|Sra?|Г-н|Г-жа)\.? "
+HINT = (
+    r"@|\d\.\d|\d{4}|\d \(|\+\d|0\d\)?[ .\-]?\d|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:|[A-Z]{2}\d\d|(?i:token|secret|passw|key)|"
+    r"gh[pousr]_|github_pat_|glpat-|xox|[srp]k[\-_]|AIza|AKIA|ASIA|npm_|hf_|SG\.|eyJ|"
+    r"(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señora?|Sra?|Г-н|Г-жа)\.? "
+)
 
 #: Given and family names by gender and script (made up; any names of the gender serve).
 NAMES = {
@@ -53,12 +94,17 @@ FEMALE_TITLE = r"^(?:Mrs|Ms|Frau|Madame|Señora|Sra|Г-жа)\b"
 
 
 def type_of(entity: Column) -> Column:
-    out = F.lit("card")
-    for name, test in (
-        ("name", r"^\p{Lu}[\p{Ll}\-]+\.? \p{Lu}"), ("phone", r"^\+"), ("ip", r"^\d{1,3}\.\d"), ("email", "@"),
-        ("secret", r"^(?i:token|secret|passw|api|access)[^@]*[=:]"),
-    ):
-        out = F.when(entity.rlike(test), F.lit(name)).otherwise(out)
+    """The first type that the whole entity fits; null for card numbers and IBANs whose check digits are wrong."""
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(PATTERNS.items()):
+        here = entity.rlike(f"^(?:{pattern})$")
+        if name == "iban":
+            # A wrong one with a card number in fours is replaced nevertheless.
+            here = here & ((_mod_97(entity) == 1) | entity.rlike(r"(?:\d{4} ?){4}"))
+        if name == "card":
+            fours = entity.rlike(r"^\d{4}(?:[ \-]?\d{4}){3}(?:[ \-]\d{3})?$")
+            here = here & (fours | (_check_digit(F.substr(entity, F.lit(1), F.length(entity) - 1)) == F.right(entity, F.lit(1))))
+        out = F.when(here, F.lit(name)).otherwise(out)
     return out
 
 
@@ -94,6 +140,15 @@ def _check_digit(digits: Column) -> Column:
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
+def _mod_97(iban: Column) -> Column:
+    """An IBAN's remainder by 97, its first four characters last and letters as numbers from 10."""
+    plain = F.regexp_replace(iban, " ", "")
+    moved = F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))
+    value = lambda c: F.when(c.rlike(r"\d"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    step = lambda a, c: ((a * F.when(value(c) > 9, F.lit(100)).otherwise(F.lit(10)) + value(c)) % 97).cast("int")
+    return F.aggregate(F.filter(F.split(moved, ""), lambda c: c.rlike("[A-Z0-9]")), F.lit(0), step)
+
+
 def _pick(names: tuple[str, ...], seed: Column, place: int) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), _draw(seed, F.lit(place), len(names)) + 1)
 
@@ -127,9 +182,10 @@ def surrogate_of(kind: Column, entity: Column, seed: Column, number: Column | No
             return drawn
         return F.concat(drawn, _spelt(names, number, _places(numbers, len(names))), *[F.lower(_pick(names, seed, 3 + i)) for i in range(longer)])
 
-    label = F.regexp_extract(entity, r"^(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\x22']?", 0)
-    value = F.substr(entity, F.length(label) + 1)
-    secret = F.concat(label, _scrambled(value, seed, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), figures)
+    label = F.regexp_extract(entity, rf"^(?:{_LABEL}|-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY-----|{_PREFIX}|eyJ)", 0)
+    end = F.regexp_extract(entity, rf"\s*{_BLOCK_END}$", 0)
+    value = F.substr(entity, F.length(label) + 1, F.length(entity) - F.length(label) - F.length(end))
+    secret = F.concat(label, _scrambled(value, seed, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), figures, end)
     none = F.lit(False)
     local, host = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     suffix = F.regexp_extract(host, r"\.[^.]+$", 0)
@@ -138,7 +194,12 @@ def surrogate_of(kind: Column, entity: Column, seed: Column, number: Column | No
     name = F.substr(host, F.lit(1), F.length(host) - F.length(kept))
     email = F.concat(_scrambled(local, seed, none), figures, F.lit("@"), _scrambled(F.when(name == "", host).otherwise(name), F.concat(seed, F.lit("h")), none), F.when(name == "", F.lit("")).otherwise(kept))
     ip = F.array_join(F.transform(F.split(entity, r"\."), lambda c, i: (_draw(seed, i, 254) + 1).cast("string")), ".")
-    country = F.regexp_extract(entity, r"^\+\d{1,3}", 0)
+    ip = F.when(F.instr(entity, ":") > 0, _scrambled(entity, seed, F.lit(True))).otherwise(ip)
+    # Area, group and number of a social security number are never zero.
+    ssn = F.concat_ws("-", *[F.lpad((_draw(seed, F.lit(i), span) + 1).cast("string"), width, "0") for i, (span, width) in enumerate(((665, 3), (99, 2), (9999, 4)))])
+    bank = F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.lit("00"), _scrambled(F.substr(entity, F.lit(5)), seed, none))
+    iban = F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.lpad((98 - _mod_97(bank)).cast("string"), 2, "0"), F.substr(bank, F.lit(5)))
+    country = F.regexp_extract(entity, r"^(?:\+\d{1,3}|00[1-9]|\(?0)", 0)
     phone = F.concat(country, _scrambled(F.substr(entity, F.length(country) + 1), seed, none))
     body = _scrambled(F.substr(entity, F.lit(1), F.length(entity) - 1), seed, none)
     card = F.concat(body, _check_digit(body))
@@ -151,7 +212,7 @@ def surrogate_of(kind: Column, entity: Column, seed: Column, number: Column | No
     family = F.when(cyrillic, family_of(FAMILY["cyrillic"])).otherwise(family_of(FAMILY["latin"]))
     person = F.concat(title, F.when(F.size(parts) > 1, F.concat(given, F.lit(" "), family)).otherwise(family))
     return F.when(kind == "secret", secret).when(kind == "email", email).when(kind == "name", person) \
-        .otherwise(F.concat(F.when(kind == "ip", ip).when(kind == "phone", phone).otherwise(card), figures))
+        .otherwise(F.concat(F.when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", iban).otherwise(card), figures))
 
 
 def _numbered(open_: DataFrame, key: str) -> tuple[DataFrame, int]:
@@ -228,9 +289,11 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc
         rows.where(F.size("found") > 0).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "found")
     )
     plain = rows.where(F.size("found") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
-    at = touched.select("row", F.posexplode("found").alias("at", "entity")).withColumn("kind", type_of(F.col("entity")))
-    names = surrogates(at, key)
-    given = at.join(names, ["entity", "kind"]).groupBy("row").agg(
+    # What fails its check digits has no type and stays as it is.
+    at = materialize(touched.select("row", F.posexplode("found").alias("at", "entity")).withColumn("kind", type_of(F.col("entity"))))
+    names = surrogates(at.where("kind is not null"), key)
+    named = at.join(names, ["entity", "kind"]).unionByName(at.where("kind is null").withColumn("surrogate", F.col("entity")))
+    given = named.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("at", "surrogate", "kind"))).alias("given"),
     )
     # The pieces between the entities, in turn with the surrogates.
@@ -239,7 +302,7 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc
         gaps, F.transform("given", lambda g: g["surrogate"]), lambda gap, s: F.array(gap, F.coalesce(s, F.lit("")))),
     ), "")
     changed = touched.join(given, "row").select(
-        "doc_id", text.alias("text"), F.size("given").cast("long").alias("n_entities"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("given", lambda g: g["kind"]))), ",").alias("kinds"),
+        "doc_id", text.alias("text"), F.size(F.array_compact(F.transform("given", lambda g: g["kind"]))).cast("long").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform("given", lambda g: g["kind"])))), ",").alias("kinds"),
     )
     return plain.unionByName(changed)
