@@ -205,10 +205,13 @@ class Index:
                     if len(places_in.keys() & text.tolist()) < needed:
                         continue
                     share = common_words(item.words, text, places_in) / len(item.words)
-                    if share > found[0]:
-                        answer = common_words(item.answer, text) == len(item.answer)
-                        found = (share, answer)
-            if found[0] >= MIN_COMMON or found[0] >= MIN_COMMON_WITH_ANSWER and found[1]:
+                    if share < MIN_COMMON_WITH_ANSWER or (share, True) <= found:
+                        continue
+                    # Every place decides for itself; the best one that is a leak is kept.
+                    answer = common_words(item.answer, text) == len(item.answer)
+                    if share >= MIN_COMMON or answer:
+                        found = max(found, (share, answer))
+            if found[0]:
                 out.append((int(row[first[r]]), item.item_id, best[r, k], found[0], found[1]))
         return out
 

@@ -288,6 +288,15 @@ def test_leaks_are_found_and_clean_documents_are_not(spark):
     assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leak_is_decided_at_each_place(spark):
+    words = prose(50, 20).split()
+    bench = spark.createDataFrame([(7, " ".join(words), " ".join(words[16:])), (8, prose(51, 20), None)], "item_id long, text string, answer string").coalesce(1)
+    more, fewer = " ".join(words[:14]), " ".join(words[7:])  # 0.7 without the answer, 0.65 with it
+    texts = [f"{prose(1)} {more} {prose(2)} {fewer} {prose(3)}", f"{prose(1)} {fewer} {prose(2)} {more} {prose(3)}", f"{prose(1)} {more} {prose(2)}"] + [prose(i) for i in range(60, 90)]
+    got = decontamination.leaks(docs_of(spark, texts), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["common"], r["answer_found"]) for r in got) == [(0, 7, 0.65, True), (1, 7, 0.65, True)]
+
+
 def test_shards_are_even_gapless_and_keep_groups(spark):
     texts = [f"group {i % 40}" for i in range(200)] + ["hot"] * 130 + ODD
     rows = sharding.assign(docs_of(spark, texts), shards=12).collect()
