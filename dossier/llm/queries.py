@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm import (
-    decontamination, embedding_neardup, language_id, license_scan, mixing, pii_surrogates, quality, sharding, simhash_neardup, substring_dedup,
+    decontamination, embedding_neardup, language_id, license_scan, mixing, piece_codec, pii_surrogates, quality, sharding, simhash_neardup,
+    substring_dedup,
 )
 from dossier.llm.common import table
 
@@ -94,3 +95,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op13_piece_codec")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = piece_codec.load_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_codec.digests(table(spark, sf_dir, "documents"), vocabulary)
