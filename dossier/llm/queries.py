@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm import (
-    decontamination, embedding_neardup, language_id, license_scan, mixing, piece_codec, pii_surrogates, quality, sharding, simhash_neardup,
-    substring_dedup,
+    decontamination, embedding_neardup, language_id, license_scan, mixing, piece_codec, pii_surrogates, prefix_trie, quality, sharding,
+    simhash_neardup, substring_dedup,
 )
 from dossier.llm.common import table
 
@@ -97,6 +97,37 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+@query("op11_prefix_trie", """
+WITH turns AS (
+  SELECT conv_id AS c, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), talks AS (
+  SELECT c, c - (c % 5 + 5) % 5 AS lender, list(t ORDER BY p) AS t, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::UBIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: i::UBIGINT)),
+      lambda v, i: xor(v >> 1, 3988292384::UBIGINT * (v & 1::UBIGINT))))) % 9 AS h
+  FROM turns GROUP BY c
+), whole AS (
+  SELECT a.c, list_concat(coalesce(b.t[1:a.h::BIGINT], []), a.t[a.h::BIGINT + 1:]) AS w FROM talks a LEFT JOIN talks b ON b.c = a.lender
+), prefixes AS (SELECT c, len(w) AS size, unnest(range(0, len(w) + 1)) AS d, w FROM whole
+), nodes AS (
+  SELECT w[1:d] AS n, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE size = d) AS ends
+  FROM prefixes GROUP BY 1, 2
+), linked AS (
+  SELECT a.*, a.n[1:a.d - 1] AS up, (SELECT count(*) FROM nodes k WHERE k.d = a.d + 1 AND k.n[1:k.d - 1] = a.n) AS n_children FROM nodes a
+), below AS (
+  SELECT a.n, a.d, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves,
+    sum(CASE WHEN b.d > 0 THEN (b.n_convs - 1) * strlen(b.n[b.d].x) ELSE 0 END)::BIGINT AS saved_tokens
+  FROM linked a JOIN linked b ON b.d >= a.d AND b.n[1:a.d] = a.n GROUP BY 1, 2
+)
+SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, b.n_leaves, b.saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM linked a JOIN below b ON a.n = b.n AND a.d = b.d LEFT JOIN nodes p ON p.d = a.d - 1 AND p.n = a.up
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_piece_codec")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
