@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm import (
-    decontamination, embedding_neardup, language_id, license_scan, mixing, piece_codec, pii_surrogates, prefix_trie, quality, sharding,
-    simhash_neardup, substring_dedup,
+    decontamination, embedding_neardup, language_id, license_scan, mixing, piece_codec, pii_surrogates, prefix_trie, quality, ranked_search,
+    sharding, simhash_neardup, substring_dedup,
 )
 from dossier.llm.common import table
 
@@ -128,6 +128,27 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_ranked_search", r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), tf AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY 1, 2), len AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1
+), total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM len), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM wanted JOIN tf USING (t) JOIN df USING (t) JOIN len USING (doc_id), total GROUP BY 1, 2
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored
+WHERE score > 0 QUALIFY rank <= 50
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_piece_codec")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
