@@ -86,7 +86,8 @@ def word_spans(is_word: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray,
     cuts = row_starts[(row_starts > 0) & (row_starts < len(is_word))]
     cuts = cuts[is_word[cuts] & is_word[cuts - 1]]
     if len(cuts):
-        starts, ends = np.unique(np.concatenate([starts, cuts])), np.unique(np.concatenate([ends, cuts]))
+        cuts = cuts[np.diff(cuts, prepend=-1) != 0]  # rows of empty texts start at the same place; inside a run neither list has it
+        starts, ends = np.insert(starts, np.searchsorted(starts, cuts), cuts), np.insert(ends, np.searchsorted(ends, cuts), cuts)
     return starts, ends
 
 
