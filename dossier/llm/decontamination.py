@@ -133,6 +133,13 @@ def common_words(a: np.ndarray, b: np.ndarray, masks: dict[int, int] | None = No
     return len(a) - v.bit_count()
 
 
+def mark_of(slots: list[int]) -> int:
+    mark = 0
+    for slot in slots:
+        mark |= 1 << slot
+    return mark
+
+
 @dataclass(frozen=True)
 class Item:
     item_id: int
@@ -153,6 +160,8 @@ class Index:
         self.vectors = np.concatenate([vectors, np.zeros((1, space.shape[1]))]).astype(np.float32)
         q = np.stack([self.vectors[self.slot[(x.words & np.uint64(BUCKETS - 1)).astype(np.int64)]].sum(axis=0) for x in items])
         self.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+        # For every passage one bit per bucket that its words fall in.
+        self.marks = [mark_of(np.unique(self.slot[(x.words & np.uint64(BUCKETS - 1)).astype(np.int64)]).tolist()) for x in items]
 
     def leaks(self, row: np.ndarray, words: np.ndarray) -> list[tuple[int, int, float, float, bool]]:
         """(row, item, cosine, share in common, answer found) of the leaks among the words of some rows."""
@@ -176,22 +185,29 @@ class Index:
         same = of[1:] == of[:-1]
         window[:-1][same] += window[1:][same]
         norm = np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)
-        best: dict[tuple[int, int], float] = {}
-        near: dict[tuple[int, int], list[int]] = {}
+        rows, items, begins, cosines = [], [], [], []
         for at in range(0, len(start), 8192):
             cosine = (window[at:at + 8192] / norm[at:at + 8192]) @ self.queries.T
-            for i, k in zip(*np.nonzero(cosine >= self.min_cosine)):
-                key = (int(of[at + i]), int(k))
-                best[key] = max(best.get(key, 0.0), float(cosine[i, k]))
-                near.setdefault(key, []).append(int(start[at + i]))
+            i, k = np.nonzero(cosine >= self.min_cosine)
+            rows.append(of[at + i]), items.append(k), begins.append(start[at + i]), cosines.append(cosine[i, k])
+        rows, items, begins, cosines = (np.concatenate(x) for x in (rows, items, begins, cosines))
+        order = np.lexsort((begins, items, rows))
+        rows, items, begins, cosines = rows[order], items[order], begins[order], cosines[order]
+        groups = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(items, prepend=-1) != 0)).tolist()
+        first_block, edge, known_slots = np.cumsum(blocks) - blocks, np.searchsorted(block, np.arange(len(start) + 1)).tolist(), slots[known].tolist()
+        marks: list[int | None] = [None] * len(start)
+
         out = []
-        for (r, k), places in near.items():
+        for g, end in zip(groups, [*groups[1:], len(rows)]):
+            r, k, places = int(rows[g]), int(items[g]), begins[g:end].tolist()
             item, low, high = self.items[k], int(first[r]), int(first[r] + size[r])
+            block_of, wanted = int(first_block[r]), self.marks[k]
             margin, found, places_in = len(item.words), (0.0, False), self.places[k]
             # Every word of the passage that a text lacks shortens the subsequence by one at least.
-            needed = len(places_in) - int((1 - min(MIN_COMMON, MIN_COMMON_WITH_ANSWER)) * margin + 1e-9)
+            may_lack = int((1 - min(MIN_COMMON, MIN_COMMON_WITH_ANSWER)) * margin + 1e-9)
+            needed = len(places_in) - may_lack
             spans: list[list[int]] = []
-            for p in sorted(places):
+            for p in places:
                 a, b = max(low, p - margin), min(high, p + 2 * BLOCK_WORDS + margin)
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = b
@@ -201,7 +217,16 @@ class Index:
                 # Spans are taken in steps of the passage's length, so that distant words don't add up.
                 width = 2 * margin + 2 * BLOCK_WORDS
                 for p in range(a, max(a + 1, b - width + margin), max(1, margin)):
-                    text = words[p:min(b, p + width)]
+                    last = min(b, p + width)
+                    lacks = wanted
+                    for at in range(block_of + (p - low) // BLOCK_WORDS, block_of + (last - 1 - low) // BLOCK_WORDS + 1):
+                        mark = marks[at]
+                        if mark is None:
+                            mark = marks[at] = mark_of(known_slots[edge[at]:edge[at + 1]])
+                        lacks &= ~mark
+                    if lacks.bit_count() > may_lack:
+                        continue  # the blocks around lack too many of the passage's buckets already
+                    text = words[p:last]
                     if len(places_in.keys() & text.tolist()) < needed:
                         continue
                     share = common_words(item.words, text, places_in) / len(item.words)
@@ -212,7 +237,7 @@ class Index:
                     if share >= MIN_COMMON or answer:
                         found = max(found, (share, answer))
             if found[0]:
-                out.append((int(row[first[r]]), item.item_id, best[r, k], found[0], found[1]))
+                out.append((int(row[first[r]]), item.item_id, float(cosines[g:end].max()), found[0], found[1]))
         return out
 
 
