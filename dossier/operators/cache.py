@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier import constants as K
 from dossier.operators import similarity as N
-from dossier.session import cut_lineage
+from dossier.session import cut_lineage, materialize, shuffle_width
 
 CACHE_TYPE = (
     "cache_id string, question_embedding array<float>, response_json string, question_type string, "
     "hit_count bigint, created_at timestamp, expires_at timestamp"
 )
-WAVE = 8192
+#: Pairs a candidate on average from which on they are written out.
+DEGREE = 64
 
 
 def live(cache: DataFrame, now: Column) -> DataFrame:
@@ -50,21 +50,6 @@ def cacheable_response(response_json: Column) -> Column:
     return F.to_json(F.map_filter(fields, lambda k, v: k != "latencyMs"))
 
 
-def _keep_unlike(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """First come, first kept: rows, in order, unlike every kept row of the wave."""
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    rows = pd.concat(parts).sort_values("seq")
-    unit = N._unit(np.stack(rows["embedding"].to_numpy()).astype(np.float32))
-    block, kept = np.empty_like(unit), []
-    for at in range(len(rows)):
-        if not kept or np.round(block[: len(kept)] @ unit[at], N.SCORE_DIGITS).max() < threshold:
-            block[len(kept)] = unit[at]
-            kept.append(at)
-    yield rows.iloc[kept][["seq"]]
-
-
 def first_of_copies(candidates: DataFrame) -> DataFrame:
     """Of candidates with the same embedding only the first can be kept; drop the others early."""
     first = candidates.groupBy("embedding").agg(F.min("seq").alias("seq")).select("seq")
@@ -72,57 +57,85 @@ def first_of_copies(candidates: DataFrame) -> DataFrame:
 
 
 def insert_new(candidates: DataFrame, cache: DataFrame, now: Column, threshold: float = K.CACHE_THRESHOLD,
-               wave: int = WAVE) -> DataFrame:
+               degree: int = DEGREE) -> DataFrame:
     """Candidates that enter the cache when inserted one after the other in ``seq`` order.
 
-    ``candidates``: ``seq`` (unique long), ``embedding``. Copies are reduced to their first,
-    then waves of at most ``wave`` candidates are compared with all live entries and with
-    what earlier waves kept, by tiled search, and settled among themselves in order. The
-    wave size bounds what one task holds.
+    ``candidates``: ``seq`` (unique long), ``embedding``. Copies are reduced to their first, and what is near a live
+    entry goes. Then, all candidates at once: those without an earlier near one stay, those near such a one go, and so
+    on with the rest, by tiled search that counts pairs but writes none, until a candidate has at most ``degree`` pairs
+    on average. Those pairs are written and settled (``settle``).
     """
-    ready = first_of_copies(candidates.where(F.col("embedding").isNotNull()).select("seq", "embedding"))
-    ready = cut_lineage(ready)
-    stored = live(cache, now).select(
-        F.concat(F.lit("c"), "cache_id").alias("chunk_id"), F.col("question_embedding").alias("embedding")
-    )
-    kept, parts = ready.limit(0), 0
-    for low, high in _waves(ready, wave):
-        part = ready.where((F.col("seq") >= low) & (F.col("seq") <= high))
-        asked = part.select(F.col("seq").alias("qid"), F.col("embedding").alias("question_embedding"))
-        known = stored.unionByName(
-            kept.select(F.concat(F.lit("n"), F.col("seq").cast("string")).alias("chunk_id"), "embedding")
-        )
-        taken = N.top_k(asked, known, 1, min_score=threshold).select(F.col("qid").alias("seq"))
-        chosen = part.join(taken, "seq", "left_anti").repartition(1).mapInPandas(
-            lambda batches: _keep_unlike(batches, threshold), "seq bigint"
-        )
-        kept = kept.unionByName(cut_lineage(part.join(chosen, "seq", "left_semi")))
-        parts += 1
-        if parts % 16 == 0:
-            kept = cut_lineage(kept)
-    return kept
-
-
-def _waves(rows: DataFrame, wave: int) -> list[tuple[int, int]]:
-    """Ranges of ``seq`` with at most ``wave`` rows each.
-
-    The keys are counted in blocks of the wave size; neighbouring blocks are joined while they
-    fit. Only one small row per block reaches the driver.
+    ready = cut_lineage(first_of_copies(candidates.where(F.col("embedding").isNotNull()).select("seq", "embedding")))
+    stored = live(cache, now).select("cache_id", F.col("question_embedding").alias("embedding"))
+    rest = cut_lineage(_unlike(ready, stored, "cache_id", threshold))
+    kept = []
+    while True:
+        earlier = materialize(N.earlier_pairs(rest, threshold, counted=True))
+        size = earlier.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).first()
+        if size["pairs"] <= degree * size["rows"]:
+            break
+        firsts = cut_lineage(rest.join(earlier, rest["seq"] == earlier["b"], "left_anti"))
+        kept.append(firsts)
+        others = rest.join(earlier.select(F.col("b").alias("seq")), "seq", "left_semi")
+        rest = cut_lineage(_unlike(others, firsts.select(F.col("seq").alias("first"), "embedding"), "first", threshold))
+    if size["pairs"]:
+        rest = rest.join(settle(N.earlier_pairs(rest, threshold)), "seq", "left_anti")
+    for part in kept:
+        rest = rest.unionByName(part)
+    return rest
+
+
+def _unlike(rows: DataFrame, known: DataFrame, known_id: str, threshold: float) -> DataFrame:
+    """Rows that are near none of the known vectors."""
+    asked = rows.select(F.col("seq").alias("qid"), F.col("embedding").alias("question_embedding"))
+    near = N.top_k(asked, known, 1, chunk_id=known_id, min_score=threshold)
+    return rows.join(near.select(F.col("qid").alias("seq")), "seq", "left_anti")
+
+
+def settle(pairs: DataFrame) -> DataFrame:
+    """``seq`` of the candidates that go: of each pair ``a`` (earlier), ``b`` the later goes if the earlier stays.
+
+    Rounds over the pairs of the candidates that are still open. Pairs are split by ranges of ``b`` and streamed in its order; a task
+    settles all candidates whose earlier neighbours are settled before, have no open neighbour, or lie in its own range. A chain that runs
+    along ``seq`` is thus settled range by range, and all ranges work at once.
     """
-    block = F.floor(F.col("seq") / wave).cast("long")
-    counts = rows.groupBy(block.alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")
-    ).orderBy("b")
-    ranges: list[list[int]] = []
-    size = 0
-    for row in counts.toLocalIterator():
-        if ranges and size + row["n"] <= wave:
-            ranges[-1][1] = row["high"]
-            size += row["n"]
-        else:
-            ranges.append([row["low"], row["high"]])
-            size = row["n"]
-    return [(low, high) for low, high in ranges]
+    pairs, gone = materialize(pairs), None
+    width = shuffle_width(pairs.sparkSession)
+    while not pairs.isEmpty():
+        open_ = pairs.select(F.col("b").alias("a")).distinct().withColumn("open", F.lit(True))
+        marked = pairs.join(open_, "a", "left").select("b", "a", F.col("open").isNull().alias("stays"))
+        ordered = marked.repartitionByRange(width, "b").sortWithinPartitions("b", "a")
+        settled = materialize(ordered.mapInPandas(_settled, "seq long, stays boolean"))
+        new = settled.where("not stays").select("seq")
+        gone = new if gone is None else gone.unionByName(new)
+        left = pairs.join(settled.select(F.col("seq").alias("b")), "b", "left_anti")
+        pairs = materialize(left.join(new.select(F.col("seq").alias("a")), "a", "left_anti").select("a", "b"))
+    return gone if gone is not None else pairs.select(F.col("b").alias("seq"))
+
+
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the pairs of one range of ``b`` decide; ``stays`` marks an ``a`` that is sure to stay."""
+    known: dict[int, bool] = {}
+    at, goes, waits = None, False, False
+
+    def close() -> None:
+        if at is not None and (goes or not waits):
+            known[at] = not goes
+
+    for rows in batches:
+        before = len(known)
+        for b, a, stays in rows.itertuples(index=False):
+            if b != at:
+                close()
+                at, goes, waits = b, False, False
+            if not goes:
+                stays = known.get(a) if not stays else True
+                goes, waits = bool(stays), waits or stays is None
+        fresh = list(known.items())[before:]
+        yield pd.DataFrame(fresh, columns=["seq", "stays"])
+    before = len(known)
+    close()
+    yield pd.DataFrame(list(known.items())[before:], columns=["seq", "stays"])
 
 
 def write(cache: DataFrame, candidates: DataFrame, now: Column, threshold: float = K.CACHE_THRESHOLD,

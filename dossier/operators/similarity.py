@@ -114,6 +114,37 @@ def score_pairs(pairs: DataFrame, k: int, qid: str, chunk_id: str, min_score: fl
     return pairs.select("qids", "qflat", "ids", "mat").mapInArrow(score, out)
 
 
+def earlier_pairs(rows: DataFrame, threshold: float, seq: str = "seq", vec: str = "embedding", counted: bool = False) -> DataFrame:
+    """Pairs of rows at or above the threshold, ``a`` before ``b`` by ``seq``; ``counted``: only ``b`` and its number of pairs.
+
+    Tiles meet as in a search; with ``counted`` a pair of tiles gives a number per row, so no pair is written.
+    """
+    n = rows.count()
+    tiles = question_tiles(rows, seq, vec, max(1, -(-n // QUESTIONS_PER_TILE)))
+    pairs = join_tiles(tiles, pack_tiles(rows, seq, vec), shuffle_width(rows.sparkSession))
+    names = ["b", "n"] if counted else ["a", "b"]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                late = batch.column(0)[row].values.to_numpy()
+                early = batch.column(2)[row].values.to_numpy()
+                left = _unit(batch.column(1)[row].values.to_numpy(zero_copy_only=False).reshape(len(late), -1))
+                right = _unit(np.frombuffer(batch.column(3)[row].as_buffer(), dtype=np.float32).reshape(len(early), -1))
+                hit = (np.round(left @ right.T, SCORE_DIGITS) >= threshold) & (early[None, :] < late[:, None])
+                if counted:
+                    n_of = hit.sum(axis=1)
+                    some = np.flatnonzero(n_of)
+                    columns = [late[some], n_of[some]]
+                else:
+                    b, a = np.nonzero(hit)
+                    columns = [early[a], late[b]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    found = pairs.select("qids", "qflat", "ids", "mat").mapInArrow(near, f"{names[0]} long, {names[1]} long")
+    return found.groupBy("b").agg(F.sum("n").alias("n")) if counted else found
+
+
 def _best(sims: np.ndarray, ids: pa.Array, k: int, min_score: float | None) -> tuple[np.ndarray, np.ndarray]:
     n = sims.shape[1]
     floor = np.full(len(sims), -np.inf if min_score is None else min_score)

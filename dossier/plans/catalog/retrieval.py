@@ -320,10 +320,10 @@ def retrieval_report(spark, sf_dir):
 
 NOW = "TIMESTAMP '2024-01-05 00:00:00'"
 CACHE = """
-SELECT CAST(vec_id AS STRING) AS cache_id, embedding AS question_embedding, '' AS response_json,
+SELECT CAST(event_id AS STRING) AS cache_id, embedding AS question_embedding, '' AS response_json,
   CASE label % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'project' ELSE 'architecture' END AS question_type, user_id AS hit_count,
   CAST(ts AS TIMESTAMP) AS created_at, CAST(date_trunc('day', ts) AS TIMESTAMP) + label * INTERVAL '1' DAY AS expires_at
-FROM {embeddings} e JOIN {events} v ON e.vec_id = v.event_id
+FROM (SELECT *, event_id % (SELECT count(*) FROM {embeddings}) AS v FROM {events}) v JOIN {embeddings} e ON e.vec_id = v.v
 """
 DUCK_CACHE = plain(CACHE)
 
@@ -369,8 +369,9 @@ def hit_counts(spark, sf_dir):
 
 
 @query("o84_cache_insert", f"""
-WITH RECURSIVE c AS (SELECT * FROM ({DUCK_CACHE}) z WHERE expires_at > {NOW} AND question_type = 'project'),
-e AS (SELECT vec_id AS seq, embedding, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+WITH RECURSIVE c AS (SELECT * FROM ({DUCK_CACHE}) z WHERE expires_at > {NOW}),
+e AS (SELECT seq, embedding, row_number() OVER (ORDER BY seq) AS i FROM (
+  SELECT 2 * vec_id AS seq, embedding FROM embeddings UNION ALL SELECT 2 * vec_id + 1, list_reverse(embedding) FROM embeddings) z),
 free AS MATERIALIZED (SELECT i, seq, EXISTS (SELECT 1 FROM c WHERE {sql_cos('c.question_embedding', 'e.embedding')} >= {LOW}::DOUBLE) AS taken FROM e),
 nb AS MATERIALIZED (SELECT a.i, list(b.i) AS earlier FROM e a JOIN e b ON b.i < a.i AND {sql_cos('a.embedding', 'b.embedding')} >= {LOW}::DOUBLE GROUP BY 1),
 step AS MATERIALIZED (SELECT f.i, f.seq, f.taken, coalesce(nb.earlier, []) AS earlier FROM free f LEFT JOIN nb USING (i)),
@@ -380,8 +381,10 @@ walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
 SELECT e.seq FROM e WHERE list_contains((SELECT kept FROM walk ORDER BY i DESC LIMIT 1), e.i)
 """)
 def cache_insert(spark, sf_dir):
-    entries = stored_cache(spark, sf_dir).where(F.col("question_type") == "project")
-    asked = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
+    entries = stored_cache(spark, sf_dir)
+    # Every vector asks twice: as it is, which the cache may know, and turned round, which it does not hold.
+    rows, seq = table(spark, sf_dir, "embeddings"), F.col("vec_id") * 2
+    asked = rows.select(seq.alias("seq"), "embedding").unionByName(rows.select((seq + 1).alias("seq"), F.reverse("embedding").alias("embedding")))
     return cache.insert_new(asked, entries, now(), LOW).select("seq")
 
 

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from dossier.functions import documents as D
 from dossier.operators import extraction as X
 from dossier.operators import graph_build as B
-from dossier.plans.catalog.base import CORPUS_CTE, corpus, plain, portable, query
+from dossier.plans.catalog.base import CORPUS_CTE, corpus, plain, portable, query, sql_strip
 from dossier.plans.catalog.graph import (
     EDGE_ROWS, FACTS_CTE, NEW_EDGES, NEW_NODES, OLD_NODES, fresh_nodes, order_docs, order_signals, stored_nodes,
     with_edge_id,
 )
-from dossier.plans.catalog.text import KIND, sql_squeeze
-from dossier.session import checkpoint_dir
+from dossier.plans.catalog.text import KIND, MD_CTE, sql_squeeze
+from dossier.session import checkpoint_dir, materialize
 from dossier.sources import files, store
 
 
@@ -38,31 +38,54 @@ def read_text(spark, sf_dir):
     return read.agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("r.content")).cast("bigint").alias("chars"))
 
 
-def plain_documents(spark, sf_dir):
-    rows = corpus(spark, sf_dir).where(D.extractor_kind(F.col("source_file")) == "text")
-    return X.extract(rows.withColumn("repo_prefix", D.repo_prefix(F.col("source_key"))))
+def extracted_documents(spark, sf_dir):
+    rows = X.extract(corpus(spark, sf_dir).withColumn("repo_prefix", D.repo_prefix(F.col("source_key"))))
+    return materialize(rows)
 
 
-PLAIN_TEXT = f"""WITH {CORPUS_CTE}, t AS (SELECT source_key, source_file, repo, {sql_squeeze('content')} AS t FROM corpus WHERE {KIND} = 'text'),
-d AS (SELECT source_key, repo, 'Text file ' || source_file || ': ' || substr(string_split(t, chr(10))[1], 1, 200) AS summary, t FROM t)"""
+# Texts of diagrams and manifests are stated by o35, o36 and o32 to o34; here they must come back as they were extracted.
+EXTRACTED = f"""WITH {MD_CTE}, lines AS (
+  SELECT *, regexp_extract_all(content, '(?m)^#{{1,4}}\s+(.+)$', 1)[1:5] AS h,
+    list_filter(list_transform(string_split(cleaned, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '' AND NOT starts_with(x, '#'))[1] AS line FROM md
+), t AS (SELECT *, {sql_squeeze('content')} AS t FROM corpus WHERE {KIND} = 'text'),
+d AS (
+  SELECT source_key, cleaned AS t, concat_ws(' | ', 'File: ' || source_file, 'Sections: ' || array_to_string(h, ', '),
+    {sql_strip("regexp_replace(line, '[ ' || chr(9) || ']+', ' ', 'g')")}) AS summary FROM lines
+  UNION ALL SELECT source_key, t, 'Text file ' || source_file || ': ' || substr(string_split(t, chr(10))[1], 1, 200) FROM t
+  UNION ALL SELECT source_key, NULL, NULL FROM corpus WHERE {KIND} IN ('plantuml', 'yaml'))"""
 
 
-@query("o12_json_artifacts", f"{PLAIN_TEXT} SELECT source_key, '1.0' AS schema_version, md5(t) AS text_md5 FROM d")
+def stated(kind, text):
+    """The digest of texts that the SQL states; the others are compared with what was written."""
+    return F.when(kind.isin("text", "markdown"), F.md5(text.cast("binary")))
+
+
+@query("o12_json_artifacts", f"{EXTRACTED} SELECT source_key, '1.0' AS schema_version, md5(t) AS text_md5, TRUE AS as_extracted FROM d")
 def json_artifacts(spark, sf_dir):
-    target = scratch(spark)
-    target.write_json(store.derived_artifact(plain_documents(spark, sf_dir)), "artifacts", ["repo_prefix"])
+    target, docs = scratch(spark), extracted_documents(spark, sf_dir)
+    target.write_json(store.derived_artifact(docs), "artifacts", ["repo_prefix"])
     back = spark.read.schema("schema_version string, source_key string, extracted_text string").json(f"{target.root}/artifacts")
-    return back.select("source_key", "schema_version", F.md5(F.col("extracted_text").cast("binary")).alias("text_md5"))
+    was = docs.select("source_key", "source_file", F.col("extracted_text").alias("was"))
+    return back.join(was, "source_key").select(
+        "source_key", "schema_version", stated(D.extractor_kind(F.col("source_file")), F.col("extracted_text")).alias("text_md5"),
+        F.col("extracted_text").eqNullSafe(F.col("was")).alias("as_extracted"),
+    )
 
 
 @query("o13_extracted_text", f"""
-{PLAIN_TEXT} SELECT 'derived/' || substr(source_key, 5) || '.extracted.txt' AS text_key, md5(summary || chr(10) || chr(10) || t) AS value_md5 FROM d
+{EXTRACTED} SELECT 'derived/' || substr(source_key, 5) || '.extracted.txt' AS text_key, md5(summary || chr(10) || chr(10) || t) AS value_md5,
+  TRUE AS as_extracted FROM d
 """)
 def extracted_text(spark, sf_dir):
-    target = scratch(spark)
-    target.write_json(store.extracted_text(plain_documents(spark, sf_dir)), "extracted_text")
+    target, docs = scratch(spark), extracted_documents(spark, sf_dir)
+    rows = store.extracted_text(docs)
+    target.write_json(rows, "extracted_text")
     back = spark.read.schema("text_key string, value string").json(f"{target.root}/extracted_text")
-    return back.select("text_key", F.md5(F.col("value").cast("binary")).alias("value_md5"))
+    was = rows.select("text_key", F.col("value").alias("was"))
+    kind = D.extractor_kind(F.regexp_extract("text_key", r"([^/]+)\.extracted\.txt$", 1))
+    return back.join(was, "text_key").select(
+        "text_key", stated(kind, F.col("value")).alias("value_md5"), F.col("value").eqNullSafe(F.col("was")).alias("as_extracted"),
+    )
 
 
 @query("o14_repository_artifacts", f"""

@@ -147,18 +147,47 @@ def test_strategies(spark):
 
 # -- Cache ------------------------------------------------------------------
 
-def test_cache_insert_in_waves(spark):
-    data = vectors(120, dim=4, seed=7, copies=40)
-    unit = data.astype(float) / np.linalg.norm(data.astype(float), axis=1, keepdims=True)
+def in_order(unit, threshold):
     kept = []
     for i in range(len(unit)):
-        if not kept or np.round(unit[kept] @ unit[i], 12).max() < 0.8:
+        if not kept or np.round(unit[kept] @ unit[i], 12).max() < threshold:
             kept.append(i)
-    asked = frame(spark, data, "seq", "embedding")
+    return kept
+
+
+@pytest.mark.parametrize("degree", [1000, 2, 0])
+def test_cache_insert_follows_the_order(spark, degree):
+    data = vectors(120, dim=4, seed=7, copies=40)
+    unit = data.astype(float) / np.linalg.norm(data.astype(float), axis=1, keepdims=True)
+    empty = spark.createDataFrame([], cache.CACHE_TYPE)
+    got = cache.insert_new(frame(spark, data, "seq", "embedding"), empty, F.current_timestamp(), 0.8, degree).collect()
+    assert sorted(r.seq for r in got) == in_order(unit, 0.8)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_cache_insert_along_a_chain(spark, shuffled):
+    """Every vector is near its neighbours on an arc only, so each decision hangs on the one before."""
+    turn = np.arange(600) * 0.01
+    if shuffled:
+        np.random.default_rng(3).shuffle(turn)
+    data = np.stack([np.cos(turn), np.sin(turn)], axis=1).astype(np.float32)
+    threshold = float(np.cos(0.0151))
+    unit = data.astype(float) / np.linalg.norm(data.astype(float), axis=1, keepdims=True)
     empty = spark.createDataFrame([], cache.CACHE_TYPE)
-    for wave in (1000, 16):
-        got = cache.insert_new(asked, empty, F.current_timestamp(), 0.8, wave).collect()
-        assert sorted(r.seq for r in got) == kept
+    got = cache.insert_new(frame(spark, data, "seq", "embedding"), empty, F.current_timestamp(), threshold).collect()
+    assert sorted(r.seq for r in got) == in_order(unit, threshold)
+
+
+def test_settling_equals_one_pass(spark):
+    draw = np.random.default_rng(5)
+    pairs = {tuple(sorted(draw.choice(300, 2, replace=False).tolist())) for _ in range(700)} | {(i, i + 1) for i in range(300, 420)}
+    gone = set()
+    for b in range(421):
+        if any((a, b) in pairs and a not in gone for a in range(b)):
+            gone.add(b)
+    df = spark.createDataFrame([(a, b) for a, b in pairs], "a long, b long")
+    assert {r.seq for r in cache.settle(df).collect()} == gone
+    assert cache.settle(df.limit(0)).count() == 0
 
 
 def test_cache_write_lookup_expire(spark):
