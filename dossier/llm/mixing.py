@@ -1,9 +1,11 @@
 """Mixing to target weights with soft membership.
 
 A classifier learned from the labels table gives every document a posterior over domains. Every document has a rate, the
-expected number of its copies in the mix; projected gradient steps on a least-squares loss fit nonnegative rates whose
-expected tokens by domain meet the targets, and stay near one otherwise. A step needs only one
-sum per domain over all documents; a document's rate follows from the sums so far. Only column expressions are used.
+expected number of its copies in the mix. A least-squares loss holds the rates' expected tokens by domain against the targets; its
+gradient at a document is the sum of its posteriors times the domains' errors. Projected gradient steps in their lazy form sum the
+errors up, scale them by the domains' curvature, and cut the rate that follows from the sum at zero, so a rate is always
+max(0, 1 - posteriors . sum): of all rates that fit the targets, those that change least. A step needs one pass for ten sums over all documents. A small
+pull towards one only settles what the targets leave open; a larger one trades the fit for smaller changes. Only column expressions are used.
 """
 
 from __future__ import annotations
@@ -41,10 +43,11 @@ LEAST_WEIGHT = 0.3
 EVIDENCE_WEIGHT = 0.7
 #: Below one, so that documents of the anchor domain with a little less than its mean rate stay.
 SCALE = 0.9
-#: Pull of the rates towards one, steps, and the relative error at which steps end.
-PULL = 0.002
-MAX_STEPS = 40
-TOLERANCE = 0.002
+#: Pull of the rates towards one where the mix is fitted, and where documents are taken or left by it: those of the
+#: anchor domain are to stay even if the classifier is unsure.
+PULL, CAREFUL_PULL = 1e-6, 0.02
+#: Passes over the documents, and the error in times a target at which they end.
+MAX_STEPS, TOLERANCE = 40, 1e-4
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -132,16 +135,58 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return sums.select("row", "doc_id", "n_tokens", *[(F.exp(s - top) / total).alias(f"p_{d}") for d, s in scores.items()])
 
 
-def _rates(steps: list[list[float]], rate: float) -> Column:
-    """The rate after the steps so far: each moves against the gradient and is cut at zero."""
-    if not steps:
-        return F.lit(1.0)
-    gradients = F.array(*[F.array(*[F.lit(g) for g in step]) for step in steps])
-    move = lambda r, g: sum((F.col(f"p_{d}") * g[i] for i, d in enumerate(DOMAINS)), F.lit(PULL) * (r - 1))
-    return F.aggregate(gradients, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.lit(rate) * move(r, g)))
+def _rate(total: list[float]) -> Column:
+    """The rate that follows from the summed steps: against them, and cut at zero."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p_{d}") * total[i] for i, d in enumerate(DOMAINS)), F.lit(0.0)))
+
+
+def _solve(rows: list[list[float]], right: list[float]) -> list[float]:
+    """Elimination with the largest pivot; the matrix is positive definite and has one row per domain."""
+    rows = [[*r, x] for r, x in zip(rows, right)]
+    for i in range(len(rows)):
+        j = max(range(i, len(rows)), key=lambda k: abs(rows[k][i]))
+        rows[i], rows[j] = rows[j], rows[i]
+        rows[i] = [x / rows[i][i] for x in rows[i]]
+        rows = [r if k == i else [x - r[i] * y for x, y in zip(r, rows[i])] for k, r in enumerate(rows)]
+    return [r[-1] for r in rows]
+
+
+def _fitted(table: DataFrame, goal: dict[str, float], wanted: list[str], pull: float) -> list[float]:
+    """The summed steps at which the domains' tokens meet their goals, or come as near as nonnegative rates and the pull let them."""
+    n, p, goals = F.col("n_tokens"), [F.col(f"p_{d}") for d in DOMAINS], [goal[d] for d in DOMAINS]
+    pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
+
+    def errors(total: list[float]) -> tuple[list[float], list[list[float]], float]:
+        """Errors in tokens, curvature, and the value that every step must lessen."""
+        r = _rate(total)
+        row = table.select(n, *p, r.alias("r")).agg(
+            *[F.sum(n * p[i] * F.col("r")).alias(f"m{i}") for i in range(len(DOMAINS))], F.sum(n * F.col("r") * F.col("r")).alias("square"),
+            *[F.sum(F.when(F.col("r") > 0, n * p[i] * p[j]).otherwise(0.0)).alias(f"c{i}{j}") for i, j in pairs],
+        ).first().asDict()
+        error = [pull * total[i] * goals[i] - row[f"m{i}"] + goals[i] if d in wanted else 0.0 for i, d in enumerate(DOMAINS)]
+        bend = [[row[f"c{min(i, j)}{max(i, j)}"] + (i == j) * (pull * goals[i] + 1e-9 * goals[i]) for j in range(len(DOMAINS))] for i in range(len(DOMAINS))]
+        return error, bend, row["square"] / 2 + sum(goals[i] * total[i] * (1 + pull * total[i] / 2) for i in range(len(DOMAINS)))
+
+    total = [0.0] * len(DOMAINS)
+    error, bend, value = errors(total)
+    passes = 1
+    while passes < MAX_STEPS and max(abs(e) / g for e, g in zip(error, goals)) > TOLERANCE:
+        step, size = _solve(bend, [-e for e in error]), 1.0
+        down = sum(e * s for e, s in zip(error, step))
+        while passes < MAX_STEPS:
+            tried = [t + size * s for t, s in zip(total, step)]
+            new = errors(tried)
+            passes += 1
+            if new[2] <= value + 1e-4 * size * down:
+                total, (error, bend, value) = tried, new
+                break
+            size /= 4
+        else:
+            break
+    return total
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR, fit_rows: int = FIT_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR, fit_rows: int = FIT_ROWS, pull: float = PULL) -> DataFrame:
     """One row per document: doc_id, n_tokens, p_<domain>, rate (expected copies, not negative).
 
     Tokens are separated by white space. A null or empty text has no tokens, the labels' shares as its posterior, and a rate like
@@ -155,26 +200,28 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     total = have[anchor] / share[anchor] if anchor and have[anchor] else sum(have.values())
     goal = {d: max(share[d] * total, 1e-9) for d in DOMAINS}
     wanted = [d for d in DOMAINS if have[d] > 0]
-    # Posteriors add up to one, so the largest ratio bounds the curvature of the loss.
-    rate = 1 / (max((have[d] / goal[d] for d in wanted), default=1.0) + PULL)
-    steps: list[list[float]] = []
-    for _ in range(MAX_STEPS if wanted else 0):
-        r = _rates(steps, rate)
-        mass = table.agg(*[F.sum(n * p[d] * r).alias(d) for d in DOMAINS]).first().asDict()
-        off = {d: (mass[d] - goal[d]) / goal[d] if d in wanted else 0.0 for d in DOMAINS}
-        if max(abs(x) for x in off.values()) < TOLERANCE:
-            break
-        steps.append([off[d] for d in DOMAINS])
-    return table.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], _rates(steps, rate).alias("rate"))
+    sums = _fitted(table, goal, wanted, pull) if wanted else [0.0] * len(DOMAINS)
+    return table.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], _rate(sums).alias("rate"))
+
+
+def shares(mixture: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """domain, target, share: of the expected tokens of a mixture; the share is null where it has no tokens."""
+    n = F.col("n_tokens") * F.col("rate")
+    sums = mixture.agg(*[F.sum(n * F.col(f"p_{d}")).alias(d) for d in DOMAINS])
+    whole = sum((F.col(d) for d in DOMAINS), F.lit(0.0))
+    rows = F.array(*[
+        F.struct(F.lit(d).alias("domain"), F.lit(targets[d] / sum(targets.values())).alias("target"), (F.col(d) / F.nullif(whole, F.lit(0.0))).alias("share")) for d in DOMAINS
+    ])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR) -> DataFrame:
     """The documents that the mix takes; none is repeated.
 
-    Shares depend on the ratios of rates alone, so rates are scaled by SCALE times the anchor domain's mean rate, and a document
+    Rates are fitted with CAREFUL_PULL, so that documents of the anchor domain stay near one where the classifier is unsure. Shares depend on the ratios of rates alone, so rates are scaled by SCALE times the anchor domain's mean rate, and a document
     stays with that probability (one at most) by the hash of its id.
     """
-    found = materialize(mix(docs, labels, targets, anchor))
+    found = materialize(mix(docs, labels, targets, anchor, pull=CAREFUL_PULL))
     weight = F.col("n_tokens") * F.col(f"p_{anchor}")
     mean = found.agg((F.sum(weight * F.col("rate")) / F.sum(weight)).alias("mean")).first()["mean"] or 1.0
     out = found.where(unit_hash(F.col("doc_id"), F.lit("mix")) >= F.col("rate") / (SCALE * mean)).select("doc_id").where("doc_id is not null").distinct()
