@@ -36,6 +36,12 @@ def classify_by_pattern(question: Column) -> Column:
     return chain.otherwise(K.DEFAULT_QUESTION_TYPE)
 
 
+def classification_prompt(question: Column) -> Column:
+    """Asks a model for one of the question types; the question comes last."""
+    kinds = ", ".join(K.QUESTION_TYPES)
+    return F.concat(F.lit(f"Name the type of the question below. Reply with one of these words alone: {kinds}.\n\nQuestion: "), question)
+
+
 def classify(question: Column, override: Column | None = None, model_answer: Column | None = None) -> Column:
     """The caller's type, else a valid model answer, else the pattern rules."""
     options = []

@@ -17,19 +17,31 @@ from dossier.functions import vectors as V
 from dossier.operators import cache as C
 from dossier.operators import evidence as A
 from dossier.operators import graph_query as G
+from dossier.operators import observed as M
 from dossier.operators import retrieval as R
 from dossier.operators import routing as W
 from dossier.session import materialize
 
 LABELS = "array<string>"
+CLASSIFIER_PROMPT = "You sort questions into types."
 
 
-def prepare(questions: DataFrame, weights: DataFrame, embedder: V.Embedder) -> DataFrame:
-    """Add embedding, class, strategy and its switches, and whether the cache may be used."""
+def prepare(questions: DataFrame, weights: DataFrame, embedder: V.Embedder, classifier: A.Generator | None = None, sink: M.Sink | None = None) -> DataFrame:
+    """Add embedding, class, strategy and its switches, and whether the cache may be used.
+
+    A classifier is asked about questions without a type of their own; where it fails or says something else, patterns decide.
+    """
     if "question_type" not in questions.columns:
         questions = questions.withColumn("question_type", F.lit(None).cast("string"))
+    said = None
+    if classifier is not None:
+        open_ = F.coalesce("question_type", F.lit("")) == ""
+        asked = questions.withColumn("prompt", F.when(open_, Q.classification_prompt(F.col("question"))))
+        questions, calls = M.observed(asked, "prompt", CLASSIFIER_PROMPT, classifier, "classify_question", "classifier", null_on_error=True, raw="said")
+        M.record(calls, sink)
+        said = F.col("said")
     asked = questions.select(
-        "qid", "question", Q.classify(F.col("question"), F.col("question_type")).alias("question_type"),
+        "qid", "question", Q.classify(F.col("question"), F.col("question_type"), said).alias("question_type"),
         (~Q.is_time_sensitive(F.col("question"))).alias("cache_allowed"),
         V.embed(F.col("question"), embedder).alias("question_embedding"),
     )
@@ -124,8 +136,8 @@ def evidence_for(prepared: DataFrame, chunks: DataFrame, top_k: int, min_confide
     return R.deduplicate(found)
 
 
-def respond(prepared: DataFrame, results: DataFrame, context: DataFrame, model: A.Generator | None = None) -> DataFrame:
-    """Responses: the model's reply merged with graph findings, or the extractive fallback."""
+def respond(prepared: DataFrame, results: DataFrame, context: DataFrame, model: A.Generator | None = None, sink: M.Sink | None = None) -> DataFrame:
+    """Responses: the model's reply merged with graph findings, or the extractive fallback. Model calls leave their records in the sink."""
     counted = results.groupBy("qid").agg(F.count(F.lit(1)).alias("retrieval_count"))
     base = (
         prepared.join(context.select("qid", "inferred_skills", "repeated_patterns", "graph_entities_used"), "qid")
@@ -142,7 +154,9 @@ def respond(prepared: DataFrame, results: DataFrame, context: DataFrame, model:
         evidence = A.evidence_text(A.evidence_blocks(results), context)
         prompts = base.join(evidence, "qid").join(A.top_sources(results, 5), "qid", "left")
         message = A.user_message(F.col("question_type"), F.col("evidence"), F.col("question"))
-        replied = prompts.withColumn("raw", A.generate(message, model)).withColumn("reply", A.parse_reply(F.col("raw")))
+        replied, calls = M.observed(prompts.withColumn("message", message), "message", A.SYSTEM_PROMPT, model, "synthesize_answer", "synthesis")
+        M.record(calls, sink)
+        replied = replied.withColumn("reply", A.parse_reply(F.col("raw")))
         merged = A.merge_reply(F.col("reply"), F.col("raw"), F.col("inferred_skills"), F.col("repeated_patterns"), F.col("sources"))
         keep = [c for c in base.columns if c not in ("inferred_skills", "repeated_patterns")]
         rows = replied.withColumn("m", merged).select(*keep, "m.*", F.lit(model.model_id).alias("model_id"))
@@ -167,13 +181,13 @@ def response_json(include_decision: bool = True) -> Column:
 def answer_batch(questions: DataFrame, chunks: DataFrame, nodes: DataFrame | None, edges: DataFrame | None,
                  weights: DataFrame, embedder: V.Embedder, model: A.Generator | None = None,
                  top_k: int = K.DEFAULT_TOP_K, min_confidence: float = K.DEFAULT_MIN_CONFIDENCE,
-                 expand: bool = True) -> DataFrame:
+                 expand: bool = True, classifier: A.Generator | None = None, sink: M.Sink | None = None) -> DataFrame:
     """Answer every ``(qid, question[, question_type])`` row, without the cache.
 
     Strategies that need the graph expand it whatever ``expand`` says; without a graph
-    nothing is expanded.
+    nothing is expanded. Records of model calls go to ``sink``.
     """
-    prepared = materialize(prepare(questions, weights, embedder))
+    prepared = materialize(prepare(questions, weights, embedder, classifier, sink))
     results = materialize(evidence_for(prepared, chunks, top_k, min_confidence))
     if nodes is None or edges is None:
         context = no_context(prepared)
@@ -183,7 +197,7 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, nodes: DataFrame | Non
         context = graph_context(results.join(wide.select("qid"), "qid", "left_semi"), wide, nodes, edges)
         if not expand:
             context = context.unionByName(no_context(plain))
-    return respond(prepared, results, context, model)
+    return respond(prepared, results, context, model, sink)
 
 
 def with_cache(questions: DataFrame, cache: DataFrame, now: Column, embedder: V.Embedder,

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from dossier import constants as K
 from dossier.functions import vectors as V
 from dossier.operators import evidence as A
 from dossier.operators import graph_query as G
+from dossier.operators import observed as M
 from dossier.operators import retrieval as R
 from dossier.operators import routing as W
 from dossier.plans import answer as P
 from dossier.plans import ingest
-from dossier.plans.catalog.base import CORPUS_CTE, case_list, corpus, documents, plain, portable, query, sql_strip
+from dossier.plans.catalog.base import CORPUS_CTE, case_list, corpus, documents, plain, portable, query, sql_strip, table
 from dossier.plans.catalog.graph import stored_graph
 from dossier.plans.catalog.retrieval import BASE_CTE, PRIMARY, TOP_K, chunks, questions
 from dossier.plans.catalog.text import AWS_RX, PAT_RX, TECH_RX, sql_found
-from dossier.session import materialize
+from dossier.session import checkpoint_dir, materialize
 from dossier.sources import store
 
 SQL_SLUG = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '_')"
@@ -171,12 +175,36 @@ def metric_items(spark, sf_dir):
     )
 
 
-@query("o113_calls_by_model", f"""
-WITH c AS ({plain(CALLS)}) SELECT operation, model_id, pipeline_operation, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
-  CAST(sum(body_len) AS BIGINT) AS body_chars FROM c GROUP BY 1, 2, 3
+class FirstWords:
+    """A model that repeats the first three words of its prompt."""
+
+    def __init__(self, model_id: str):
+        self.model_id = model_id
+
+    def generate(self, system: str, prompts: list[str]) -> list[str]:
+        return [" ".join(p.split()[:3]) for p in prompts]
+
+
+@query("o113_calls_by_model", r"""
+WITH asked AS (
+  SELECT 'small' AS model_id, 'classify_question' AS pipeline_operation, text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT 'large', 'synthesize_answer', text FROM documents
+)
+SELECT 'invoke_model' AS operation, model_id, pipeline_operation, count(*) AS calls,
+  CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS prompt_tokens, CAST(sum(least(3, len(regexp_extract_all(text, '\S+')))) AS BIGINT) AS completion_tokens,
+  CAST(sum(length(text)) AS BIGINT) AS body_chars, 'unknown' AS decision, TRUE AS kept_90_days
+FROM asked WHERE text IS NOT NULL GROUP BY 1, 2, 3
 """)
 def calls_by_model(spark, sf_dir):
-    items = store.metric_items(portable(spark, sf_dir, CALLS).withColumn("called_at", F.col("called_at").cast("timestamp")))
+    """Models are called over whole tables, their records stored as items and read back."""
+    target = store.Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/calls/{uuid.uuid4().hex}")
+    users = table(spark, sf_dir, "conversations").where("role = 'user'").select("text")
+    for rows, name, step in [(users, "small", "classify_question"), (table(spark, sf_dir, "documents").select("text"), "large", "synthesize_answer")]:
+        _, calls = M.observed(rows, "text", "", FirstWords(name), step)
+        M.record(calls, target.append_calls)
+    items = target.call_items()
+    kept = F.col("ttl") - F.unix_timestamp(F.to_timestamp("timestamp")) == K.METRIC_TTL_SECONDS
     return items.groupBy("operation", "model_id", "pipeline_operation").agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("body_len").alias("body_chars")
+        F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
+        F.sum("body_len").alias("body_chars"), F.max("decision").alias("decision"), F.bool_and(kept).alias("kept_90_days"),
     )

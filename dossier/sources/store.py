@@ -139,6 +139,15 @@ class Store:
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*by) if by else writer).json(f"{self.root}/{path}")
 
+    # -- records of model calls ---------------------------------------------
+
+    def append_calls(self, calls: DataFrame) -> None:
+        """Add the metric items of model calls; nothing stored is read or rewritten."""
+        metric_items(calls).withColumn("day", F.substring("timestamp", 1, 10)).write.mode("append").partitionBy("day").parquet(f"{self.root}/metrics")
+
+    def call_items(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/metrics").drop("day")
+
     def delete(self, path: str) -> bool:
         fs, target = self._fs(f"{self.root}/{path}")
         return fs.delete(target, True)

@@ -149,6 +149,7 @@ def test_service_with_model_and_cache(ingested):
     assert first["answer"] == "yes" and first["confidence"] == 0.9 and "Zig" in first["inferredSkills"] and first["sources"]
     again = service.answer(parse_event(request(body)))
     assert again["cacheHit"] is True and again["answer"] == "yes" and again["routingDecision"] == {}
+    assert [r.pipeline_operation for r in store.call_items().collect()] == ["synthesize_answer"]  # a cache hit calls no model
     assert store.read("query_cache").first().hit_count == 1
 
 
