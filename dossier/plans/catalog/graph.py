@@ -11,7 +11,7 @@ from dossier.functions import text as T
 from dossier.operators import graph_build as B
 from dossier.operators import graph_query as G
 from dossier.plans.catalog.base import plain, portable, query
-from dossier.session import materialize
+from dossier.session import bucketed, materialize
 from dossier.sources import store
 
 # -- Signals of orders ------------------------------------------------------
@@ -308,47 +308,50 @@ UNION ALL SELECT 'pat_' || p_type, 'Pattern', p_type || ' style', '', NULL, coun
 UNION ALL SELECT DISTINCT 'type_' || o_orderstatus, 'DocumentType', 'status ' || o_orderstatus, '', CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT) FROM {orders}
 UNION ALL SELECT DISTINCT 'cut_' || o_orderpriority, 'ChunkingStrategy', o_orderpriority, '', CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT) FROM {orders}
 """
+USED = """
+SELECT DISTINCT 'doc_' || CAST(o_orderkey AS STRING) AS doc, 'repo_' || CAST(c_custkey AS STRING) AS repo,
+  'person_' || CAST(c_nationkey AS STRING) AS person, p_partkey % 4 AS k, p_brand, p_name, p_type, p_size
+FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {orders} o ON l.l_orderkey = o.o_orderkey
+JOIN {customer} c ON o.o_custkey = c.c_custkey
+"""
 EDGES = """
-WITH used AS (SELECT 'doc_' || CAST(o_orderkey AS STRING) AS doc, 'repo_' || CAST(c_custkey AS STRING) AS repo,
-    'person_' || CAST(c_nationkey AS STRING) AS person, p_partkey % 4 AS k, p_brand, p_name, p_type, p_size
-  FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {orders} o ON l.l_orderkey = o.o_orderkey
-  JOIN {customer} c ON o.o_custkey = c.c_custkey)
 SELECT 'person_' || CAST(c_nationkey AS STRING) AS from_id, 'BUILT' AS relationship, 'repo_' || CAST(c_custkey AS STRING) AS to_id FROM {customer}
 UNION ALL SELECT 'repo_' || CAST(o_custkey AS STRING), 'CONTAINS', 'doc_' || CAST(o_orderkey AS STRING) FROM {orders}
 UNION ALL SELECT 'doc_' || CAST(o_orderkey AS STRING), 'HAS_TYPE', 'type_' || o_orderstatus FROM {orders}
 UNION ALL SELECT 'doc_' || CAST(o_orderkey AS STRING), 'CHUNKED_WITH', 'cut_' || o_orderpriority FROM {orders}
-UNION ALL SELECT DISTINCT doc, 'USES_TECH', 'tech_' || p_name FROM used WHERE k = 0
-UNION ALL SELECT DISTINCT repo, 'USES_TECH', 'tech_' || p_name FROM used WHERE k = 0
-UNION ALL SELECT DISTINCT doc, 'USES_AWS_SERVICE', 'svc_' || CAST(p_size AS STRING) FROM used WHERE k = 1
-UNION ALL SELECT DISTINCT repo, 'USES_AWS_SERVICE', 'svc_' || CAST(p_size AS STRING) FROM used WHERE k = 1
-UNION ALL SELECT DISTINCT doc, 'INDICATES_SKILL', 'skill_' || p_brand FROM used WHERE k = 2
-UNION ALL SELECT DISTINCT person, 'DEMONSTRATES_SKILL', 'skill_' || p_brand FROM used WHERE k = 2
-UNION ALL SELECT DISTINCT doc, 'DEMONSTRATES_PATTERN', 'pat_' || p_type FROM used WHERE k = 3
-UNION ALL SELECT DISTINCT repo, 'DEMONSTRATES_PATTERN', 'pat_' || p_type FROM used WHERE k = 3
-UNION ALL SELECT DISTINCT person, 'DEMONSTRATES_PATTERN', 'pat_' || p_type FROM used WHERE k = 3
+UNION ALL SELECT DISTINCT doc, 'USES_TECH', 'tech_' || p_name FROM {used} WHERE k = 0
+UNION ALL SELECT DISTINCT repo, 'USES_TECH', 'tech_' || p_name FROM {used} WHERE k = 0
+UNION ALL SELECT DISTINCT doc, 'USES_AWS_SERVICE', 'svc_' || CAST(p_size AS STRING) FROM {used} WHERE k = 1
+UNION ALL SELECT DISTINCT repo, 'USES_AWS_SERVICE', 'svc_' || CAST(p_size AS STRING) FROM {used} WHERE k = 1
+UNION ALL SELECT DISTINCT doc, 'INDICATES_SKILL', 'skill_' || p_brand FROM {used} WHERE k = 2
+UNION ALL SELECT DISTINCT person, 'DEMONSTRATES_SKILL', 'skill_' || p_brand FROM {used} WHERE k = 2
+UNION ALL SELECT DISTINCT doc, 'DEMONSTRATES_PATTERN', 'pat_' || p_type FROM {used} WHERE k = 3
+UNION ALL SELECT DISTINCT repo, 'DEMONSTRATES_PATTERN', 'pat_' || p_type FROM {used} WHERE k = 3
+UNION ALL SELECT DISTINCT person, 'DEMONSTRATES_PATTERN', 'pat_' || p_type FROM {used} WHERE k = 3
 UNION ALL SELECT DISTINCT 'skill_' || p_brand, 'STRENGTHENS', 'pat_' || p_type FROM {part}
 UNION ALL SELECT DISTINCT 'tech_' || p_name, 'STRENGTHENS', 'svc_' || CAST(p_size AS STRING) FROM {part}
 """
-GRAPH_CTE = f"nodes AS ({plain(NODES)}), edges AS ({plain(EDGES)})"
+GRAPH_CTE = f"nodes AS ({plain(NODES)}), used AS ({plain(USED)}), edges AS ({plain(EDGES)})"
 SKILLS = ["Brand#1", "BRAND#2", "brand#13", "Brand#25", "no such"]
 PATTERNS = ["ECONOMY style", "small STYLE", "large style", "promo style", "standard style"]
 SERVICES = ["AWS Service 1", "aws service 7", "AWS SERVICE 20"]
 
 
-def graph(spark, sf_dir):
+def graph(spark, sf_dir, used=None):
     nodes = portable(spark, sf_dir, NODES)
     props = F.map_filter(
         F.create_map(F.lit("weight"), F.col("weight").cast("string"), F.lit("frequency"), F.col("frequency").cast("string")),
         lambda k, v: v.isNotNull(),
     )
     nodes = nodes.withColumn("properties", props).drop("weight", "frequency")
-    return nodes, portable(spark, sf_dir, EDGES)
+    return nodes, portable(spark, sf_dir, EDGES, used=used or portable(spark, sf_dir, USED))
 
 
 def stored_graph(spark, sf_dir):
-    """The same graph as stored tables, edges by relationship, for queries that read it many times."""
-    nodes, edges = graph(spark, sf_dir)
-    return materialize(nodes, ["node_type"]), materialize(edges, ["relationship"])
+    """The same graph as stored tables by kind, in buckets by node and by source, for queries that read it many times."""
+    # Nine kinds of edge read the same joined rows, so these are written once.
+    nodes, edges = graph(spark, sf_dir, materialize(portable(spark, sf_dir, USED)))
+    return bucketed(nodes, "node_id", ["node_type"]), bucketed(edges, "from_id", ["relationship"])
 
 
 def joined(rows, *arrays):
@@ -376,7 +379,7 @@ c AS (SELECT s.skill, {sql_first('t.label', 5)} AS co_technologies FROM (SELECT
 SELECT skill, related_entities, co_technologies FROM r JOIN c USING (skill) ORDER BY skill LIMIT 20
 """)
 def skill_neighbourhood(spark, sf_dir):
-    return joined(G.skill_neighbourhood(*graph(spark, sf_dir), SKILLS), "related_entities", "co_technologies")
+    return joined(G.skill_neighbourhood(*stored_graph(spark, sf_dir), SKILLS), "related_entities", "co_technologies")
 
 
 PATTERN_SQL = f"""
@@ -392,12 +395,12 @@ pe AS (SELECT pattern, w.node_type AS entity_type, w.label AS entity_label, w.so
 WITH {GRAPH_CTE}, {PATTERN_SQL} SELECT * FROM pe ORDER BY pattern, entity_type, entity_label, source_file LIMIT 30
 """)
 def pattern_evidence(spark, sf_dir):
-    return joined(G.pattern_evidence(*graph(spark, sf_dir), PATTERNS), "related")
+    return joined(G.pattern_evidence(*stored_graph(spark, sf_dir), PATTERNS), "related")
 
 
 @query("o98_pattern_evidence_all", f"WITH {GRAPH_CTE}, {PATTERN_SQL} SELECT * FROM pe")
 def pattern_evidence_all(spark, sf_dir):
-    return joined(G.pattern_evidence(*graph(spark, sf_dir), PATTERNS, limit=None), "related")
+    return joined(G.pattern_evidence(*stored_graph(spark, sf_dir), PATTERNS, limit=None), "related")
 
 
 AWS_SQL = f"""
@@ -413,12 +416,12 @@ ac AS (SELECT aws_service, repository,
 
 @query("o99_aws_context", f"WITH {GRAPH_CTE}, {AWS_SQL} SELECT * FROM ac ORDER BY aws_service, repository LIMIT 30")
 def aws_context(spark, sf_dir):
-    return joined(G.aws_service_context(*graph(spark, sf_dir), SERVICES), "co_services", "co_technologies")
+    return joined(G.aws_service_context(*stored_graph(spark, sf_dir), SERVICES), "co_services", "co_technologies")
 
 
 @query("o99_aws_context_all", f"WITH {GRAPH_CTE}, {AWS_SQL} SELECT * FROM ac")
 def aws_context_all(spark, sf_dir):
-    return joined(G.aws_service_context(*graph(spark, sf_dir), SERVICES, limit=None), "co_services", "co_technologies")
+    return joined(G.aws_service_context(*stored_graph(spark, sf_dir), SERVICES, limit=None), "co_services", "co_technologies")
 
 
 PERSON_SQL = f"""
@@ -435,12 +438,12 @@ pp AS (SELECT person, skills, patterns, coalesce(aws_services, '') AS aws_servic
 
 @query("o100_person_summary", f"WITH {GRAPH_CTE}, {PERSON_SQL} SELECT * FROM pp ORDER BY person LIMIT 1")
 def person_summary(spark, sf_dir):
-    return joined(G.person_summary(*graph(spark, sf_dir)), "skills", "patterns", "aws_services")
+    return joined(G.person_summary(*stored_graph(spark, sf_dir)), "skills", "patterns", "aws_services")
 
 
 @query("o100_person_summary_all", f"WITH {GRAPH_CTE}, {PERSON_SQL} SELECT * FROM pp")
 def person_summary_all(spark, sf_dir):
-    return joined(G.person_summary(*graph(spark, sf_dir), limit=None), "skills", "patterns", "aws_services")
+    return joined(G.person_summary(*stored_graph(spark, sf_dir), limit=None), "skills", "patterns", "aws_services")
 
 
 @query("o101_type_distribution", """

@@ -45,7 +45,7 @@ def extracted_documents(spark, sf_dir):
 
 # Texts of diagrams and manifests are stated by o35, o36 and o32 to o34; here they must come back as they were extracted.
 EXTRACTED = f"""WITH {MD_CTE}, lines AS (
-  SELECT *, regexp_extract_all(content, '(?m)^#{{1,4}}\s+(.+)$', 1)[1:5] AS h,
+  SELECT *, regexp_extract_all(content, '(?m)^#{{1,4}}\\s+(.+)$', 1)[1:5] AS h,
     list_filter(list_transform(string_split(cleaned, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '' AND NOT starts_with(x, '#'))[1] AS line FROM md
 ), t AS (SELECT *, {sql_squeeze('content')} AS t FROM corpus WHERE {KIND} = 'text'),
 d AS (

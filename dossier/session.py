@@ -83,3 +83,19 @@ def materialize(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, by: list[str], buckets: int | None = None) -> DataFrame:
+    """Write rows in the shared folder, by kind and within a kind in hash buckets of ``key``, and read them back as a table.
+
+    Joins and groupings on the key need no shuffle of the table then. The table's name lives as long as the session; its files
+    are those of a materialised table.
+    """
+    spark = df.sparkSession
+    buckets = buckets or shuffle_width(spark)
+    name = "t_" + uuid.uuid4().hex
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+    # One task per bucket, so that a kind has one file per bucket.
+    dealt = df.repartition(buckets, key)
+    dealt.write.partitionBy(*by).bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
