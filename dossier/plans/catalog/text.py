@@ -8,7 +8,7 @@ from dossier import constants as K
 from dossier.functions import documents as D
 from dossier.functions import text as T
 from dossier.operators import extraction as X
-from dossier.plans.catalog.base import CORPUS_CTE, corpus, documents, literal, query, sql_ascii, sql_strip, sql_weight, table
+from dossier.plans.catalog.base import AWS, PAT, TECH, CORPUS_CTE, corpus, documents, literal, query, sql_ascii, sql_strip, sql_weight, table
 
 
 def rx(pattern: str) -> str:
@@ -175,7 +175,14 @@ def manifests(spark, sf_dir):
     return parsed.select("doc_id", e.alias("e")).select("doc_id", "e.*")
 
 
-@query("o32_yaml_flatten")
+# What the parser must make of the generated manifests: nine known lines, then the block text with one line break at its end.
+@query("o32_yaml_flatten", f"""
+WITH {CORPUS_CTE}, y AS (SELECT doc_id, repo, text FROM corpus JOIN documents USING (doc_id) WHERE {KIND} = 'yaml'),
+l AS (SELECT doc_id, list_concat(['repo_name: ' || repo, 'owner: dev', 'skills[0]: Python', 'skills[1].name: ' || {TECH}, 'patterns[0]: ' || {PAT},
+    'aws_services[0].name: ' || {AWS}, 'limits.sizes[0]: 1', 'limits.sizes[1]: 2'],
+  string_split('body: ' || rtrim(text, chr(10)) || CASE WHEN rtrim(text, chr(10)) = '' THEN '' ELSE chr(10) END, chr(10))) AS lines FROM y)
+SELECT doc_id, unnest(range(len(lines)))::INTEGER AS line_no, unnest(lines) AS line FROM l
+""")
 def yaml_flatten(spark, sf_dir):
     return T.explode_rows(manifests(spark, sf_dir), ["doc_id"], F.split("extracted_text", "\n"), "line", "line_no")
 
