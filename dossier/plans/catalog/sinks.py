@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from dossier.functions import documents as D
 from dossier.operators import extraction as X
 from dossier.operators import graph_build as B
+from dossier.plans import ingest
 from dossier.plans.catalog.base import CORPUS_CTE, corpus, plain, portable, query, sql_strip
 from dossier.plans.catalog.graph import (
-    EDGE_ROWS, FACTS_CTE, NEW_EDGES, NEW_NODES, OLD_NODES, fresh_nodes, order_docs, order_signals, stored_nodes,
+    EDGE_ROWS, FACTS_CTE, NEW_CHUNKS, NEW_EDGES, NEW_NODES, NODE_ROWS, OLD_NODES, fresh_nodes, order_docs, order_signals, stored_nodes,
     with_edge_id,
 )
 from dossier.plans.catalog.text import KIND, MD_CTE, sql_squeeze
-from dossier.session import checkpoint_dir, materialize
+from dossier.session import checkpoint_dir, materialize, materialize_counted
 from dossier.sources import files, store
 
 
@@ -103,26 +104,43 @@ def repository_artifacts(spark, sf_dir):
 @query("o18_write_counts", f"""
 WITH known AS (SELECT node_id FROM ({plain(OLD_NODES)}) UNION SELECT node_id FROM ({plain(NEW_NODES)})),
 n AS (SELECT * FROM ({plain(NEW_EDGES)}) e WHERE from_id IN (SELECT node_id FROM known) AND to_id IN (SELECT node_id FROM known))
-SELECT (SELECT count(*) FROM ({plain(NEW_NODES)})) AS nodes_written, (SELECT count(*) FROM n) AS edges_written
+SELECT (SELECT count(*) FROM ({plain(NEW_NODES)})) AS nodes_written, (SELECT count(*) FROM n) AS edges_written,
+  (SELECT count(*) FROM known) AS nodes_stored, 0::BIGINT AS errors
 """)
 def write_counts(spark, sf_dir):
-    fresh = fresh_nodes(spark, sf_dir)
-    nodes = B.merge_nodes(stored_nodes(spark, sf_dir), fresh)
-    edges = B.drop_dangling(with_edge_id(portable(spark, sf_dir, NEW_EDGES)), nodes)
-    written = edges.agg(F.count(F.lit(1))).scalar()
-    return fresh.agg(F.count(F.lit(1)).alias("nodes_written")).select("nodes_written", written.alias("edges_written"))
+    """Counts observed on a store's own merge of nodes and edges."""
+    target, old = scratch(spark), stored_nodes(spark, sf_dir)
+    target.replace("nodes", old.select(*target.read("nodes").columns))
+    new = with_edge_id(portable(spark, sf_dir, NEW_EDGES))
+    nodes, edges, errors = ingest.write_graph(target, fresh_nodes(spark, sf_dir).select(*old.columns), new)
+    counted = target.read("nodes").agg(F.count(F.lit(1)).alias("nodes_stored"))
+    return counted.select(F.lit(nodes).cast("long").alias("nodes_written"), F.lit(edges).cast("long").alias("edges_written"), "nodes_stored",
+                          F.lit(len(errors)).cast("long").alias("errors"))
 
 
 @query("o64_manifest_counters", f"""
-WITH {FACTS_CTE}, {EDGE_ROWS}, every AS (SELECT * FROM fan UNION ALL SELECT * FROM strong UNION ALL SELECT * FROM own UNION ALL SELECT * FROM routed)
-SELECT (SELECT count(*) FROM docs) AS files_processed, (SELECT count(DISTINCT (from_id, relationship, to_id)) FROM every) AS graph_edge_count,
-  (SELECT count(DISTINCT (signal_type, value)) FROM sig) AS signal_count, 'success' AS status
+WITH {FACTS_CTE}, {EDGE_ROWS}, {NODE_ROWS}, every AS (SELECT * FROM fan UNION ALL SELECT * FROM strong UNION ALL SELECT * FROM own UNION ALL SELECT * FROM routed)
+SELECT 'partial' AS status, (SELECT count(*) FROM docs) AS files_processed, (SELECT count(*) FROM nation) AS files_skipped,
+  (SELECT count(DISTINCT node_id) FROM (SELECT node_id FROM nrows UNION ALL SELECT node_id FROM rrows)) + 1
+    + (SELECT count(DISTINCT lower(repo)) FROM docs) AS graph_node_count,
+  (SELECT count(DISTINCT (from_id, relationship, to_id)) FROM every) AS graph_edge_count,
+  (SELECT count(DISTINCT (signal_type, value)) FROM sig) AS signal_count, (SELECT count(*) FROM ({plain(NEW_CHUNKS)}) WHERE e IS NOT NULL) AS chunks_written,
+  (SELECT count(*) FROM nation) AS error_count, (SELECT count(DISTINCT (doc_type, chunking_strategy)) FROM docs) AS routes
 """)
 def manifest_counters(spark, sf_dir):
+    """Orders are read files, nations files that could not be read; all numbers are observed while tables are written."""
     docs, signals = order_docs(spark, sf_dir), order_signals(spark, sf_dir)
-    edges = B.build_graph(docs, signals)[1].agg(F.count(F.lit(1))).scalar()
-    totals = B.aggregate_signals(signals).agg(F.count(F.lit(1))).scalar()
-    return docs.agg(F.count(F.lit(1)).alias("files_processed")).select(
-        "files_processed", edges.alias("graph_edge_count"), totals.alias("signal_count"),
-        F.when(F.col("files_processed") > 0, "success").otherwise("no_files").alias("status"),
-    )
+    failed = portable(spark, sf_dir, "SELECT n_name AS source_key, 'unreadable' AS error FROM {nation}")
+    texts = docs.select("source_key", F.lit(None).cast("string").alias("error")).unionByName(failed)
+    nodes, edges = B.build_graph(docs, signals)
+    chunks = portable(spark, sf_dir, NEW_CHUNKS)
+    found = materialize_counted(texts, errors=F.count("error"))[1]
+    counts = {name: materialize_counted(rows, kept=F.count(kept))[1]["kept"] for name, rows, kept in [
+        ("docs", docs.select("source_key"), "source_key"), ("nodes", nodes.select("node_id"), "node_id"), ("edges", edges.select("edge_id"), "edge_id"),
+        ("signals", B.aggregate_signals(signals).select("value"), "value"), ("chunks", chunks.select("e"), "e"),
+    ]}
+    routes = {r["doc_type"]: r["n"] for r in docs.groupBy("doc_type", "chunking_strategy").agg(F.count(F.lit(1)).alias("n")).collect()}
+    report = ingest.summarise("raw/", found, counts, (0, 0), routes, [])
+    names = ["files_processed", "files_skipped", "graph_node_count", "graph_edge_count", "signal_count", "chunks_written", "error_count"]
+    row = (report.status, *[getattr(report, n) for n in names], len(report.routing_summary))
+    return spark.createDataFrame([row], "status string, " + ", ".join(f"{n} long" for n in [*names, "routes"]))

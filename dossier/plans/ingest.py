@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -13,16 +14,18 @@ from dossier.functions import vectors as V
 from dossier.operators import chunking as C
 from dossier.operators import extraction as X
 from dossier.operators import graph_build as B
-from dossier.session import materialize
+from dossier.session import materialize_counted
 from dossier.sources import files
 from dossier.sources.store import Store, derived_artifact, extracted_text
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class IngestReport:
     """Counters of one run; ``status`` is success, partial (some errors) or no_files.
 
-    The errors themselves are rows of the output ``errors``.
+    Unreadable files are rows of the output ``errors``; ``errors`` here names sinks that failed.
     """
 
     status: str
@@ -35,6 +38,9 @@ class IngestReport:
     chunks_written: int = 0
     routing_summary: dict[str, int] = field(default_factory=dict)
     error_count: int = 0
+    nodes_written: int = 0
+    edges_written: int = 0
+    errors: list[str] = field(default_factory=list)
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -77,6 +83,41 @@ def chunk_rows(docs: DataFrame, embedder: V.Embedder) -> DataFrame:
     )
 
 
+def write_graph(store: Store, nodes: DataFrame, edges: DataFrame) -> tuple[int, int, list[str]]:
+    """Merge nodes, then edges, into the store: numbers of both written, and errors.
+
+    Edges whose ends are unknown are not written. An error raises only if no node was written.
+    """
+    written, errors = [0, 0], []
+    try:
+        fresh, seen = materialize_counted(nodes)
+        store.replace("nodes", B.merge_nodes(store.read("nodes"), fresh))
+        written[0] = seen["rows"]
+    except Exception as problem:
+        raise RuntimeError(f"no node was written: {problem}") from problem
+    try:
+        known = store.read("nodes")
+        fresh, seen = materialize_counted(B.drop_dangling(edges, known))
+        store.replace("edges", B.merge_edges(store.read("edges"), fresh, known))
+        written[1] = seen["rows"]
+    except Exception as problem:
+        log.warning("edges were not written: %s", problem)
+        errors.append(f"edges were not written: {problem}")
+    return *written, errors
+
+
+def summarise(repo_prefix: str, found: dict[str, int], counts: dict[str, int], written: tuple[int, int], routing: dict[str, int],
+              errors: list[str]) -> IngestReport:
+    """The run's report from the counts that were observed on its writes."""
+    if not found["rows"]:
+        return IngestReport("no_files", repo_prefix)
+    problems = found["errors"] + len(errors)
+    return IngestReport(
+        "partial" if problems else "success", repo_prefix, counts["docs"], found["rows"] - counts["docs"], counts["nodes"], counts["edges"],
+        counts["signals"], counts["chunks"], routing, problems, *written, errors,
+    )
+
+
 def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str = "Developer",
         embedder: V.Embedder | None = None, path_identity: bool = False, bucket: str = "",
         batch: int | None = None) -> IngestReport:
@@ -86,19 +127,28 @@ def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str =
     ``batch`` the files of this run stand beside those of other batches, in a folder
     ``batch=N`` of each output; the same batch again replaces its own.
     """
-    texts = materialize(texts)
-    found = texts.count()
-    if found == 0:
-        return IngestReport("no_files", repo_prefix)
-    docs = materialize(analyzed_documents(texts, person, path_identity))
+    texts, found = materialize_counted(texts, errors=F.count("error"))
+    if not found["rows"]:
+        return summarise(repo_prefix, found, {}, (0, 0), {}, [])
+    counts, errors, written = {}, [], (0, 0)
+    docs, seen = materialize_counted(analyzed_documents(texts, person, path_identity))
+    counts["docs"] = seen["rows"]
     nodes, edges = B.build_graph(docs)
-    nodes, edges = materialize(nodes), materialize(edges)
-    known = B.merge_nodes(store.read("nodes"), nodes)
-    store.replace("nodes", known)
-    store.replace("edges", B.merge_edges(store.read("edges"), edges, store.read("nodes")))
-    chunks = materialize(chunk_rows(docs, embedder or V.HashingEmbedder()))
+    nodes, seen = materialize_counted(nodes)
+    counts["nodes"] = seen["rows"]
+    edges, seen = materialize_counted(edges)
+    counts["edges"] = seen["rows"]
+    if counts["docs"]:
+        try:
+            *written, errors = write_graph(store, nodes, edges)
+        except RuntimeError as problem:
+            log.warning("graph: %s", problem)
+            errors = [str(problem)]
+    chunks, seen = materialize_counted(chunk_rows(docs, embedder or V.HashingEmbedder()), kept=F.count("embedding"))
+    counts["chunks"] = seen["kept"]
     store.write_chunks(chunks)
-    signals = materialize(B.aggregate_signals(B.signal_table(docs)))
+    signals, seen = materialize_counted(B.aggregate_signals(B.signal_table(docs)))
+    counts["signals"] = seen["rows"]
     base = "derived/" + repo_prefix.removeprefix("raw/").strip("/")
     part = "" if batch is None else f"/batch={batch}"
     store.write_json(derived_artifact(docs, bucket), f"{base}/artifacts{part}", ["repo_prefix"])
@@ -108,13 +158,8 @@ def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str =
     store.write_json(signals.orderBy(F.desc("strength"), "first_seen").drop("first_seen"), f"{base}/expertise_signals{part}")
     failed = texts.where(F.col("error").isNotNull()).select("source_key", "error")
     store.write_json(failed, f"{base}/errors{part}")
-    problems = failed.count()
-    done = docs.count()
-    report = IngestReport(
-        "partial" if problems else "success", repo_prefix, done, found - done, nodes.count(), edges.count(),
-        signals.count(), chunks.where(F.col("embedding").isNotNull()).count(),
-        {r["routing_key"]: r["files"] for r in D.routing_summary(docs).collect()}, problems,
-    )
+    routing = {r["routing_key"]: r["files"] for r in D.routing_summary(docs).collect()}
+    report = summarise(repo_prefix, found, counts, written, routing, errors)
     store.write_json(store.spark.createDataFrame([(report.status, _json(report))], "status string, manifest string"),
                      f"{base}/processing_manifest{part}")
     return report

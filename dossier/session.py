@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "dossier", master: str | None = None, **conf: str) -> SparkSession:
@@ -85,6 +86,13 @@ def materialize(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, by: list[str] | None = None, **more: Column) -> tuple[DataFrame, dict[str, int]]:
+    """A materialised table, and its number of rows (``rows``) and other aggregates, observed while it is written."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in more.items()]), by)
+    return table, {"rows": 0, **dict.fromkeys(more, 0), **seen.get}
+
+
 def bucketed(df: DataFrame, key: str, by: list[str], buckets: int | None = None) -> DataFrame:
     """Write rows in the shared folder, by kind and within a kind in hash buckets of ``key``, and read them back as a table.
 

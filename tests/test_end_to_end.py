@@ -238,3 +238,36 @@ def test_replay_stream_equals_batch(spark, tmp_path):
                 state.run(5, 1)
             elif confidence < 0.4:
                 state.run(-2, 1)
+
+
+def test_counts_are_observed_on_writes(spark):
+    from dossier.session import materialize_counted
+
+    rows = spark.range(100).withColumn("odd", F.when(F.col("id") % 2 == 1, 1))
+    table, seen = materialize_counted(rows, odd=F.count("odd"))
+    assert table.count() == 100 and seen == {"rows": 100, "odd": 50}
+    assert materialize_counted(rows.limit(0), odd=F.count("odd"))[1] == {"rows": 0, "odd": 0}
+    assert materialize_counted(spark.createDataFrame([], "x int"))[1] == {"rows": 0}
+
+
+def test_graph_errors_raise_only_without_nodes(spark, tmp_path, monkeypatch):
+    nodes = spark.createDataFrame([("a", "Skill", "A", "", 1.0, {}), ("b", "Skill", "B", "", 1.0, {})], "node_id string, node_type string, label string, source_file string, confidence double, properties map<string,string>")
+    edges = spark.createDataFrame([("e", "a", "b", "USES", 1.0, ""), ("f", "a", "zz", "USES", 1.0, "")], "edge_id string, from_id string, to_id string, relationship string, weight double, source_file string")
+    store = Store(spark, str(tmp_path / "s"))
+    assert ingest.write_graph(store, nodes, edges) == (2, 1, [])
+    assert ingest.write_graph(store, nodes.limit(0), edges.limit(0)) == (0, 0, [])  # nothing to write is no error
+    replace = Store.replace
+
+    def failing(name):
+        def run(self, table, rows):
+            if table == name:
+                raise OSError("disk full")
+            return replace(self, table, rows)
+
+        return run
+
+    monkeypatch.setattr(Store, "replace", failing("edges"))
+    assert ingest.write_graph(store, nodes, edges) == (2, 0, ["edges were not written: disk full"])
+    monkeypatch.setattr(Store, "replace", failing("nodes"))
+    with pytest.raises(RuntimeError, match="no node was written: disk full"):
+        ingest.write_graph(store, nodes, edges)
