@@ -32,22 +32,52 @@ class Template:
     key: str
 
 
-#: Opening sentences of common licences, in the licences' own words (fixed values).
-TEMPLATES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-             "associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
-             "provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("gpl-work", "this work is licensed under the gnu general public license", "licensed under the gnu general public license"),
-    Template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("mit-release", "released under the mit license", "released under the mit license"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-             "distribute this software for any purpose with or without fee"),
+#: Passages of common licences, in the licences' own words (fixed values): label, words, key phrase. A long licence has several
+#: windows, so that a word that is put in or left out costs it one of them.
+PASSAGES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+     "permission is hereby granted free of charge"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+     "copies of the software", "to deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+     "this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-release", "released under the mit license", "released under the mit license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+     "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation",
+     "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+     "may be used to endorse or promote products derived from this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+     "distribute this software for any purpose with or without fee"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary",
+     "anyone is free to copy modify publish use compile sell or distribute"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages",
+     "in no event will the authors be held liable for any damages"),
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+     "you may not use this file except in compliance with the license"),
+    ("gpl-work", "this work is licensed under the gnu general public license", "licensed under the gnu general public license"),
+    ("gpl-notice", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+     "under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
+    ("agpl", "gnu affero general public license version 3", "gnu affero general public license"),
+    ("gpl", "gnu gpl v3", "gnu gpl v3"), ("gpl", "gnu gpl v2", "gnu gpl v2"), ("gpl", "gnu gpl version", "gnu gpl version"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("cc-by", "creative commons attribution 4 0 international", "creative commons attribution 4 0"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international", "creative commons attribution sharealike"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international", "creative commons attribution noncommercial"),
+    ("cc-by-nc", "cc by nc 4 0", "cc by nc"), ("cc-by-sa", "cc by sa 4 0", "cc by sa"), ("cc-by-nd", "cc by nd 4 0", "cc by nd"),
+    ("cc0", "cc0 1 0 universal", "cc0 1 0"),
+)
+#: Short identifiers that may follow the words of an identifier line (fixed values), and their labels.
+IDENTIFIERS = {
+    "mit": "mit", "apache 2 0": "apache-2.0", "gpl 2 0": "gpl", "gpl 3 0": "gpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "mpl 2 0": "mpl-2.0",
+    "bsd 2 clause": "bsd", "bsd 3 clause": "bsd-3-clause", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib", "cc0 1 0": "cc0", "cc by 4 0": "cc-by",
+}
+TEMPLATES = tuple(Template(*p) for p in PASSAGES) + tuple(
+    Template(label, f"spdx license identifier {name}", f"spdx license identifier {name}") for name, label in IDENTIFIERS.items()
 )
 
 #: Rare words of a template that are indexed, and the share of them that must agree on a place.
