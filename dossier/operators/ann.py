@@ -3,6 +3,8 @@
 Lists are found with Spark ML, each vector is assigned to its nearest centre, and a search
 probes the lists nearest to each question. ``exact=True`` then also probes every list that
 could still hold a better vector, by the triangle inequality on angles; nothing is missed.
+A stored index keeps every list as a partition of its own, with centres and radii beside them, so a search reads
+the partitions of the probed lists alone; new vectors are appended to their lists.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from dossier.operators import similarity as N
+from dossier.session import materialize
 
 
 ROWS_PER_SALT = 1 << 20
@@ -33,11 +36,15 @@ class ListIndex:
     vectors: DataFrame
     chunk_id: str
     vec: str
+    path: str | None = None
 
     @cached_property
     def stats(self) -> dict[int, tuple[int, float]]:
         """Per list (one small row each): its vectors, and the widest angle from its centre to one."""
-        rows = self.vectors.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a")).collect()
+        if self.path:
+            rows = self.vectors.sparkSession.read.parquet(f"{self.path}/lists").groupBy("list_id").agg(F.sum("n").alias("n"), F.max("a").alias("a")).collect()
+        else:
+            rows = _list_stats(self.vectors).collect()
         return {r["list_id"]: (r["n"], r["a"]) for r in rows}
 
     def salts(self, list_id: Column) -> Column:
@@ -49,6 +56,10 @@ class ListIndex:
         return F.coalesce(table[list_id], F.lit(1))
 
 
+def _list_stats(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a"))
+
+
 def _angles(vectors: pd.Series, centres: np.ndarray) -> np.ndarray:
     left = N._unit(np.stack(vectors.to_numpy()).astype(np.float32))
     return np.arccos(np.clip(left @ centres.T, -1.0, 1.0))
@@ -71,11 +82,51 @@ def build_index(chunks: DataFrame, lists: int = 100, chunk_id: str = "chunk_id",
     training = rows.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     model = KMeans(k=lists, maxIter=iterations, seed=seed, distanceMeasure="cosine").fit(training)
     centres = N._unit(np.array(model.clusterCenters()))
-    assigned = rows.withColumn("a", nearest_list(F.col(vec), centres)).select(
+    # Neighbouring rows of one list pack into full tiles.
+    return ListIndex(centres, _assigned(rows, centres, vec).sortWithinPartitions("list_id"), chunk_id, vec)
+
+
+def _assigned(rows: DataFrame, centres: np.ndarray, vec: str) -> DataFrame:
+    return rows.withColumn("a", nearest_list(F.col(vec), centres)).select(
         *rows.columns, F.col("a.list_id").alias("list_id"), F.col("a.angle").alias("angle")
     )
-    # Neighbouring rows of one list pack into full tiles.
-    return ListIndex(centres, assigned.sortWithinPartitions("list_id"), chunk_id, vec)
+
+
+def _append(vectors: DataFrame, path: str) -> None:
+    """Vectors to their lists' partitions, and what they add to the lists' sizes and radii; nothing stored is rewritten."""
+    vectors = materialize(vectors)
+    # Rebalancing gives a large list several files and small ones one each.
+    vectors.hint("rebalance", F.col("list_id")).write.mode("append").partitionBy("list_id").parquet(f"{path}/vectors")
+    _list_stats(vectors).coalesce(1).write.mode("append").parquet(f"{path}/lists")
+
+
+def save_index(index: ListIndex, path: str) -> ListIndex:
+    """Store an index in a new folder and return the stored one."""
+    spark = index.vectors.sparkSession
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centres)]
+    head = spark.createDataFrame(rows, "list_id int, centre array<double>").withColumn("names", F.array(F.lit(index.chunk_id), F.lit(index.vec)))
+    head.coalesce(1).write.parquet(f"{path}/centres")
+    _append(index.vectors, path)
+    return load_index(spark, path)
+
+
+def load_index(spark: SparkSession, path: str) -> ListIndex:
+    rows = spark.read.parquet(f"{path}/centres").orderBy("list_id").collect()
+    chunk_id, vec = rows[0]["names"]
+    vectors = spark.read.option("basePath", f"{path}/vectors").parquet(f"{path}/vectors")
+    return ListIndex(np.array([r["centre"] for r in rows]), vectors.withColumn("list_id", F.col("list_id").cast("int")), chunk_id, vec, path)
+
+
+def add_vectors(spark: SparkSession, path: str, chunks: DataFrame) -> ListIndex:
+    """Append new vectors to a stored index; its centres stay, so exact searches stay exact."""
+    index = load_index(spark, path)
+    _append(_assigned(chunks.where(F.col(index.vec).isNotNull()), index.centres, index.vec), path)
+    return load_index(spark, path)
+
+
+def listed(index: ListIndex, lists: list[int]) -> DataFrame:
+    """The vectors of some lists; of a stored index only those partitions are read."""
+    return index.vectors.where(F.col("list_id").isin(lists)) if lists else index.vectors.limit(0)
 
 
 def _probe(questions: DataFrame, centres: np.ndarray, qid: str, qvec: str, choose: Callable,
@@ -104,7 +155,11 @@ def _score_lists(probes: DataFrame, index: ListIndex, k: int, qid: str, qvec: st
     questions of a list are cut into tiles of bounded size by the list's own question count.
     """
     salts = index.salts(F.col("list_id"))
-    tiles = N.pack_tiles(index.vectors, index.chunk_id, index.vec, keep=["list_id"]).withColumn(
+    vectors = index.vectors
+    if index.path:
+        probes = materialize(probes)
+        vectors = listed(index, [r["list_id"] for r in probes.select("list_id").distinct().collect()])  # one number a list at most
+    tiles = N.pack_tiles(vectors, index.chunk_id, index.vec, keep=["list_id"]).withColumn(
         "salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")
     )
     asked = probes.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / N.QUESTIONS_PER_TILE).alias("parts"))

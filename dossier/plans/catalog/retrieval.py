@@ -6,6 +6,8 @@ the questions, each with the vector of its number.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossier import constants as K
@@ -15,6 +17,7 @@ from dossier.operators import ann, cache
 from dossier.operators import retrieval as R
 from dossier.operators import similarity as S
 from dossier.plans.catalog.base import NAMES, case_list, documents, plain, portable, query, sql_weight, table
+from dossier.session import checkpoint_dir
 
 CHUNKS = f"""
 SELECT doc_id AS chunk_id, embedding, text AS content, {case_list('doc_id', NAMES)} AS source_file,
@@ -302,6 +305,16 @@ def list_index_exact(spark, sf_dir):
     return hits(ann.search(portable(spark, sf_dir, EACH_VECTOR), index, TOP_K, nprobe=2, exact=True))
 
 
+@query("o79_stored_index", ALL_TOP)
+def stored_index(spark, sf_dir):
+    """An index over the even vectors is stored, the odd ones are appended, and both are searched."""
+    rows, path = vector_chunks(spark, sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/indexes/{uuid.uuid4().hex}"
+    even = F.pmod("chunk_id", F.lit(2)) == 0
+    ann.save_index(ann.build_index(rows.where(even), lists=16, iterations=3), path)
+    index = ann.add_vectors(spark, path, rows.where(~even))
+    return hits(ann.search(portable(spark, sf_dir, EACH_VECTOR), index, TOP_K, nprobe=2, exact=True))
+
+
 @query("o80_retrieval_report", f"""
 WITH {BASE_CTE}, {cand('cand', 'q', 'ch', TOP_K)},
 w AS (SELECT *, 's3://store/' || source_file AS source_uri, {sql_weight('source_file', K.REPORT_SOURCE_WEIGHTS)} AS source_weight FROM cand)

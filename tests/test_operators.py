@@ -145,6 +145,33 @@ def test_strategies(spark):
             assert all(x.effective_score >= r.effective_score for x in better)
 
 
+def test_stored_index_reads_probed_lists_only(spark, tmp_path, monkeypatch):
+    data = vectors(400, seed=21)
+    rows = frame(spark, data, "chunk_id", "embedding")
+    path = str(tmp_path / "index")
+    index = ann.save_index(ann.build_index(rows.where("chunk_id < 300"), lists=8, iterations=3), path)
+    before = {i: n for i, (n, _) in index.stats.items()}
+    index = ann.add_vectors(spark, path, rows.where("chunk_id >= 300"))
+    assert sum(n for n, _ in index.stats.values()) == 400 and sum(before.values()) == 300
+    asked = frame(spark, data[:40], "qid", "question_embedding")
+    exact = ann.search(asked, index, 5, nprobe=1)
+    want = S.top_k(asked, rows, 5)
+    key = lambda df: sorted((r.qid, r.chunk_id, r.rank) for r in df.collect())
+    assert key(exact) == key(want)
+    # Two of the eight lists are read, as folders.
+    some = ann.listed(index, [1, 5])
+    read = some.select(F.input_file_name().alias("f")).distinct().collect()
+    assert {r.f.split("list_id=")[1].split("/")[0] for r in read} == {"1", "5"}
+    pruned = some._jdf.queryExecution().executedPlan().toString()
+    assert "list_id" in pruned.split("PartitionFilters: [")[1].split("]")[0] and "IN (1,5)" in pruned.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    asked_for = []
+    monkeypatch.setattr(ann, "listed", lambda index, lists, run=ann.listed: asked_for.append(lists) or run(index, lists))
+    assert ann.search(asked.where("qid = 3"), index, 5, nprobe=2, exact=False).count() > 0
+    assert [len(x) for x in asked_for] == [2]
+    monkeypatch.undo()
+    assert ann.listed(index, []).count() == 0
+
+
 # -- Cache ------------------------------------------------------------------
 
 def in_order(unit, threshold):
