@@ -62,7 +62,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _cached_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, SLICE_BYTES + 1)
         _POWERS.update(up=powers(PRIME, size), down=powers(PRIME_INVERSE, size))
     return _POWERS["up"], _POWERS["down"]
 

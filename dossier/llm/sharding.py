@@ -28,7 +28,7 @@ def _propagate(linked: DataFrame, capacity: int, shards: int, rounds: int) -> Da
     for turn in range(rounds):
         held = state.groupBy("group", "shard").count()
         best = held.groupBy("group").agg(F.max(F.struct("count", (-F.col("shard")).alias("low"))).alias("b")).select("group", (-F.col("b.low")).alias("want"))
-        asked = materialize(state.join(best, "group"))
+        asked = materialize(state.join(materialize(best), "group"))
         loads = {r["shard"]: r["count"] for r in asked.groupBy("shard").count().collect()}
         wants = {r["want"]: r["count"] for r in asked.where("shard <> want").groupBy("want").count().collect()}
         if not wants:
@@ -59,7 +59,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     ).withColumn("shard", F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int")))
     n = rows.count()
     capacity = max(1, n // shards)
-    sizes = rows.where("text_key is not null").groupBy("text_key").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # Written first, so that the join has a shuffle of its own on either side and Spark can split a group of very many copies.
+    sizes = materialize(rows.where("text_key is not null").groupBy("text_key").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
     part = F.pmod(F.xxhash64("row"), F.ceil(F.col("group_size") / F.lit(float(capacity))).cast("long"))
     linked = materialize(rows.join(sizes, "text_key").select("row", F.xxhash64("text_key", part).alias("group"), "shard", "group_size"))
     moved = _propagate(linked.drop("group_size"), capacity, shards, rounds)
