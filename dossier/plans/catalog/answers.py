@@ -17,6 +17,7 @@ from dossier.plans import answer as P
 from dossier.plans import ingest
 from dossier.plans.catalog.base import CORPUS_CTE, case_list, corpus, documents, plain, portable, query, sql_strip, table
 from dossier.plans.catalog.graph import stored_graph
+from dossier.plans.catalog.routing import PRIOR_ROWS, PRIORITY, SQL_CLASS
 from dossier.plans.catalog.retrieval import BASE_CTE, PRIMARY, TOP_K, chunks, questions
 from dossier.plans.catalog.text import AWS_RX, PAT_RX, TECH_RX, sql_found
 from dossier.session import checkpoint_dir, materialize
@@ -132,7 +133,16 @@ def extractive_answer(spark, sf_dir):
     return rows.select("qid", "answer", "confidence")
 
 
-@query("o112_answer_batch")
+SEEDED = f"""best AS (SELECT question_type, strategy FROM (VALUES {PRIOR_ROWS}) v(strategy, question_type, weight)
+  QUALIFY row_number() OVER (PARTITION BY question_type ORDER BY weight DESC, {PRIORITY}) = 1)"""
+
+
+# The evidence itself has no SQL; what every response must say has.
+@query("o112_answer_batch", f"""
+WITH q AS (SELECT item_id AS qid, text AS question FROM benchmark), k AS (SELECT qid, {SQL_CLASS} AS question_type FROM q), {SEEDED}
+SELECT qid, question_type, strategy, strategy IN ('graph_first', 'hybrid') AS graph_forced, 'none' AS model_id, FALSE AS cache_hit,
+  TRUE AS has_evidence, TRUE AS is_json FROM k JOIN best USING (question_type)
+""")
 def answer_batch(spark, sf_dir):
     """Questions to full responses over the chunked and embedded documents and the order graph."""
     embedder = V.HashingEmbedder(256)
@@ -145,7 +155,12 @@ def answer_batch(spark, sf_dir):
     nodes, edges = stored_graph(spark, sf_dir)
     weights = W.seed(spark.createDataFrame([], W.WEIGHTS_TYPE))
     answers = P.answer_batch(asked, rows, nodes, edges, weights, embedder, min_confidence=0.0)
-    return answers.select("qid", "question_type", "retrieval_count", "model_id", P.response_json().alias("response"))
+    body = F.try_parse_json(P.response_json())
+    return answers.select(
+        "qid", "question_type", "routing_decision.strategy", F.col("routing_decision.graphExpansionForced").alias("graph_forced"), "model_id", "cache_hit",
+        F.col("retrieval_count").between(1, K.DEFAULT_TOP_K).alias("has_evidence"),
+        (F.try_variant_get(body, "$.answer", "string") == F.col("answer")).alias("is_json"),
+    )
 
 
 CALLS = f"""
