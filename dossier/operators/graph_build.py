@@ -7,9 +7,12 @@ node seen in a third of all rows costs no more than a rare one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions import documents as D
 from dossier.functions import text as T
 
 NODE_COLUMNS = ["node_id", "node_type", "label", "source_file", "confidence"]
@@ -118,33 +121,34 @@ def document_nodes(docs: DataFrame) -> DataFrame:
     )
 
 
-def owner_nodes(docs: DataFrame) -> DataFrame:
+def owner_nodes(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Person and repository nodes; they exist before any file is read and are not counted again."""
     person = docs.select(
+        *by,
         F.col("person_id").alias("node_id"), F.lit("Person").alias("node_type"), F.col("person").alias("label"),
         _props(name=F.col("person")).alias("properties"),
     )
     repo = docs.select(
-        F.col("repo_id").alias("node_id"), F.lit("Repository").alias("node_type"), F.col("repo_id").alias("label"),
+        *by, F.col("repo_id").alias("node_id"), F.lit("Repository").alias("node_type"), F.col("repo_id").alias("label"),
         _props(repo_id=F.col("repo_id")).alias("properties"),
     )
     both = person.unionByName(repo)
-    return both.groupBy("node_id").agg(
+    return both.groupBy("node_id", *by).agg(
         F.first("node_type").alias("node_type"), F.first("label").alias("label"),
         F.lit("").alias("source_file"), F.lit(1.0).alias("confidence"), F.first("properties").alias("properties"),
     )
 
 
-def owner_edges(docs: DataFrame) -> DataFrame:
+def owner_edges(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     none = F.lit("").alias("source_file")
     one = F.lit(1).cast("long").alias("times")
     start = F.struct(F.lit("").alias("source_key"), F.lit(0).alias("step"), F.lit(0).alias("pos")).alias("seq")
-    built = docs.select("person_id", "repo_id").distinct().select(
-        F.col("person_id").alias("from_id"), F.lit("BUILT").alias("relationship"), F.col("repo_id").alias("to_id"),
+    built = docs.select("person_id", "repo_id", *by).distinct().select(
+        *by, F.col("person_id").alias("from_id"), F.lit("BUILT").alias("relationship"), F.col("repo_id").alias("to_id"),
         none, F.lit(1.0).alias("weight"), one, start,
     )
     contains = docs.select(
-        F.col("repo_id").alias("from_id"), F.lit("CONTAINS").alias("relationship"),
+        *by, F.col("repo_id").alias("from_id"), F.lit("CONTAINS").alias("relationship"),
         T.stable_id("document", F.col("source_file")).alias("to_id"), "source_file",
         F.col("weight").cast("double").alias("weight"), one, _seq(0, F.lit(0)).alias("seq"),
     )
@@ -190,19 +194,19 @@ def routing_edges(docs: DataFrame) -> DataFrame:
     )
 
 
-def _folded(rows: DataFrame, last: list[str]) -> DataFrame:
+def _folded(rows: DataFrame, last: list[str], by: Sequence[str] = ()) -> DataFrame:
     """First type, label and source; confidence grows by 0.05 per further sighting; ``last`` columns as last seen."""
-    folded = rows.groupBy("node_id").agg(
+    folded = rows.groupBy("node_id", *by).agg(
         F.min_by(F.struct("node_type", "label", "source_file", "confidence"), F.col("seq")).alias("f"),
         F.max_by(F.struct(*last), F.col("seq")).alias("l"), F.count(F.lit(1)).alias("n"),
     )
     return folded.select(
-        "node_id", "f.node_type", F.col("f.label").alias("label"), "f.source_file",
+        *by, "node_id", "f.node_type", F.col("f.label").alias("label"), "f.source_file",
         F.least(F.lit(1.0), F.col("f.confidence") + 0.05 * (F.col("n") - 1)).alias("confidence"), F.col("l").alias("last"),
     )
 
 
-def fold_signal_nodes(rows: DataFrame) -> DataFrame:
+def fold_signal_nodes(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per signal node; the property map is built once per node, not per sighting."""
     kind, value, freq = F.col("node_type"), F.col("last.label"), F.col("last.frequency")
     props = (
@@ -211,32 +215,32 @@ def fold_signal_nodes(rows: DataFrame) -> DataFrame:
         .when(kind == "AWSService", _props(service_name=value, frequency=freq))
         .otherwise(_props(pattern_name=value, frequency=freq))
     )
-    return _folded(rows, ["label", "frequency"]).select(*NODE_COLUMNS, props.alias("properties"))
+    return _folded(rows, ["label", "frequency"], by).select(*by, *NODE_COLUMNS, props.alias("properties"))
 
 
-def fold_nodes(rows: DataFrame) -> DataFrame:
+def fold_nodes(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per node whose sightings carry whole property maps (documents, types, strategies).
 
     The last map wins; a text hash stays when the last sighting has none.
     """
     seen_hash = F.col("properties")["text_hash"]
     hashes = F.max_by(seen_hash, F.when(seen_hash.isNotNull(), F.col("seq")))
-    kept = rows.groupBy("node_id").agg(hashes.alias("hash")).where(F.col("hash").isNotNull())
-    folded = _folded(rows, ["properties"]).join(kept, "node_id", "left")
+    kept = rows.groupBy("node_id", *by).agg(hashes.alias("hash")).where(F.col("hash").isNotNull())
+    folded = _folded(rows, ["properties"], by).join(kept, ["node_id", *by], "left")
     last = F.map_filter("last.properties", lambda k, v: k != "text_hash")
     props = F.when(F.col("hash").isNull(), last).otherwise(
         F.map_concat(last, F.create_map(F.lit("text_hash"), F.col("hash")))
     )
-    return folded.select(*NODE_COLUMNS, props.alias("properties"))
+    return folded.select(*by, *NODE_COLUMNS, props.alias("properties"))
 
 
-def fold_edges(sightings: DataFrame) -> DataFrame:
+def fold_edges(sightings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """First weight and source; weight grows by 0.1 per further sighting."""
-    folded = sightings.groupBy("from_id", "relationship", "to_id").agg(
+    folded = sightings.groupBy("from_id", "relationship", "to_id", *by).agg(
         F.min_by(F.struct("weight", "source_file"), F.col("seq")).alias("f"), F.sum("times").alias("n")
     )
     return folded.select(
-        T.edge_id(F.col("from_id"), F.col("relationship"), F.col("to_id")).alias("edge_id"),
+        *by, T.edge_id(F.col("from_id"), F.col("relationship"), F.col("to_id")).alias("edge_id"),
         "from_id", "to_id", "relationship",
         F.least(F.lit(1.0), F.col("f.weight") + 0.1 * (F.col("n") - 1)).alias("weight"), "f.source_file",
     )
@@ -261,13 +265,30 @@ def build_graph(docs: DataFrame, signals: DataFrame | None = None, routing: bool
     return nodes, fold_edges(edge_rows)
 
 
+def repository_graphs(docs: DataFrame, signals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of every repository's own graph, by ``repo_prefix``: sightings in other repositories do not count."""
+    by = ["repo_prefix"]
+    docs = docs.withColumn("repo_prefix", D.repo_prefix(F.col("source_key")))
+    facts = signal_facts(signal_table(docs) if signals is None else signals)
+
+    def own(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("repo_prefix", D.repo_prefix(F.col("seq.source_key")))
+
+    nodes = (
+        owner_nodes(docs, by).unionByName(fold_nodes(own(document_nodes(docs)), by))
+        .unionByName(fold_signal_nodes(own(signal_nodes(facts)), by)).unionByName(fold_nodes(own(routing_nodes(docs)), by))
+    )
+    seen = own(signal_edges(facts).unionByName(strengthens_edges(facts)).unionByName(routing_edges(docs)))
+    return nodes, fold_edges(owner_edges(docs, by).unionByName(seen), by)
+
+
 # -- Aggregated signals -----------------------------------------------------
 
-def aggregate_signals(signals: DataFrame) -> DataFrame:
+def aggregate_signals(signals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per (type, value): summed frequency, best weight, first source; strongest first."""
     seq = F.struct("source_key", "pos")
     return (
-        signals.groupBy("signal_type", "value")
+        signals.groupBy(*by, "signal_type", "value")
         .agg(
             F.sum("frequency").alias("frequency"), F.max("weight").alias("weight"),
             F.min_by("source_file", seq).alias("source_file"), F.min(seq).alias("first_seen"),

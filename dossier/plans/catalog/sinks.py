@@ -90,15 +90,35 @@ def extracted_text(spark, sf_dir):
 
 
 @query("o14_repository_artifacts", f"""
-WITH {FACTS_CTE} SELECT repo, count(DISTINCT (signal_type, value)) AS signals FROM sig GROUP BY 1
+WITH {FACTS_CTE}, {EDGE_ROWS}, {NODE_ROWS},
+e AS (SELECT split_part(source_key, '/', 2) AS repo, from_id || relationship || to_id AS id FROM (SELECT * FROM fan UNION ALL SELECT * FROM strong UNION ALL SELECT * FROM routed)
+  UNION ALL SELECT repo, 'document' || source_file FROM docs UNION ALL SELECT DISTINCT repo, 'built' FROM docs),
+n AS (SELECT split_part(source_key, '/', 2) AS repo, node_id AS id FROM (SELECT source_key, node_id FROM nrows UNION ALL SELECT source_key, node_id FROM rrows)
+  UNION ALL SELECT DISTINCT repo, unnest(['person', 'repository']) FROM docs),
+files AS (SELECT repo, count(*) AS files_processed FROM docs GROUP BY 1), edge AS (SELECT repo, count(DISTINCT id) AS graph_edge_count FROM e GROUP BY 1),
+node AS (SELECT repo, count(DISTINCT id) AS graph_node_count FROM n GROUP BY 1),
+best AS (SELECT repo, signal_type || ':' || value AS strongest, CAST(sum(frequency) AS BIGINT) AS frequency, count(*) OVER (PARTITION BY repo) AS signal_count
+  FROM sig GROUP BY repo, signal_type, value QUALIFY row_number() OVER (PARTITION BY repo ORDER BY sum(frequency) DESC, signal_type, value) = 1)
+SELECT repo, files_processed, graph_node_count, graph_edge_count, signal_count, strongest, frequency
+FROM files JOIN edge USING (repo) JOIN node USING (repo) JOIN best USING (repo)
 """)
 def repository_artifacts(spark, sf_dir):
+    """All four artifacts of every repository are written, read back and counted; the manifest must give the same counts."""
     target = scratch(spark)
-    rows = order_signals(spark, sf_dir)
-    totals = rows.groupBy("repo", "signal_type", "value").agg(F.sum("frequency").alias("frequency"), F.max("weight").alias("weight"))
-    target.write_json(totals, "expertise_signals", ["repo"])
-    back = spark.read.schema("repo string, signal_type string, value string").json(f"{target.root}/expertise_signals")
-    return back.groupBy("repo").agg(F.count(F.lit(1)).alias("signals"))
+    docs, signals = order_docs(spark, sf_dir), order_signals(spark, sf_dir)
+    ingest.write_repository_artifacts(target, docs, signals, "derived")
+    read = lambda kind, name: spark.read.schema(f"{kind}, repo_prefix string").json(f"{target.root}/derived/{name}")
+    count = lambda rows, name: rows.groupBy("repo_prefix").agg(F.count(F.lit(1)).alias(name))
+    totals = read("signal_type string, value string, frequency long", "expertise_signals")
+    order = F.struct(-F.col("frequency"), "signal_type", "value")
+    best = totals.groupBy("repo_prefix").agg(F.count(F.lit(1)).alias("signals"), F.min(order).alias("b"))
+    found = count(read("node_id string", "graph_entities"), "nodes").join(count(read("edge_id string", "graph_edges"), "edges"), "repo_prefix").join(best, "repo_prefix")
+    counts = "files_processed long, graph_node_count long, graph_edge_count long, signal_count long"
+    same = (F.col("nodes") == F.col("graph_node_count")) & (F.col("edges") == F.col("graph_edge_count")) & (F.col("signals") == F.col("signal_count"))
+    return read(counts, "repository_manifests").join(found, "repo_prefix").where(same).select(
+        F.element_at(F.split("repo_prefix", "/"), 2).alias("repo"), "files_processed", "graph_node_count", "graph_edge_count", "signal_count",
+        F.concat_ws(":", "b.signal_type", "b.value").alias("strongest"), (-F.col("b.col1")).alias("frequency"),
+    )
 
 
 @query("o18_write_counts", f"""

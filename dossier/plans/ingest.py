@@ -14,7 +14,7 @@ from dossier.functions import vectors as V
 from dossier.operators import chunking as C
 from dossier.operators import extraction as X
 from dossier.operators import graph_build as B
-from dossier.session import materialize_counted
+from dossier.session import materialize, materialize_counted
 from dossier.sources import files
 from dossier.sources.store import Store, derived_artifact, extracted_text
 
@@ -118,6 +118,23 @@ def summarise(repo_prefix: str, found: dict[str, int], counts: dict[str, int], w
     )
 
 
+def write_repository_artifacts(store: Store, docs: DataFrame, signals: DataFrame, base: str, part: str = "") -> None:
+    """For every repository of the run its own entities, edges, signals (strongest first) and counts, as partitions by ``repo_prefix``."""
+    by = ["repo_prefix"]
+    nodes, edges = B.repository_graphs(docs, signals)
+    nodes, edges = materialize(nodes), materialize(edges)
+    signals = signals.withColumn("repo_prefix", D.repo_prefix(F.col("source_key")))
+    totals = materialize(B.aggregate_signals(signals, by))
+    files_ = docs.select(D.repo_prefix(F.col("source_key")).alias("repo_prefix"))
+    count = lambda rows, name: rows.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    manifest = count(files_, "files_processed")
+    for rows, name in ((nodes, "graph_node_count"), (edges, "graph_edge_count"), (totals, "signal_count")):
+        manifest = manifest.join(count(rows, name), by, "left")
+    ordered = totals.sortWithinPartitions("repo_prefix", F.desc("strength"), "first_seen").drop("first_seen")
+    for rows, name in ((nodes, "graph_entities"), (edges, "graph_edges"), (ordered, "expertise_signals"), (manifest.na.fill(0), "repository_manifests")):
+        store.write_json(rows, f"{base}/{name}{part}", by)
+
+
 def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str = "Developer",
         embedder: V.Embedder | None = None, path_identity: bool = False, bucket: str = "",
         batch: int | None = None) -> IngestReport:
@@ -153,9 +170,7 @@ def run(store: Store, texts: DataFrame, repo_prefix: str = "raw/", person: str =
     part = "" if batch is None else f"/batch={batch}"
     store.write_json(derived_artifact(docs, bucket), f"{base}/artifacts{part}", ["repo_prefix"])
     store.write_json(extracted_text(docs), f"{base}/extracted_text{part}")
-    store.write_json(nodes, f"{base}/graph_entities{part}")
-    store.write_json(edges, f"{base}/graph_edges{part}")
-    store.write_json(signals.orderBy(F.desc("strength"), "first_seen").drop("first_seen"), f"{base}/expertise_signals{part}")
+    write_repository_artifacts(store, docs, B.signal_table(docs), base, part)
     failed = texts.where(F.col("error").isNotNull()).select("source_key", "error")
     store.write_json(failed, f"{base}/errors{part}")
     routing = {r["routing_key"]: r["files"] for r in D.routing_summary(docs).collect()}
