@@ -8,6 +8,7 @@ verified: the mandatory key phrase must stand there word for word. Only column e
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -125,41 +126,37 @@ def _literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def _shifted(hits: Column, word: str, place: int) -> Column:
-    """Where a sequence would start that holds this word at this place."""
-    return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["i"] - F.lit(place))
+def _constant(value: object, kind: str) -> Column:
+    """A constant of a nested type; it is read once, when the plan is made."""
+    return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]
 
 
-def _labelled(starts: Column, label: str) -> Column:
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(label).alias("label")))
-
-
-def _verified(starts: Column, words: Column, phrase: list[str], offset: int = 0) -> Column:
-    """The starts at whose offset the phrase stands word for word."""
-    return F.filter(starts, lambda s: _stands_at(words, s + F.lit(offset), phrase))
-
-
-def _agreement(starts: Column, words: Column, seq: list[str]) -> Column:
-    """The largest share of a template's words that stand at their places."""
-    share = lambda s: F.size(F.filter(
-        F.transform(_literal(seq), lambda w, i: (s + i >= 0) & F.coalesce(F.get(words, s + i) == w, F.lit(False))), lambda x: x,
-    )) / F.lit(float(len(seq)))
-    return F.coalesce(F.array_max(F.transform(starts, share)), F.lit(0.0))
-
-
-def _starts_of(hits: Column, words: list[str], places: list[int], agree: int) -> Column:
-    """Starts on which at least `agree` of the indexed words agree, sorted, each once."""
-    by_place = [_shifted(hits, words[i], i) for i in places]
-    if len(by_place) == 1:
-        return by_place[0]
-    starts = F.array_distinct(F.flatten(F.array(*by_place)))
-    lists = [F.array_distinct(x) for x in by_place]
-    votes = lambda s: sum((F.array_contains(x, s).cast("int") for x in lists), F.lit(0))
-    return F.filter(starts, lambda s: votes(s) >= agree)
-
-
-def _stands_at(words: Column, start: Column, phrase: list[str]) -> Column:
-    return (start >= 0) & (F.slice(words, F.greatest(start, F.lit(0)) + 1, F.lit(len(phrase))) == _literal(phrase))
+@dataclass(frozen=True)
+class Index:
+    """Entries by number (phrases first, then templates) and, by rare word, the entries and places where it stands in them."""
+
+    labels: list[str]
+    words: list[list[str]]
+    keys: list[list[str]]
+    offsets: list[int]
+    needed: list[int]
+    postings: dict[str, list[dict[str, int]]]
+    phrases: int
+
+
+def build_index(templates: tuple[Template, ...], phrases: dict[str, str], counts: dict[str, int]) -> Index:
+    """Of a phrase its rarest word is indexed, of a template its RARE_WORDS rarest, MIN_AGREEMENT of which must agree on a place."""
+    entries = [(label, split_words(p), split_words(p), 1) for label, p in phrases.items()]
+    entries += [(t.label, split_words(t.text), split_words(t.key), RARE_WORDS) for t in templates]
+    out = Index([], [], [], [], [], {}, len(phrases))
+    for number, (label, words, key, rare) in enumerate(entries):
+        places = rarest(words, counts, rare)
+        out.labels.append(label), out.words.append(words), out.keys.append(key)
+        out.offsets.append(next(i for i in range(len(words)) if words[i:i + len(key)] == key))
+        out.needed.append(max(1, -int(-MIN_AGREEMENT * len(places) // 1)))
+        for i in places:
+            out.postings.setdefault(words[i], []).append({"t": number, "p": i})
+    return out
 
 
 def scan(
@@ -170,40 +167,42 @@ def scan(
 
     `base` holds every place where a phrase's words stand consecutively; `found` the places of templates.
     A null text counts as empty and gives no words and no places. Repeated rows give repeated rows,
-    an empty table an empty result, and extra columns are ignored.
+    an empty table an empty result, and extra columns are ignored. Ties among equally rare words go to the earlier place.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    vocab = vocabulary(templates, phrases)
-    _, counts = document_frequency(rows, vocab)
-    index = [(split_words(p), rarest(split_words(p), counts, 1)) for p in phrases.values()]
-    index += [(split_words(t.text), rarest(split_words(t.text), counts, RARE_WORDS)) for t in templates]
-    indexed = sorted({seq[i] for seq, places in index for i in places})
+    _, counts = document_frequency(rows, vocabulary(templates, phrases))
+    index = build_index(templates, phrases, counts)
     hit = F.filter(
-        F.transform("words", lambda w, i: F.when(w.isin(indexed), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull(),
+        F.transform("words", lambda w, i: F.when(w.isin(sorted(index.postings)), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull(),
     )
-    hits, words = F.col("hits"), F.col("words")
-    base = []
-    for label, phrase in phrases.items():
-        seq = split_words(phrase)
-        starts = _starts_of(hits, seq, rarest(seq, counts, 1), 1)
-        base.append(_labelled(_verified(starts, words, seq), label))
-    found, shares = [], []
-    for t in templates:
-        seq, key = split_words(t.text), split_words(t.key)
-        places = rarest(seq, counts, RARE_WORDS)
-        offset = next(i for i in range(len(seq)) if seq[i:i + len(key)] == key)
-        starts = _starts_of(hits, seq, places, max(1, -int(-MIN_AGREEMENT * len(places) // 1)))
-        # A template's opening words may stand before the text begins; only its key phrase must be there.
-        there = _verified(starts, words, key, offset)
-        found.append(_labelled(there, t.label))
-        shares.append(_agreement(there, words, seq))
-    none = F.array().cast("array<struct<start:int,label:string>>")
-    some = F.size(hits) > 0
-    return rows.withColumn("hits", hit).select(
+    postings = _constant(index.postings, "map<string,array<struct<t:int,p:int>>>")
+    needed, offsets = _constant(index.needed, "array<int>"), _constant(index.offsets, "array<int>")
+    keys, seqs, labels = _constant(index.keys, "array<array<string>>"), _constant(index.words, "array<array<string>>"), _constant(index.labels, "array<string>")
+    words = F.col("words")
+    # A word at a place votes for the entries it stands in, each at the place where the entry would start.
+    votes = F.array_sort(F.flatten(F.transform("hits", lambda h: F.transform(postings[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("s"))))))
+    rows = rows.withColumn("hits", hit).withColumn("votes", F.when(F.size("hits") > 0, votes).otherwise(F.array().cast("array<struct<t:int,s:int>>")))
+    # Equal votes are neighbours, so enough of them begin where the vote some places on is the same.
+    agreed = F.array_distinct(F.filter(F.transform("votes", lambda v, i: F.when(F.get("votes", i + F.get(needed, v["t"]) - 1) == v, v)), lambda v: v.isNotNull()))
+
+    def stands(v: Column) -> Column:
+        start, key = v["s"] + F.get(offsets, v["t"]), F.get(keys, v["t"])
+        return (start >= 0) & (F.slice(words, F.greatest(start, F.lit(0)) + 1, F.size(key)) == key)
+
+    def share(v: Column) -> Column:
+        seq = F.get(seqs, v["t"])
+        there = F.transform(seq, lambda w, i: (v["s"] + i >= 0) & F.coalesce(F.get(words, v["s"] + i) == w, F.lit(False)))
+        return F.size(F.filter(there, lambda x: x)) / F.size(seq).cast("double")
+
+    # A template's opening words may stand before the text begins; only its key phrase must be there.
+    rows = rows.withColumn("sure", F.when(F.size("votes") > 0, F.filter(agreed, stands)).otherwise(F.col("votes")))
+    place = lambda v: F.struct(v["s"].alias("start"), F.get(labels, v["t"]).alias("label"))
+    phrase = lambda v: v["t"] < index.phrases
+    found = F.filter("sure", lambda v: ~phrase(v))
+    return rows.select(
         "doc_id", F.size("words").cast("long").alias("n_words"),
-        F.when(some, F.array_sort(F.concat(*base))).otherwise(none).alias("base"),
-        F.when(some, F.array_sort(F.concat(*found))).otherwise(none).alias("found"),
-        F.when(some, F.greatest(*shares)).otherwise(F.lit(0.0)).alias("best"),
+        F.array_sort(F.transform(F.filter("sure", phrase), place)).alias("base"), F.array_sort(F.transform(found, place)).alias("found"),
+        F.coalesce(F.array_max(F.transform(found, share)), F.lit(0.0)).alias("best"),
     )
 
 
