@@ -97,13 +97,20 @@ def ingest_weight(name: Column) -> Column:
 # -- Statistics and classification ------------------------------------------
 
 def text_stats(text: Column) -> Column:
-    """Struct of eight metrics; empty or null text gives zeros."""
+    """Struct of eight metrics; empty or null text gives zeros.
+
+    A pattern runs only on texts that hold a character it cannot match without.
+    """
     body = F.coalesce(text, F.lit(""))
+
+    def holds(mark: str) -> Column:
+        return F.contains(body, F.lit(mark))
+
     lines = F.split(body, T.LINE_BREAK)
     full = F.filter(lines, lambda x: T.strip(x) != "")
-    blocks = T.find_all(body, FENCE)
+    blocks = F.when(holds("```"), T.find_all(body, FENCE)).otherwise(F.array().cast("array<string>"))
     block_chars = F.length(F.array_join(blocks, ""))
-    prose = F.regexp_replace(F.regexp_replace(body, FENCE, " "), "`[^`]+`", " ")
+    prose = F.when(holds("`"), F.regexp_replace(F.regexp_replace(body, FENCE, " "), "`[^`]+`", " ")).otherwise(body)
     sentences = F.size(F.filter(F.split(prose, "[.!?]+"), lambda x: T.strip(x) != ""))
     prose_words = T.word_count(F.regexp_replace(prose, "[.!?]+", " "))
 
@@ -111,14 +118,14 @@ def text_stats(text: Column) -> Column:
         return F.length(F.array_join(ls, "")) / F.greatest(F.size(ls), F.lit(1))
 
     return F.struct(
-        F.size(F.filter(lines, lambda x: x.rlike("(?U)^#{1,6}" + T.SPACE))).alias("heading_count"),
+        F.when(holds("#"), F.size(F.filter(lines, lambda x: x.rlike("(?U)^#{1,6}" + T.SPACE)))).otherwise(0).alias("heading_count"),
         F.size(blocks).alias("code_block_count"),
         F.bround(block_chars / F.greatest(F.length(body), F.lit(1)), 3).alias("code_char_ratio"),
         F.bround(prose_words / F.greatest(sentences, F.lit(1)), 1).alias("avg_sentence_len"),
         F.bround(T.let(full, lines_part), 1).alias("avg_line_len"),
         T.word_count(body).alias("word_count"),
-        body.rlike(r"(?dmU)^\s*\w[\w_-]+:\s+\S").alias("has_yaml_keys"),
-        body.rlike(r"(?iU)^\s*@start(uml|c4|mindmap|wbs)").alias("has_plantuml"),
+        (holds(":") & body.rlike(r"(?dmU)^\s*\w[\w_-]+:\s+\S")).alias("has_yaml_keys"),
+        (holds("@") & body.rlike(r"(?iU)^\s*@start(uml|c4|mindmap|wbs)")).alias("has_plantuml"),
     )
 
 

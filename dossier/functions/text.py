@@ -155,10 +155,10 @@ def find_patterns(text: Column) -> Column:
 
 
 def occurrences(lower_text: Column, value: Column) -> Column:
-    """Non-overlapping substring count, ignoring case."""
+    """Non-overlapping substring count, ignoring case. Lengths in bytes need no pass over the text."""
     low = F.lower(value)
-    rest = F.length(F.replace(lower_text, low, F.lit("")))
-    return ((F.length(lower_text) - rest) / F.length(low)).cast("int")
+    rest = F.octet_length(F.replace(lower_text, low, F.lit("")))
+    return ((F.octet_length(lower_text) - rest) / F.octet_length(low)).cast("int")
 
 
 def signal_rows(values: Column, kind: str, lower_text: Column, source_file: Column, weight: Column) -> Column:
