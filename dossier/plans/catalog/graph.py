@@ -5,6 +5,8 @@ Orders act as documents, their parts as signals, customers as repositories, nati
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossier.functions import text as T
@@ -309,7 +311,7 @@ UNION ALL SELECT DISTINCT 'type_' || o_orderstatus, 'DocumentType', 'status ' ||
 UNION ALL SELECT DISTINCT 'cut_' || o_orderpriority, 'ChunkingStrategy', o_orderpriority, '', CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT) FROM {orders}
 """
 USED = """
-SELECT DISTINCT 'doc_' || CAST(o_orderkey AS STRING) AS doc, 'repo_' || CAST(c_custkey AS STRING) AS repo,
+SELECT 'doc_' || CAST(o_orderkey AS STRING) AS doc, 'repo_' || CAST(c_custkey AS STRING) AS repo,
   'person_' || CAST(c_nationkey AS STRING) AS person, p_partkey % 4 AS k, p_brand, p_name, p_type, p_size
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {orders} o ON l.l_orderkey = o.o_orderkey
 JOIN {customer} c ON o.o_custkey = c.c_custkey
@@ -347,11 +349,23 @@ def graph(spark, sf_dir, used=None):
     return nodes, portable(spark, sf_dir, EDGES, used=used or portable(spark, sf_dir, USED))
 
 
+_STORED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
 def stored_graph(spark, sf_dir):
-    """The same graph as stored tables by kind, in buckets by node and by source, for queries that read it many times."""
-    # Nine kinds of edge read the same joined rows, so these are written once.
-    nodes, edges = graph(spark, sf_dir, materialize(portable(spark, sf_dir, USED)))
-    return bucketed(nodes, "node_id", ["node_type"]), bucketed(edges, "from_id", ["relationship"])
+    """The same graph as stored tables by kind, in buckets by node and by source, for queries that read it many times.
+
+    It is stored once per application and folder, as an ingested graph is; later queries read the stored tables.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        # Nine kinds of edge read the same joined rows, so these are written once.
+        nodes, edges = graph(spark, sf_dir, materialize(portable(spark, sf_dir, USED)))
+        names = f"nodes_{uuid.uuid4().hex}", f"edges_{uuid.uuid4().hex}"
+        bucketed(nodes, "node_id", ["node_type"], names[0])
+        bucketed(edges, "from_id", ["relationship"], names[1])
+        _STORED[key] = names
+    return tuple(spark.table(name) for name in _STORED[key])
 
 
 def joined(rows, *arrays):

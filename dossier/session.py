@@ -93,7 +93,7 @@ def materialize_counted(df: DataFrame, by: list[str] | None = None, **more: Colu
     return table, {"rows": 0, **dict.fromkeys(more, 0), **seen.get}
 
 
-def bucketed(df: DataFrame, key: str, by: list[str], buckets: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, key: str, by: list[str], name: str | None = None, buckets: int | None = None) -> DataFrame:
     """Write rows in the shared folder, by kind and within a kind in hash buckets of ``key``, and read them back as a table.
 
     Joins and groupings on the key need no shuffle of the table then. The table's name lives as long as the session; its files
@@ -101,7 +101,7 @@ def bucketed(df: DataFrame, key: str, by: list[str], buckets: int | None = None)
     """
     spark = df.sparkSession
     buckets = buckets or shuffle_width(spark)
-    name = "t_" + uuid.uuid4().hex
+    name = name or "t_" + uuid.uuid4().hex
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
     # One task per bucket, so that a kind has one file per bucket.
     dealt = df.repartition(buckets, key)
