@@ -22,10 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from dossier.operators import similarity as N
-from dossier.session import materialize
-
-
-ROWS_PER_SALT = 1 << 20
+from dossier.session import materialize, shuffle_width
 
 
 @dataclass
@@ -47,14 +44,6 @@ class ListIndex:
             rows = _list_stats(self.vectors).collect()
         return {r["list_id"]: (r["n"], r["a"]) for r in rows}
 
-    def salts(self, list_id: Column) -> Column:
-        """Over how many tasks a list is spread; one, unless it is large."""
-        large = {i: -(-n // ROWS_PER_SALT) for i, (n, _) in self.stats.items() if n > ROWS_PER_SALT}
-        if not large:
-            return F.lit(1)
-        table = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])
-        return F.coalesce(table[list_id], F.lit(1))
-
 
 def _list_stats(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a"))
@@ -82,8 +71,7 @@ def build_index(chunks: DataFrame, lists: int = 100, chunk_id: str = "chunk_id",
     training = rows.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     model = KMeans(k=lists, maxIter=iterations, seed=seed, distanceMeasure="cosine").fit(training)
     centres = N._unit(np.array(model.clusterCenters()))
-    # Neighbouring rows of one list pack into full tiles.
-    return ListIndex(centres, _assigned(rows, centres, vec).sortWithinPartitions("list_id"), chunk_id, vec)
+    return ListIndex(centres, _assigned(rows, centres, vec), chunk_id, vec)
 
 
 def _assigned(rows: DataFrame, centres: np.ndarray, vec: str) -> DataFrame:
@@ -151,27 +139,35 @@ def _probe(questions: DataFrame, centres: np.ndarray, qid: str, qvec: str, choos
 def _score_lists(probes: DataFrame, index: ListIndex, k: int, qid: str, qvec: str) -> DataFrame:
     """Score probed (question, list) pairs.
 
-    The tiles of a large list are dealt out over salts, and its questions copied to each. The
-    questions of a list are cut into tiles of bounded size by the list's own question count.
+    A list is a row of cells (``similarity.meet``), a large one several, and its questions are dealt over the row's cells, so that a
+    task holds a bounded part of one list.
     """
-    salts = index.salts(F.col("list_id"))
+    width = shuffle_width(index.vectors.sparkSession)
+    lists, dim = len(index.centres), index.centres.shape[1]
+    per_cell = max(1, N.CELL_BYTES // (4 * dim))
+    parts = {i: max(1, -(-n // per_cell)) for i, (n, _) in index.stats.items()}
+    columns = max(1, round(width / max(1, sum(parts.values()))))
+    first, rows = {}, 0
+    for i in range(lists):
+        first[i], rows = rows, rows + parts.get(i, 1)
     vectors = index.vectors
     if index.path:
         probes = materialize(probes)
         vectors = listed(index, [r["list_id"] for r in probes.select("list_id").distinct().collect()])  # one number a list at most
-    tiles = N.pack_tiles(vectors, index.chunk_id, index.vec, keep=["list_id"]).withColumn(
-        "salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")
-    )
-    asked = probes.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / N.QUESTIONS_PER_TILE).alias("parts"))
-    row = F.struct(F.col(qid).alias("q"), F.col(qvec).cast("array<float>").alias("v"))
-    grouped = (
-        probes.join(asked, "list_id")
-        .select("list_id", F.pmod(F.xxhash64(qid), F.col("parts")).alias("part"), row.alias("r"))
-        .groupBy("list_id", "part").agg(F.collect_list("r").alias("r"))
-        .select("list_id", F.col("r.q").alias("qids"), F.flatten("r.v").alias("qflat"),
-                F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    )
-    return N.score_pairs(tiles.join(grouped, ["list_id", "salt"]), k, qid, index.chunk_id)
+    start = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("list_id")]
+    n_parts = F.create_map(*[F.lit(x) for i in range(lists) for x in (i, parts.get(i, 1))])[F.col("list_id")]
+
+    def dealt(of: Column) -> Column:
+        return F.pmod(F.xxhash64("id"), of)
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    known = vectors.select("list_id", F.col(index.chunk_id).alias("id"), F.col(index.vec).alias("vec"))
+    known = known.withColumn("row", start + dealt(n_parts)).withColumn("column", every(F.lit(columns)))
+    asked = probes.select("list_id", F.col(qid).alias("id"), F.col(qvec).alias("vec"))
+    asked = asked.withColumn("part", every(n_parts)).withColumn("row", start + F.col("part")).withColumn("column", dealt(F.lit(columns)))
+    cell = F.col("row") * columns + F.col("column")
+    cells = N.meet(asked.withColumn("cell", cell), known.withColumn("cell", cell), rows * columns)
+    return N.score_cells(cells, k, qid, index.chunk_id)
 
 
 def search(questions: DataFrame, index: ListIndex, k: int, nprobe: int = 1, exact: bool = True,
