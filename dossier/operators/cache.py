@@ -24,10 +24,21 @@ def live(cache: DataFrame, now: Column) -> DataFrame:
     return cache.where(F.col("expires_at") > now)
 
 
+def distinct_vectors(entries: DataFrame, entry_id: str) -> DataFrame:
+    """Of entries with the same vector the one of the smallest id, which a search for one entry chooses among them.
+
+    Entries that repeat a vector cost one comparison a question, not one each; the hash goes first, so that sorting compares numbers.
+    """
+    vector = F.col("embedding").cast("array<float>")
+    known = entries.where(F.col("embedding").isNotNull()).groupBy(F.xxhash64(vector).alias("h"), vector.alias("embedding"))
+    return materialize(known.agg(F.min(entry_id).alias(entry_id)).drop("h"))
+
+
 def lookup(questions: DataFrame, cache: DataFrame, now: Column, threshold: float = K.CACHE_THRESHOLD) -> DataFrame:
     """Nearest live entry at or above the threshold: ``qid, cache_id, score``."""
     entries = live(cache, now).select("cache_id", F.col("question_embedding").alias("embedding"))
-    return N.top_k(questions, entries, 1, chunk_id="cache_id", min_score=threshold).select("qid", "cache_id", "score")
+    known = distinct_vectors(entries, "cache_id")
+    return N.top_k(questions, known, 1, chunk_id="cache_id", min_score=threshold).select("qid", "cache_id", "score")
 
 
 def count_hits(cache: DataFrame, hits: DataFrame) -> DataFrame:
@@ -88,7 +99,7 @@ def insert_new(candidates: DataFrame, cache: DataFrame, now: Column, threshold:
 def _unlike(rows: DataFrame, known: DataFrame, known_id: str, threshold: float) -> DataFrame:
     """Rows that are near none of the known vectors."""
     asked = rows.select(F.col("seq").alias("qid"), F.col("embedding").alias("question_embedding"))
-    near = N.top_k(asked, known, 1, chunk_id=known_id, min_score=threshold)
+    near = N.top_k(asked, distinct_vectors(known, known_id), 1, chunk_id=known_id, min_score=threshold)
     return rows.join(near.select(F.col("qid").alias("seq")), "seq", "left_anti")
 
 

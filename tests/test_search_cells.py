@@ -1,14 +1,28 @@
-"""Searches hold a bounded part of the tables in a task."""
+"""Searches hold a bounded part of the tables in a task, and compare equal cache entries once."""
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from dossier.operators import cache
 from dossier.operators import similarity as S
 from tests.test_operators import brute, frame, vectors
 
 
+def test_equal_cache_entries_are_compared_once(spark, monkeypatch):
+    data = vectors(6, seed=31)
+    rows = [(f"e{i:03}", data[i % 6].tolist()) for i in range(300)]
+    later = F.expr("TIMESTAMP '2024-02-01 00:00:00'")
+    entries = spark.createDataFrame(rows, "cache_id string, question_embedding array<float>").withColumn("expires_at", later)
+    compared = []
+    monkeypatch.setattr(cache.N, "top_k", lambda q, c, *a, run=S.top_k, **b: compared.append(c.count()) or run(q, c, *a, **b))
+    asked = frame(spark, data, "qid", "question_embedding")
+    hits = cache.lookup(asked, entries, F.expr("TIMESTAMP '2024-01-01 00:00:00'")).collect()
+    assert compared == [6]
+    assert {r.qid: r.cache_id for r in hits} == {i: f"e{i:03}" for i in range(6)}
+
+
 def test_cells_copy_rows_by_the_root_of_their_number(spark, monkeypatch):
     """Before, every pair of tiles went through Python as a row of both tiles."""
     q, c = vectors(700, seed=32), vectors(900, seed=33)
