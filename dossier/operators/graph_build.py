@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from dossier.functions import documents as D
@@ -123,6 +123,7 @@ def document_nodes(docs: DataFrame) -> DataFrame:
 
 def owner_nodes(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Person and repository nodes; they exist before any file is read and are not counted again."""
+    docs = docs.select(*by, "person", "person_id", "repo_id").distinct()
     person = docs.select(
         *by,
         F.col("person_id").alias("node_id"), F.lit("Person").alias("node_type"), F.col("person").alias("label"),
@@ -194,15 +195,20 @@ def routing_edges(docs: DataFrame) -> DataFrame:
     )
 
 
-def _folded(rows: DataFrame, last: list[str], by: Sequence[str] = ()) -> DataFrame:
-    """First type, label and source; confidence grows by 0.05 per further sighting; ``last`` columns as last seen."""
-    folded = rows.groupBy("node_id", *by).agg(
+def _grouped(rows: DataFrame, *keys: str) -> GroupedData:
+    """Rows by keys. First and last values are folded by sorting; ids start alike, so a hash goes first and sorting compares numbers."""
+    return rows.groupBy(F.xxhash64(*keys).alias("key_hash"), *keys)
+
+
+def _folded(rows: DataFrame, last: list[str], by: Sequence[str] = (), **more: Column) -> DataFrame:
+    """First type, label and source; confidence grows by 0.05 per further sighting; ``last`` columns as last seen, and other aggregates."""
+    folded = _grouped(rows, "node_id", *by).agg(
         F.min_by(F.struct("node_type", "label", "source_file", "confidence"), F.col("seq")).alias("f"),
-        F.max_by(F.struct(*last), F.col("seq")).alias("l"), F.count(F.lit(1)).alias("n"),
+        F.max_by(F.struct(*last), F.col("seq")).alias("l"), F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()],
     )
     return folded.select(
         *by, "node_id", "f.node_type", F.col("f.label").alias("label"), "f.source_file",
-        F.least(F.lit(1.0), F.col("f.confidence") + 0.05 * (F.col("n") - 1)).alias("confidence"), F.col("l").alias("last"),
+        F.least(F.lit(1.0), F.col("f.confidence") + 0.05 * (F.col("n") - 1)).alias("confidence"), F.col("l").alias("last"), *more,
     )
 
 
@@ -224,9 +230,7 @@ def fold_nodes(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     The last map wins; a text hash stays when the last sighting has none.
     """
     seen_hash = F.col("properties")["text_hash"]
-    hashes = F.max_by(seen_hash, F.when(seen_hash.isNotNull(), F.col("seq")))
-    kept = rows.groupBy("node_id", *by).agg(hashes.alias("hash")).where(F.col("hash").isNotNull())
-    folded = _folded(rows, ["properties"], by).join(kept, ["node_id", *by], "left")
+    folded = _folded(rows, ["properties"], by, hash=F.max_by(seen_hash, F.when(seen_hash.isNotNull(), F.col("seq"))))
     last = F.map_filter("last.properties", lambda k, v: k != "text_hash")
     props = F.when(F.col("hash").isNull(), last).otherwise(
         F.map_concat(last, F.create_map(F.lit("text_hash"), F.col("hash")))
@@ -236,7 +240,7 @@ def fold_nodes(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def fold_edges(sightings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """First weight and source; weight grows by 0.1 per further sighting."""
-    folded = sightings.groupBy("from_id", "relationship", "to_id", *by).agg(
+    folded = _grouped(sightings, "from_id", "relationship", "to_id", *by).agg(
         F.min_by(F.struct("weight", "source_file"), F.col("seq")).alias("f"), F.sum("times").alias("n")
     )
     return folded.select(

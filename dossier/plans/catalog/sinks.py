@@ -12,8 +12,8 @@ from dossier.operators import graph_build as B
 from dossier.plans import ingest
 from dossier.plans.catalog.base import CORPUS_CTE, corpus, plain, portable, query, sql_strip
 from dossier.plans.catalog.graph import (
-    EDGE_ROWS, FACTS_CTE, NEW_CHUNKS, NEW_EDGES, NEW_NODES, NODE_ROWS, OLD_NODES, fresh_nodes, order_docs, order_signals, stored_nodes,
-    with_edge_id,
+    EDGE_ROWS, FACTS_CTE, NEW_CHUNKS, NEW_EDGES, NEW_NODES, NODE_ROWS, OLD_NODES, fresh_nodes, stored_nodes, with_edge_id,
+    written_orders,
 )
 from dossier.plans.catalog.text import KIND, MD_CTE, sql_squeeze
 from dossier.session import checkpoint_dir, materialize, materialize_counted
@@ -105,7 +105,7 @@ FROM files JOIN edge USING (repo) JOIN node USING (repo) JOIN best USING (repo)
 def repository_artifacts(spark, sf_dir):
     """All four artifacts of every repository are written, read back and counted; the manifest must give the same counts."""
     target = scratch(spark)
-    docs, signals = order_docs(spark, sf_dir), order_signals(spark, sf_dir)
+    docs, signals = written_orders(spark, sf_dir)
     ingest.write_repository_artifacts(target, docs, signals, "derived")
     read = lambda kind, name: spark.read.schema(f"{kind}, repo_prefix string").json(f"{target.root}/derived/{name}")
     count = lambda rows, name: rows.groupBy("repo_prefix").agg(F.count(F.lit(1)).alias(name))
@@ -149,7 +149,7 @@ SELECT 'partial' AS status, (SELECT count(*) FROM docs) AS files_processed, (SEL
 """)
 def manifest_counters(spark, sf_dir):
     """Orders are read files, nations files that could not be read; all numbers are observed while tables are written."""
-    docs, signals = order_docs(spark, sf_dir), order_signals(spark, sf_dir)
+    docs, signals = written_orders(spark, sf_dir)
     failed = portable(spark, sf_dir, "SELECT n_name AS source_key, 'unreadable' AS error FROM {nation}")
     texts = docs.select("source_key", F.lit(None).cast("string").alias("error")).unionByName(failed)
     nodes, edges = B.build_graph(docs, signals)

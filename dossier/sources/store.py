@@ -136,7 +136,8 @@ class Store:
     # -- artifacts ----------------------------------------------------------
 
     def write_json(self, rows: DataFrame, path: str, by: list[str] | None = None) -> None:
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        """JSON lines, gzipped: ids of nodes and edges repeat each other, so the files take a small part of the room."""
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip")
         (writer.partitionBy(*by) if by else writer).json(f"{self.root}/{path}")
 
     # -- records of model calls ---------------------------------------------
