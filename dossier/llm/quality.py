@@ -2,14 +2,16 @@
 
 A document's strength is a linear function of its text's features. The probability that a good
 document beats a bad one is the logistic function of the difference of their strengths, so fitting pairs is
-logistic regression on feature differences. The strength at the quantile that the share of bad labels names
-becomes the score's threshold.
+logistic regression on feature differences. Every labelled row takes part: rows are dealt into blocks by hash, and
+within a block each row meets a fixed number of rows of the other label, so pairs grow with the rows. Sums over pairs
+are made in the tasks; what comes back is a vector and a matrix of the features' number. The strength at the rank that
+the number of bad labels names, found from counts of all strengths, becomes the score's threshold.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import hashed_words, slices, text_bytes, unit_hash
+from dossier.llm.common import hashed_words, slices, text_bytes
 from dossier.session import materialize
 
-#: Labelled rows that are fetched to fit the weights, chosen by hash.
-FIT_ROWS = 20_000
-#: Preference pairs drawn from them.
-PAIRS = 200_000
+#: Labelled rows of a block, within which pairs are made.
+BLOCK_ROWS = 4096
+#: Opponents that a row of the rarer label meets at least, and one of the other label.
+ROUNDS = 8
 RIDGE = 1e-3
 #: A score of this much or more predicts label 1.
 THRESHOLD = 0.7
@@ -84,42 +86,136 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(line, -500, 500)))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
-    """Logistic regression without an intercept."""
-    w = np.zeros(x.shape[1])
+Part = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _sums(known: DataFrame, part: Part, width: int) -> np.ndarray:
+    """The sum of what ``part`` makes of the features and labels of every block; at most a row of numbers a task comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                label = batch.column(1)[row].values.to_numpy()
+                total += part(batch.column(0)[row].values.to_numpy(zero_copy_only=False).reshape(len(label), -1), label)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "x"])
+
+    rows = known.select("features", "label").mapInArrow(run, "at long, x double").groupBy("at").agg(F.array_sort(F.collect_list("x")).alias("x")).collect()
+    total = np.zeros(width)
+    for r in rows:
+        total[r["at"]] = math.fsum(r["x"])  # in sorted order, so that runs agree
+    return total
+
+
+def _differences(z: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Good minus bad features of the block's pairs: every row has at least ``ROUNDS`` of them (all, if the other label has fewer)."""
+    good, bad = z[label == 1], z[label == 0]
+    if not len(good) or not len(bad):
+        return np.zeros((0, z.shape[1]))
+    most, rounds = max(len(good), len(bad)), min(ROUNDS, len(good), len(bad))
+    at = np.arange(most)
+    return np.concatenate([good[at % len(good)] - bad[(at + r * max(1, len(bad) // rounds)) % len(bad)] for r in range(rounds)])
+
+
+def _newton(derivatives: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, float]], width: int, ridge: float, steps: int = 30) -> np.ndarray:
+    """Logistic regression without an intercept, from the sums of gradient, curvature and number that a pass over the rows gives."""
+    w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) / len(y) + ridge * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
+        gradient, hessian, n = derivatives(w)
+        step = np.linalg.solve(hessian / max(n, 1) + ridge * np.eye(width), gradient / max(n, 1) + ridge * w)
         w = w - step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS) -> Ranking:
-    """Weights from preference pairs; with labels of one kind only, every score is the threshold's neighbour below or above."""
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient, curvature and number of rows in one array."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.concatenate([x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel(), [len(y)]])
+
+
+def _split(total: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, float]:
+    return total[:width], total[width:-1].reshape(width, width), total[-1]
+
+
+def _at_rank(known: DataFrame, strength: Callable[[np.ndarray], np.ndarray], rank: int) -> float:
+    """The strength of the given rank (from 0) among all rows, from counts of 65,536 intervals at a time."""
+    sign = 1 << 63
+
+    def ordered(x: np.ndarray) -> np.ndarray:
+        bits = (x + 0.0).view(np.uint64)
+        return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(sign))
+
+    prefix = 0
+    for shift in (48, 32, 16, 0):
+        def part(x: np.ndarray, label: np.ndarray, shift=shift, prefix=prefix) -> np.ndarray:
+            keys = ordered(strength(x))
+            if shift < 48:
+                keys = keys[keys >> np.uint64(shift + 16) == np.uint64(prefix)]
+            return np.bincount((keys >> np.uint64(shift) & np.uint64(0xFFFF)).astype(int), minlength=1 << 16).astype(float)
+
+        counts = np.cumsum(_sums(known, part, 1 << 16))
+        digit = int(np.searchsorted(counts, rank, "right"))
+        rank -= int(counts[digit - 1]) if digit else 0
+        prefix = prefix << 16 | digit
+    bits = np.array([prefix], np.uint64)
+    return float(np.where(bits >> np.uint64(63) == 1, bits & np.uint64(sign - 1), ~bits).view(np.float64)[0])
+
+
+def fit(known: DataFrame) -> Ranking:
+    """Weights from preference pairs of all rows of blocks ``features, label``.
+
+    With labels of one kind only, every score is the threshold's neighbour below or above.
+    """
     width = len(FEATURES)
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
-        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0 if len(good) else 1.0, 1.0)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale[scale == 0] = 1
-    z = (x - mean) / scale
-    draw = np.random.default_rng(7)
-    a, b = draw.choice(good, pairs), draw.choice(bad, pairs)
-    # Each pair stands once in either order, so that the loss sees both answers.
-    flip = draw.random(pairs) < 0.5
-    difference = np.where(flip[:, None], z[b] - z[a], z[a] - z[b])
-    weights = _newton(difference, (~flip).astype(float), RIDGE)
-    strength = z @ weights
-    share = len(bad) / (len(good) + len(bad))
-    ordered = np.sort(strength)
-    at = min(max(int(round(share * len(ordered))), 1), len(ordered) - 1)
-    cut = float((ordered[at - 1] + ordered[at]) / 2)
-    slope = float(_newton((strength - cut)[:, None], (label == 1).astype(float), 1e-6)[0])
-    return Ranking(mean, scale, weights, cut, max(slope, 1e-3))
+
+    def moments(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(x), label.sum()], x.sum(axis=0)])
+
+    total = _sums(known, moments, 2 + width)
+    n, n_good, mean = total[0], total[1], total[2:] / max(total[0], 1)
+    if not n_good or n_good == n:
+        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0 if n_good else 1.0, 1.0)
+    scale = np.sqrt(_sums(known, lambda x, label: ((x - mean) ** 2).sum(axis=0), width) / n)
+    scale[scale < 1e-12] = 1
+
+    def pairs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        def part(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+            d = _differences((x - mean) / scale, label)
+            return _logistic(d, np.ones(len(d)), w)
+
+        return _split(_sums(known, part, width + width * width + 1), width)
+
+    weights = _newton(pairs, width, RIDGE)
+
+    def strength(x: np.ndarray) -> np.ndarray:
+        return ((x - mean) / scale) @ weights
+
+    at = int(n - n_good)
+    cut = (_at_rank(known, strength, at - 1) + _at_rank(known, strength, at)) / 2
+
+    def line(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        def part(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+            return _logistic((strength(x) - cut)[:, None], label.astype(float), w)
+
+        return _split(_sums(known, part, 3), 1)
+
+    return Ranking(mean, scale, weights, cut, max(float(_newton(line, 1, 1e-6)[0]), 1e-3))
+
+
+def _blocks(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """Rows ``doc_id, features, label`` in blocks by hash, in which both labels occur: ``features`` in one list, and ``label``.
+
+    With a label so rare that blocks of ``BLOCK_ROWS`` would miss it, blocks are larger.
+    """
+    rare = min(sizes.get(0, 0), sizes.get(1, 0)) or max(sizes.values(), default=0)
+    n = max(1, min(-(-sum(sizes.values()) // BLOCK_ROWS), rare // 16))
+    order = F.xxhash64("doc_id")
+    row = F.struct(order.alias("h"), "doc_id", "features", "label")
+    dealt = rows.groupBy(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(n)).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    return materialize(dealt.select(F.flatten("r.features").alias("features"), F.col("r.label").alias("label")))
 
 
 def held_out(doc_id) -> object:
@@ -127,23 +223,20 @@ def held_out(doc_id) -> object:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.7).
 
-    Features come from the whole text alone; null counts as empty and empty texts are scored too. Weights are fitted on at
-    most `fit_rows` labelled rows that are not held out; null labels are left out. Repeated rows give
+    Features come from the whole text alone; null counts as empty and empty texts are scored too. Weights are fitted on all
+    labelled rows that are not held out; null labels are left out. Repeated rows give
     repeated rows, an empty table an empty result, no labels the score 0.5 or so for all; extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     table = materialize(rows.mapInArrow(_feature_rows, f"doc_id {kind}, features array<double>"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").alias("label")).where("label in (0, 1)")
-    sample = (
-        table.where(~held_out(F.col("doc_id"))).join(known, "doc_id")
-        .orderBy(unit_hash(F.col("doc_id")), "doc_id").limit(fit_rows).select("features", "label").toPandas()
-    )
-    x = np.stack(sample["features"].to_list()) if len(sample) else np.zeros((0, len(FEATURES)))
-    model = fit(x, sample["label"].to_numpy())
+    rows = materialize(table.where(~held_out(F.col("doc_id"))).join(known, "doc_id").select("doc_id", "features", F.col("label").cast("int")))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    model = fit(_blocks(rows, sizes))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
