@@ -6,9 +6,12 @@ same ones run on other engines.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions import text as T
 from dossier.functions.questions import denied_phrase
 
 _START, _END = r"(?:^|[^A-Za-z0-9])", r"(?:[^A-Za-z0-9]|$)"
@@ -45,15 +48,43 @@ SENSITIVE = {
     "US_SOCIAL_SECURITY_NUMBER": _whole(r"[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}"),
     "VEHICLE_IDENTIFICATION_NUMBER": _named(r"vin|vehicle identification", r"[A-HJ-NPR-Z0-9]{17}"),
 }
+#: What a text of a kind cannot lack: a digit or not, words or marks one of which it holds in lower case, and how a find may start.
+CLUES = {
+    "ADDRESS": (True, (), "0-9"), "AGE": (True, (), "aA0-9"), "AWS_ACCESS_KEY": (False, ("akia", "asia"), "A"),
+    "AWS_SECRET_KEY": (False, ("secret",), "sS"), "CREDIT_DEBIT_CARD_CVV": (True, ("cvv", "cvc", "security code"), "cCsS"),
+    "CREDIT_DEBIT_CARD_EXPIRY": (True, ("exp",), "eE"), "CREDIT_DEBIT_CARD_NUMBER": (True, (), "3-6"),
+    "DRIVER_ID": (False, ("driver",), "dD"), "IP_ADDRESS": (True, (".",), "0-9"), "LICENSE_PLATE": (False, ("plate",), "lLnN"),
+    "MAC_ADDRESS": (False, (":", "-"), "0-9A-Fa-f"), "PASSWORD": (False, ("password", "passwd", "pwd"), "pP"), "PIN": (True, ("pin",), "pP"),
+    "USERNAME": (False, ("username", "user name", "login"), "uUlL"), "US_BANK_ACCOUNT_NUMBER": (True, ("account",), "bBaA"),
+    "US_BANK_ROUTING_NUMBER": (True, ("routing",), "rR"), "US_INDIVIDUAL_TAX_IDENTIFICATION_NUMBER": (True, ("-",), "9"),
+    "US_PASSPORT_NUMBER": (True, ("passport",), "pP"), "US_SOCIAL_SECURITY_NUMBER": (True, ("-",), "0-8"),
+    "VEHICLE_IDENTIFICATION_NUMBER": (False, ("vin", "vehicle identification"), "vV"),
+}
 #: Profile addresses are taken out of a text, which may pass (fixed value).
 PROFILE_URL = r"https?://(www\.)?linkedin\.com/in/[a-zA-Z0-9\-]+/?"
 PROFILE_MARK = "{profile-url}"
 
 
+def _finder(kind: str) -> str:
+    """A pattern that finds a kind where the one in ``SENSITIVE`` does, but is tried only at characters a find may start with."""
+    body = SENSITIVE[kind].removeprefix(_START).removesuffix(_END)
+    return f"(?=[{CLUES[kind][2]}])(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])"
+
+
 def sensitive_kinds(text: Column) -> Column:
-    """Kinds of sensitive data in a text, sorted; none in a null text."""
-    found = F.array(*[F.when(text.rlike(p), F.lit(kind)) for kind, p in SENSITIVE.items()])
-    return F.coalesce(F.array_compact(found), F.array().cast("array<string>"))
+    """Kinds of sensitive data in a text, sorted; none in a null text. A pattern runs only on texts with its kind's clues."""
+
+    def tests(seen: Column) -> Column:
+        found = []
+        for kind, (digit, marks, _) in CLUES.items():
+            hit = text.rlike(_finder(kind))
+            if marks:
+                hit = functools.reduce(lambda a, b: a | b, [F.contains(seen["low"], F.lit(m)) for m in marks]) & hit
+            found.append(F.when(seen["digit"] & hit if digit else hit, F.lit(kind)))
+        return F.array_compact(F.array(*found))
+
+    found = T.let(F.struct(F.lower(text).alias("low"), text.rlike("[0-9]").alias("digit")), tests)
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def without_profiles(text: Column) -> Column:
