@@ -16,7 +16,7 @@ from dossier.operators import routing as W
 from dossier.plans import answer as P
 from dossier.plans import ingest
 from dossier.plans.catalog.base import CORPUS_CTE, case_list, corpus, documents, plain, portable, query, sql_strip, table
-from dossier.plans.catalog.graph import stored_graph
+from dossier.plans.catalog.graph import AROUND_ALL, stored_graph
 from dossier.plans.catalog.routing import PRIOR_ROWS, PRIORITY, SQL_CLASS
 from dossier.plans.catalog.retrieval import BASE_CTE, PRIMARY, TOP_K, chunks, questions
 from dossier.plans.catalog.text import AWS_RX, PAT_RX, TECH_RX, sql_found
@@ -152,7 +152,7 @@ def answer_batch(spark, sf_dir):
     )
     rows = materialize(ingest.chunk_rows(ingest.analyzed_documents(docs), embedder)).withColumnRenamed("id", "chunk_id")
     asked = portable(spark, sf_dir, "SELECT item_id AS qid, text AS question FROM {benchmark}")
-    nodes, edges = stored_graph(spark, sf_dir)
+    nodes, edges = stored_graph(spark, sf_dir, *AROUND_ALL)
     weights = W.seed(spark.createDataFrame([], W.WEIGHTS_TYPE))
     answers = P.answer_batch(asked, rows, nodes, edges, weights, embedder, min_confidence=0.0)
     body = F.try_parse_json(P.response_json())
