@@ -109,29 +109,36 @@ def shorten(line: Column, width: int = 300) -> Column:
 
     A word may also break after a hyphen between letters or around a run of dashes.
     """
-    one_space = strip(F.regexp_replace(line, f"(?U){SPACE}+", " "))
     letter, punct = r"[^\d\W]", r"[\w!\"'&.,?]"
     breaks = (
         rf"(?= )|(?<={letter}{letter}-|{letter}-{letter}-)(?={letter}-?{letter})"
         rf"|(?<={punct})(?=-{{2,}}\w)"
     )
-    before = F.regexp_extract(one_space, rf"(?U)^(.{{1,{width - 6}}})(?:{breaks})", 1)
-    # A break after a run of dashes of any length; one more character shows what follows it.
-    after = F.regexp_extract(F.substring(one_space, 1, width - 5), rf"(?U)^(.*{punct}-{{2,}})(?=\w)", 1)
-    head = F.when(F.length(after) > F.length(before), after).otherwise(before)
-    cut = F.when(head == "", F.lit("[...]")).otherwise(F.concat(head, F.lit(" [...]")))
-    return F.when(F.length(one_space) <= width, one_space).otherwise(cut)
+
+    def cut(one_space: Column) -> Column:
+        before = F.regexp_extract(one_space, rf"(?U)^(.{{1,{width - 6}}})(?:{breaks})", 1)
+        # A break after a run of dashes of any length; one more character shows what follows it.
+        after = F.regexp_extract(F.substring(one_space, 1, width - 5), rf"(?U)^(.*{punct}-{{2,}})(?=\w)", 1)
+        head = F.when(F.length(after) > F.length(before), after).otherwise(before)
+        short = F.when(head == "", F.lit("[...]")).otherwise(F.concat(head, F.lit(" [...]")))
+        return F.when(F.length(one_space) <= width, one_space).otherwise(short)
+
+    return let(strip(F.regexp_replace(line, f"(?U){SPACE}+", " ")), cut)
 
 
 def markdown_summary(raw: Column, cleaned: Column, source_file: Column) -> Column:
-    heads = F.slice(headings(raw), 1, 5)
+    return markdown_summary_of(headings(raw), cleaned, source_file)
+
+
+def markdown_summary_of(heads: Column, cleaned: Column, source_file: Column) -> Column:
+    """The summary from headings already found. The first line of prose is found once, then shortened."""
     lines = F.transform(F.split(cleaned, "\n"), strip)
     first = F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
     return F.concat_ws(
         " | ",
         F.concat(F.lit("File: "), source_file),
-        F.when(F.size(heads) > 0, F.concat(F.lit("Sections: "), F.array_join(heads, ", "))),
-        F.when(F.size(first) > 0, shorten(F.get(first, F.lit(0)))),
+        let(F.slice(heads, 1, 5), lambda h: F.when(F.size(h) > 0, F.concat(F.lit("Sections: "), F.array_join(h, ", ")))),
+        let(F.get(first, F.lit(0)), lambda line: F.when(line.isNotNull(), shorten(line))),
     )
 
 

@@ -61,6 +61,11 @@ def stated(kind, text):
     return F.when(kind.isin("text", "markdown"), F.md5(text.cast("binary")))
 
 
+def whole(text):
+    """What two equal texts share, so that texts need not move to be compared."""
+    return F.sha2(text.cast("binary"), 256)
+
+
 @query("o12_json_artifacts", f"{EXTRACTED} SELECT source_key, '1.0' AS schema_version, md5(t) AS text_md5, TRUE AS as_extracted FROM d")
 def json_artifacts(spark, sf_dir):
     target, docs = scratch(spark), extracted_documents(spark, sf_dir)
@@ -82,11 +87,10 @@ def extracted_text(spark, sf_dir):
     rows = store.extracted_text(docs)
     target.write_json(rows, "extracted_text")
     back = spark.read.schema("text_key string, value string").json(f"{target.root}/extracted_text")
-    was = rows.select("text_key", F.col("value").alias("was"))
+    was = rows.select("text_key", whole(F.col("value")).alias("was"))
     kind = D.extractor_kind(F.regexp_extract("text_key", r"([^/]+)\.extracted\.txt$", 1))
-    return back.join(was, "text_key").select(
-        "text_key", stated(kind, F.col("value")).alias("value_md5"), F.col("value").eqNullSafe(F.col("was")).alias("as_extracted"),
-    )
+    now = back.select("text_key", stated(kind, F.col("value")).alias("value_md5"), whole(F.col("value")).alias("now"))
+    return now.join(was, "text_key").select("text_key", "value_md5", F.col("now").eqNullSafe(F.col("was")).alias("as_extracted"))
 
 
 @query("o14_repository_artifacts", f"""
