@@ -71,11 +71,11 @@ def json_artifacts(spark, sf_dir):
     target, docs = scratch(spark), extracted_documents(spark, sf_dir)
     target.write_json(store.derived_artifact(docs), "artifacts", ["repo_prefix"])
     back = spark.read.schema("schema_version string, source_key string, extracted_text string").json(f"{target.root}/artifacts")
-    was = docs.select("source_key", "source_file", F.col("extracted_text").alias("was"))
-    return back.join(was, "source_key").select(
-        "source_key", "schema_version", stated(D.extractor_kind(F.col("source_file")), F.col("extracted_text")).alias("text_md5"),
-        F.col("extracted_text").eqNullSafe(F.col("was")).alias("as_extracted"),
-    )
+    text = F.col("extracted_text")
+    was = docs.select("source_key", whole(text).alias("was"))
+    kind = D.extractor_kind(D.file_name(F.col("source_key")))
+    now = back.select("source_key", "schema_version", stated(kind, text).alias("text_md5"), whole(text).alias("now"))
+    return now.join(was, "source_key").select("source_key", "schema_version", "text_md5", F.col("now").eqNullSafe(F.col("was")).alias("as_extracted"))
 
 
 @query("o13_extracted_text", f"""

@@ -47,7 +47,7 @@ def first_join(node):
     return next(filter(None, (first_join(below.apply(i)) for i in range(below.size()))), None)
 
 
-@pytest.mark.parametrize("run, text", [(sinks.extracted_text, "value")])
+@pytest.mark.parametrize("run, text", [(sinks.extracted_text, "value"), (sinks.json_artifacts, "extracted_text")])
 def test_texts_are_not_joined(spark, run, text):
     sides = first_join(run(spark, SF)._jdf.queryExecution().optimizedPlan()).children()
     for side in (sides.apply(0), sides.apply(1)):
