@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -96,8 +97,8 @@ def ingest_weight(name: Column) -> Column:
 
 # -- Statistics and classification ------------------------------------------
 
-def text_stats(text: Column) -> Column:
-    """Struct of eight metrics; empty or null text gives zeros.
+def text_metrics(text: Column) -> dict[str, Column]:
+    """Eight metrics; empty or null text gives zeros.
 
     A pattern runs only on texts that hold a character it cannot match without.
     """
@@ -117,19 +118,24 @@ def text_stats(text: Column) -> Column:
     def lines_part(ls: Column) -> Column:
         return F.length(F.array_join(ls, "")) / F.greatest(F.size(ls), F.lit(1))
 
-    return F.struct(
-        F.when(holds("#"), F.size(F.filter(lines, lambda x: x.rlike("(?U)^#{1,6}" + T.SPACE)))).otherwise(0).alias("heading_count"),
-        F.size(blocks).alias("code_block_count"),
-        F.bround(block_chars / F.greatest(F.length(body), F.lit(1)), 3).alias("code_char_ratio"),
-        F.bround(prose_words / F.greatest(sentences, F.lit(1)), 1).alias("avg_sentence_len"),
-        F.bround(T.let(full, lines_part), 1).alias("avg_line_len"),
-        T.word_count(body).alias("word_count"),
-        (holds(":") & body.rlike(r"(?dmU)^\s*\w[\w_-]+:\s+\S")).alias("has_yaml_keys"),
-        (holds("@") & body.rlike(r"(?iU)^\s*@start(uml|c4|mindmap|wbs)")).alias("has_plantuml"),
-    )
+    return {
+        "heading_count": F.when(holds("#"), F.size(F.filter(lines, lambda x: x.rlike("(?U)^#{1,6}" + T.SPACE)))).otherwise(0),
+        "code_block_count": F.size(blocks),
+        "code_char_ratio": F.bround(block_chars / F.greatest(F.length(body), F.lit(1)), 3),
+        "avg_sentence_len": F.bround(prose_words / F.greatest(sentences, F.lit(1)), 1),
+        "avg_line_len": F.bround(T.let(full, lines_part), 1),
+        "word_count": T.word_count(body),
+        "has_yaml_keys": holds(":") & body.rlike(r"(?dmU)^\s*\w[\w_-]+:\s+\S"),
+        "has_plantuml": holds("@") & body.rlike(r"(?iU)^\s*@start(uml|c4|mindmap|wbs)"),
+    }
 
 
-def doc_type(name: Column, stats: Column, aws_signals: Column) -> Column:
+def text_stats(text: Column) -> Column:
+    """The metrics of a text as a struct."""
+    return F.struct(*[value.alias(metric) for metric, value in text_metrics(text).items()])
+
+
+def doc_type(name: Column, stats: Column | Mapping[str, Column], aws_signals: Column) -> Column:
     low = F.lower(name)
     return (
         F.when(ends_with_any(low, K.DIAGRAM_SUFFIXES + [".derived.json"]) | stats["has_plantuml"], "diagram_derived")
@@ -149,14 +155,26 @@ def chunking_strategy(kind: Column) -> Column:
 
 
 def analyze(df: DataFrame, text: str = "extracted_text", name: str = "source_file",
-            signals: str = "expertise_signals") -> DataFrame:
-    """Add ``text_stats, doc_type, chunking_strategy, type_confidence``."""
-    aws = F.size(F.filter(F.col(signals), lambda s: s["signal_type"] == "aws_service"))
+            signals: str | None = "expertise_signals") -> DataFrame:
+    """Add ``text_stats, doc_type, chunking_strategy, type_confidence``.
+
+    Without a column of signals the services are looked for in the text, and only where their number decides.
+    """
+    if signals is None:
+        aws = F.size(T.find_aws_services(F.col(text)))
+    else:
+        aws = F.size(F.filter(F.col(signals), lambda s: s["signal_type"] == "aws_service"))
+    # Each metric is a column for itself: one that nothing but the type reads is computed only where the type needs it.
+    metrics = {f"_{metric}": value for metric, value in text_metrics(F.col(text)).items()}
+    stats = {metric[1:]: F.col(metric) for metric in metrics}
     return (
-        df.withColumn("text_stats", text_stats(F.col(text)))
-        .withColumn("doc_type", doc_type(F.col(name), F.col("text_stats"), aws))
+        df.withColumns(metrics)
+        .withColumns({
+            "text_stats": F.struct(*[value.alias(metric) for metric, value in stats.items()]),
+            "doc_type": doc_type(F.col(name), stats, aws),
+        })
         .withColumn("chunking_strategy", chunking_strategy(F.col("doc_type")))
-        .withColumn("type_confidence", F.lit(1.0))
+        .withColumn("type_confidence", F.lit(1.0)).drop(*metrics)
     )
 
 

@@ -189,9 +189,9 @@ def bare_signals(values: Column, kind: str) -> Column:
 def build_signals(text: Column, source_file: Column, weight: Column, patterns: dict[str, str] | None = None) -> Column:
     patterns = patterns or {"aws_service": AWS_SERVICE, "technology": TECHNOLOGY, "pattern": PATTERN}
     return let(
-        F.lower(text),
-        lambda low: F.concat(
-            *[signal_rows(found(text, p), kind, low, source_file, weight) for kind, p in patterns.items()]
+        F.struct(text.alias("text"), F.lower(text).alias("low")),
+        lambda x: F.concat(
+            *[signal_rows(found(x["text"], p), kind, x["low"], source_file, weight) for kind, p in patterns.items()]
         ),
     )
 

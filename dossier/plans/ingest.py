@@ -54,7 +54,8 @@ def analyzed_documents(texts: DataFrame, person: str = "Developer", path_identit
     its whole path, so that equal names in two folders stay two documents.
     """
     ready = texts.where(F.col("content").isNotNull()).select("source_key", "repo_prefix", "content")
-    docs = D.analyze(X.extract(ready, repeat_services))
+    # Diagrams and manifests are typed by name; in other files the signals' services are those of the text.
+    docs = D.analyze(X.extract(ready, repeat_services), signals=None)
     repo = F.element_at(F.split(F.rtrim("repo_prefix", F.lit("/")), "/"), -1)
     docs = B.with_owners(docs.withColumn("repo", F.when(repo == "", "unknown_repo").otherwise(repo)), F.lit(person), F.col("repo"))
     if path_identity:

@@ -5,9 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from dossier.functions import documents as D
 from dossier.functions import text as T
+from dossier.functions import vectors as V
 from dossier.operators import extraction as X
+from dossier.plans import ingest
 from dossier.plans.catalog import sinks
+from dossier.plans.catalog.base import corpus
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +57,29 @@ def test_texts_are_not_joined(spark, run, text):
     for side in (sides.apply(0), sides.apply(1)):
         names = [side.output().apply(i).name() for i in range(side.output().size())]
         assert text not in names and "sha2(" in side.toString()
+
+
+def test_chunks_need_no_signals(spark):
+    docs = corpus(spark, SF).withColumn("repo_prefix", D.repo_prefix(F.col("source_key")))
+    chunks = ingest.chunk_rows(ingest.analyzed_documents(docs), V.HashingEmbedder(16))
+    text = plan(chunks.select("doc_id", "content", "embedding"))
+    assert not [unread for unread in ("TypeScript", "Text file ", "avg_sentence_len", "avg_line_len") if unread in text]
+
+
+def test_fields_and_types_are_those_of_whole_extractions(spark):
+    docs = corpus(spark, SF).withColumn("repo_prefix", D.repo_prefix(F.col("source_key")))
+    heads = "# a\n## b\n### c\nAmazon S3 and AWS Lambda. Amazon S3!"
+    odd = [("raw/r/" + n, "raw/r/", c) for n in ("a.md", "b.txt", "c.puml", "d.yaml", "e.py", "f.pdf", "g.rst") for c in (heads, "", "@startuml\nA -> B : x\n", None)]
+    files = docs.select("source_key", "repo_prefix", "content").unionByName(spark.createDataFrame(odd, "source_key string, repo_prefix string, content string"))
+    content, name, weight = F.col("content"), F.col("source_file"), F.col("weight")
+    named = files.withColumn("source_file", D.file_name(F.col("source_key"))).withColumn("weight", D.ingest_weight(name))
+    kind = D.extractor_kind(name)
+    whole = {"markdown": X.extract_markdown(content, name, weight), "plantuml": X.extract_plantuml(content, name, weight),
+             "text": X.extract_plain(content, name, weight)}
+    shown = lambda rows: sorted(map(repr, rows.select("source_key", *X.FIELDS).collect()))
+    got = X.extract(files)
+    for k, e in whole.items():
+        want = named.where(kind == k).withColumn("e", e).select("source_key", "e.*")
+        assert shown(got.where(kind == k)) == shown(want)
+    types = lambda **more: sorted(map(tuple, D.analyze(got, **more).select("source_key", "doc_type", "extracted_text").collect()), key=repr)
+    assert types(signals=None) == types() and {"technical_spec", "diagram_derived", "structured_data"} <= {t[1] for t in types()}
