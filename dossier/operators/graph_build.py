@@ -25,6 +25,9 @@ SIGNAL_RULES = {
     "pattern": ("Pattern", "DEMONSTRATES_PATTERN", "person", "DEMONSTRATES_PATTERN"),
 }
 
+# Of one document, nodes of the first kind strengthen those of the second.
+STRENGTHENED = (("skill", "pattern"), ("technology", "aws_service"))
+
 
 def effective_weight(weight: Column, frequency: Column) -> Column:
     return F.least(F.lit(1.0), weight * (1.0 + 0.1 * F.least(frequency, F.lit(5))))
@@ -50,14 +53,20 @@ def signal_table(docs: DataFrame) -> DataFrame:
     ).where(F.col("value") != "")
 
 
+def with_document(rows: DataFrame) -> DataFrame:
+    """Add the document's id and ``doc_hash``, its hash. Rows that come dealt out by ``doc_hash`` need not be moved to be folded by document."""
+    if "doc_hash" in rows.columns:
+        return rows
+    return rows.withColumn("doc_id", T.stable_id("document", F.col("source_file"))).withColumn("doc_hash", F.xxhash64("doc_id"))
+
+
 def signal_facts(signals: DataFrame) -> DataFrame:
     """Add node type, node id, document id and effective weight; unknown kinds drop out."""
     kinds = F.create_map(*[x for k, rule in SIGNAL_RULES.items() for x in (F.lit(k), F.lit(rule[0]))])
     return (
-        signals.withColumn("node_type", kinds[F.col("signal_type")])
+        with_document(signals).withColumn("node_type", kinds[F.col("signal_type")])
         .where(F.col("node_type").isNotNull())
         .withColumn("node_id", T.stable_id(F.col("node_type"), F.col("value")))
-        .withColumn("doc_id", T.stable_id("document", F.col("source_file")))
         .withColumn("effective", effective_weight(F.col("weight"), F.col("frequency")))
     )
 
@@ -69,18 +78,21 @@ def signal_nodes(facts: DataFrame) -> DataFrame:
     )
 
 
+def _rule(kind: Column, position: int) -> Column:
+    table = F.create_map(*[x for k, r in SIGNAL_RULES.items() for x in (F.lit(k), F.lit(r[position]))])
+    return table[kind]
+
+
+def _owner(kind: Column) -> Column:
+    return F.when(_rule(kind, 2) == "person", F.col("person_id")).otherwise(F.col("repo_id"))
+
+
 def signal_edges(facts: DataFrame) -> DataFrame:
     """Two edges per signal: from the document, and from the person or the repository."""
     kind = F.col("signal_type")
-
-    def rule(position: int) -> Column:
-        table = F.create_map(*[x for k, r in SIGNAL_RULES.items() for x in (F.lit(k), F.lit(r[position]))])
-        return table[kind]
-
-    owner = F.when(rule(2) == "person", F.col("person_id")).otherwise(F.col("repo_id"))
     ends = F.array(
-        F.struct(F.col("doc_id").alias("from_id"), rule(1).alias("relationship")),
-        F.struct(owner.alias("from_id"), rule(3).alias("relationship")),
+        F.struct(F.col("doc_id").alias("from_id"), _rule(kind, 1).alias("relationship")),
+        F.struct(_owner(kind).alias("from_id"), _rule(kind, 3).alias("relationship")),
     )
     return facts.withColumn("end", F.explode(ends)).select(
         "end.from_id", "end.relationship", F.col("node_id").alias("to_id"), "source_file",
@@ -88,6 +100,63 @@ def signal_edges(facts: DataFrame) -> DataFrame:
     )
 
 
+def document_facts(facts: DataFrame) -> DataFrame:
+    """A node once per document, with its first place and weight and how often it was seen. Sums and places are numbers, so nothing is sorted."""
+    place = F.coalesce(F.col("pos").cast("int"), F.lit(-1))  # a place that is missing comes first
+    return facts.groupBy("doc_hash", "doc_id", "source_key", "source_file", "repo_id", "person_id", "signal_type", "node_id").agg(
+        F.count(F.lit(1)).alias("times"), F.min(place).alias("pos"), F.min_by("effective", place).alias("effective")
+    )
+
+
+def document_signal_edges(seen: DataFrame) -> DataFrame:
+    """The edges from documents that have an id to the nodes of :func:`document_facts`."""
+    # The condition reads a count, so it stays above the fold and the rows below are those of the shared edges, sent once for both.
+    named = F.when(F.col("doc_id").isNotNull(), F.col("times")).otherwise(0) > 0
+    return seen.where(named).select(
+        "doc_hash", F.col("doc_id").alias("from_id"), _rule(F.col("signal_type"), 1).alias("relationship"),
+        F.col("node_id").alias("to_id"), "source_file", F.col("effective").alias("weight"), "times", _seq(1, F.col("pos")).alias("seq"),
+    )
+
+
+def shared_signal_edges(seen: DataFrame) -> DataFrame:
+    """The edges that documents share, of the nodes of :func:`document_facts`: from persons and repositories, and between nodes.
+
+    A document's distinct nodes stand in one array, and its pairs are made there (see :func:`strengthens_edges`). Edges from
+    documents without an id are here too, as they are one.
+    """
+    node = F.struct("signal_type", "node_id", "times", "pos", "effective")
+    docs = seen.groupBy("doc_hash", "doc_id", "source_key", "source_file", "repo_id", "person_id").agg(F.collect_list(node).alias("nodes"))
+
+    def edge(source: Column, relationship: Column, target: Column, weight: Column, times: Column, step: int, n: Column) -> Column:
+        return F.struct(
+            source.alias("from_id"), relationship.alias("relationship"), target.alias("to_id"), weight.alias("weight"),
+            times.alias("times"), F.lit(step).alias("step"), n["pos"].alias("pos"),
+        )
+
+    def of_signal(source: Column, position: int, n: Column) -> Column:
+        return edge(source, _rule(n["signal_type"], position), n["node_id"], n["effective"], n["times"], 1, n)
+
+    def pairs(first: str, second: str) -> Column:
+        others = F.filter("nodes", lambda n: n["signal_type"] == second)
+        return F.flatten(F.transform(
+            F.filter("nodes", lambda n: n["signal_type"] == first),
+            lambda n: F.transform(others, lambda o: edge(
+                n["node_id"], F.lit("STRENGTHENS"), o["node_id"], F.lit(0.5), n["times"] * o["times"], 2, n)),
+        ))
+
+    owned = F.transform("nodes", lambda n: of_signal(_owner(n["signal_type"]), 3, n))
+    named = F.when(F.col("doc_id").isNotNull(), F.slice(owned, 1, 0)).otherwise(
+        F.transform("nodes", lambda n: of_signal(F.col("doc_id"), 1, n))
+    )
+    strong = F.when(F.col("source_key").isNull(), F.slice(owned, 1, 0)).otherwise(
+        F.concat(*[pairs(a, b) for a, b in STRENGTHENED])
+    )
+    return docs.select("source_key", "source_file", F.explode(F.concat(owned, named, strong)).alias("e")).select(
+        "e.from_id", "e.relationship", "e.to_id", "source_file", "e.weight", "e.times",
+        F.struct("source_key", F.col("e.step").alias("step"), F.col("e.pos").alias("pos")).alias("seq"),
+    )
+
+
 def strengthens_edges(facts: DataFrame) -> DataFrame:
     """Skill to pattern and technology to service edges of each document.
 
@@ -140,20 +209,21 @@ def owner_nodes(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def owner_edges(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    none = F.lit("").alias("source_file")
-    one = F.lit(1).cast("long").alias("times")
+def built_edges(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     start = F.struct(F.lit("").alias("source_key"), F.lit(0).alias("step"), F.lit(0).alias("pos")).alias("seq")
-    built = docs.select("person_id", "repo_id", *by).distinct().select(
+    return docs.select("person_id", "repo_id", *by).distinct().select(
         *by, F.col("person_id").alias("from_id"), F.lit("BUILT").alias("relationship"), F.col("repo_id").alias("to_id"),
-        none, F.lit(1.0).alias("weight"), one, start,
+        F.lit("").alias("source_file"), F.lit(1.0).alias("weight"), F.lit(1).cast("long").alias("times"), start,
     )
+
+
+def owner_edges(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     contains = docs.select(
         *by, F.col("repo_id").alias("from_id"), F.lit("CONTAINS").alias("relationship"),
         T.stable_id("document", F.col("source_file")).alias("to_id"), "source_file",
-        F.col("weight").cast("double").alias("weight"), one, _seq(0, F.lit(0)).alias("seq"),
+        F.col("weight").cast("double").alias("weight"), F.lit(1).cast("long").alias("times"), _seq(0, F.lit(0)).alias("seq"),
     )
-    return built.unionByName(contains)
+    return built_edges(docs, by).unionByName(contains)
 
 
 def routing_nodes(docs: DataFrame) -> DataFrame:
@@ -177,9 +247,8 @@ def routing_nodes(docs: DataFrame) -> DataFrame:
     return kind.unionByName(strategy)
 
 
-def routing_edges(docs: DataFrame) -> DataFrame:
-    doc = T.stable_id("document", F.col("source_file"))
-    ends = F.array(
+def _routes() -> list[Column]:
+    return [
         F.struct(
             F.lit("HAS_TYPE").alias("relationship"), T.stable_id("documenttype", F.col("doc_type")).alias("to_id"),
             F.col("type_confidence").alias("weight"),
@@ -188,13 +257,35 @@ def routing_edges(docs: DataFrame) -> DataFrame:
             F.lit("CHUNKED_WITH").alias("relationship"),
             T.stable_id("chunkingstrategy", F.col("chunking_strategy")).alias("to_id"), F.lit(1.0).alias("weight"),
         ),
-    )
-    return docs.withColumn("end", F.explode(ends)).select(
+    ]
+
+
+def routing_edges(docs: DataFrame) -> DataFrame:
+    doc = T.stable_id("document", F.col("source_file"))
+    return docs.withColumn("end", F.explode(F.array(*_routes()))).select(
         doc.alias("from_id"), "end.relationship", "end.to_id", F.lit("").alias("source_file"), "end.weight",
         F.lit(1).cast("long").alias("times"), _seq(3, F.lit(0)).alias("seq"),
     )
 
 
+def document_edges(docs: DataFrame, routing: bool = True) -> DataFrame:
+    """The edges that a document's row gives, in one pass: from its repository, and to its type and chunking strategy."""
+    contains = F.struct(
+        F.col("repo_id").alias("from_id"), F.lit("CONTAINS").alias("relationship"), F.col("doc_id").alias("to_id"),
+        F.col("source_file").alias("source_file"), F.col("weight").cast("double").alias("weight"), _seq(0, F.lit(0)).alias("seq"),
+    )
+    routes = [
+        F.struct(
+            F.col("doc_id").alias("from_id"), r["relationship"].alias("relationship"), r["to_id"].alias("to_id"),
+            F.lit("").alias("source_file"), r["weight"].cast("double").alias("weight"), _seq(3, F.lit(0)).alias("seq"),
+        )
+        for r in (_routes() if routing else [])
+    ]
+    return docs.select("doc_hash", F.explode(F.array(contains, *routes)).alias("e")).select(
+        "doc_hash", "e.from_id", "e.relationship", "e.to_id", "e.source_file", "e.weight", F.lit(1).cast("long").alias("times"), "e.seq",
+    )
+
+
 def _grouped(rows: DataFrame, *keys: str) -> GroupedData:
     """Rows by keys. First and last values are folded by sorting; ids start alike, so a hash goes first and sorting compares numbers."""
     return rows.groupBy(F.xxhash64(*keys).alias("key_hash"), *keys)
@@ -239,8 +330,10 @@ def fold_nodes(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def fold_edges(sightings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """First weight and source; weight grows by 0.1 per further sighting."""
-    folded = _grouped(sightings, "from_id", "relationship", "to_id", *by).agg(
+    """First weight and source; weight grows by 0.1 per further sighting. Sightings with a ``doc_hash`` are of documents' own edges and folded by it."""
+    keys = ["from_id", "relationship", "to_id", *by]
+    grouped = sightings.groupBy("doc_hash", *keys) if "doc_hash" in sightings.columns else _grouped(sightings, *keys)
+    folded = grouped.agg(
         F.min_by(F.struct("weight", "source_file"), F.col("seq")).alias("f"), F.sum("times").alias("n")
     )
     return folded.select(
@@ -259,14 +352,20 @@ def with_owners(docs: DataFrame, person: Column, repo: Column) -> DataFrame:
 
 
 def build_graph(docs: DataFrame, signals: DataFrame | None = None, routing: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of documents carrying ``person, person_id, repo_id`` (see :func:`with_owners`)."""
+    """Nodes and edges of documents carrying ``person, person_id, repo_id`` (see :func:`with_owners`).
+
+    Edges from and to documents are folded by document, those that documents share over all of them. Both have kinds or
+    ids of their own, but for signals of documents without an id, whose edges are folded with the shared ones.
+    """
+    docs = with_document(docs)
     facts = signal_facts(signal_table(docs) if signals is None else signals)
     nodes = owner_nodes(docs).unionByName(fold_nodes(document_nodes(docs))).unionByName(fold_signal_nodes(signal_nodes(facts)))
-    edge_rows = owner_edges(docs).unionByName(signal_edges(facts)).unionByName(strengthens_edges(facts))
     if routing:
         nodes = nodes.unionByName(fold_nodes(routing_nodes(docs)))
-        edge_rows = edge_rows.unionByName(routing_edges(docs))
-    return nodes, fold_edges(edge_rows)
+    seen = document_facts(facts)
+    shared = built_edges(docs).unionByName(shared_signal_edges(seen))
+    own = fold_edges(document_edges(docs, routing)).unionByName(fold_edges(document_signal_edges(seen)))
+    return nodes, own.unionByName(fold_edges(shared))
 
 
 def repository_graphs(docs: DataFrame, signals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
